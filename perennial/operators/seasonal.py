@@ -171,70 +171,58 @@ def add_benchmark(observations: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
-def _metric_inputs(prefix: str, rows: Column | None) -> dict[str, Column]:
-    def pick(c: Column) -> Column:
-        return c if rows is None else F.when(rows, c)
-
-    r = pick(F.col("ret"))
-    valid = F.col("bench_ret").isNotNull() & F.col("excess").isNotNull()
-    e = pick(F.when(valid, F.col("excess")))
-    return {f"{prefix}_r": r, f"{prefix}_e": e, f"{prefix}_b": F.when(F.col("beat"), e)}
-
-
-def absolute_aggregates(prefix: str, r: Column) -> list[Column]:
-    return [
-        F.count(r).alias(f"{prefix}_n"),
-        F.count(F.when(r > 0, r)).alias(f"{prefix}_wins"),
-        F.avg(r).alias(f"{prefix}_mean"),
-        F.percentile(r, 0.5).alias(f"{prefix}_median"),
-        F.stddev_samp(r).alias(f"{prefix}_std"),
-        F.max(r).alias(f"{prefix}_best"),
-        F.min(r).alias(f"{prefix}_worst"),
-        F.coalesce(F.sum(F.when(r > 0, r)), F.lit(0.0)).alias(f"{prefix}_gain"),
-        F.coalesce(F.sum(F.when(r <= 0, r)), F.lit(0.0)).alias(f"{prefix}_loss"),
-    ]
-
-
-def relative_aggregates(prefix: str, e: Column, beaten: Column) -> list[Column]:
-    return [
-        F.count(e).alias(f"{prefix}_bn"),
-        F.count(beaten).alias(f"{prefix}_beats"),
-        F.avg(e).alias(f"{prefix}_emean"),
-        F.percentile(e, 0.5).alias(f"{prefix}_emedian"),
-        F.percentile(e, 0.25).alias(f"{prefix}_eq25"),
-        F.stddev_samp(e).alias(f"{prefix}_estd"),
-        F.max(e).alias(f"{prefix}_ebest"),
-        F.min(e).alias(f"{prefix}_eworst"),
-    ]
-
-
-def _or_zero(c: Column) -> Column:
-    return F.coalesce(c, F.lit(0.0))
+# The metric lists are SQL text: a window has about sixty aggregates, and parsing each once is much
+# cheaper to plan than building it call by call.
+
+
+def absolute_aggregates(prefix: str, rows: str = "true") -> list[Column]:
+    r = f"CASE WHEN {rows} THEN ret END"
+    texts = {
+        "n": f"count({r})",
+        "wins": f"count(CASE WHEN {rows} AND ret > 0 THEN 1 END)",
+        "mean": f"avg({r})",
+        "median": f"percentile({r}, 0.5D)",
+        "std": f"stddev_samp({r})",
+        "best": f"max({r})",
+        "worst": f"min({r})",
+        "gain": f"coalesce(sum(CASE WHEN {rows} AND ret > 0 THEN ret END), 0D)",
+        "loss": f"coalesce(sum(CASE WHEN {rows} AND ret <= 0 THEN ret END), 0D)",
+    }
+    return [F.expr(t).alias(f"{prefix}_{n}") for n, t in texts.items()]
+
+
+def relative_aggregates(prefix: str, rows: str = "true") -> list[Column]:
+    e = f"CASE WHEN {rows} AND bench_ret IS NOT NULL THEN excess END"
+    texts = {
+        "bn": f"count({e})",
+        "beats": f"count(CASE WHEN beat THEN {e} END)",
+        "emean": f"avg({e})",
+        "emedian": f"percentile({e}, 0.5D)",
+        "eq25": f"percentile({e}, 0.25D)",
+        "estd": f"stddev_samp({e})",
+        "ebest": f"max({e})",
+        "eworst": f"min({e})",
+    }
+    return [F.expr(t).alias(f"{prefix}_{n}") for n, t in texts.items()]
 
 
-def absolute_columns(p: str) -> dict[str, Column]:
+def absolute_columns(p: str) -> dict[str, Column | str]:
     """Metrics from the aggregates of ``absolute_aggregates``; zeros for an empty sample."""
-    n, wins = F.col(f"{p}_n"), F.col(f"{p}_wins")
-    gain, loss = F.col(f"{p}_gain"), F.abs(F.col(f"{p}_loss"))
-    factor = (
-        F.when((loss == 0) & (gain > 0), F.lit(float("inf")))
-        .when(loss == 0, F.lit(0.0))
-        .otherwise(F.try_divide(gain, loss))
-    )
     return {
-        "sample_size": n,
-        "wins": wins,
-        "losses": n - wins,
-        "win_rate": _or_zero(F.try_divide(wins.cast("double"), n)),
-        "average_return": _or_zero(F.col(f"{p}_mean")),
-        "median_return": _or_zero(F.col(f"{p}_median")),
-        "std_dev": _or_zero(F.when(n > 1, F.col(f"{p}_std"))),
-        "best_return": _or_zero(F.col(f"{p}_best")),
-        "worst_return": _or_zero(F.col(f"{p}_worst")),
-        "average_gain": _or_zero(F.try_divide(F.col(f"{p}_gain"), wins)),
-        "average_loss": _or_zero(F.try_divide(F.col(f"{p}_loss"), n - wins)),
-        "profit_factor": factor,
-        "wilson": wilson_lower_bound(wins, n),
+        "sample_size": f"{p}_n",
+        "wins": f"{p}_wins",
+        "losses": f"{p}_n - {p}_wins",
+        "win_rate": f"coalesce(try_divide(double({p}_wins), {p}_n), 0D)",
+        "average_return": f"coalesce({p}_mean, 0D)",
+        "median_return": f"coalesce({p}_median, 0D)",
+        "std_dev": f"coalesce({p}_std, 0D)",
+        "best_return": f"coalesce({p}_best, 0D)",
+        "worst_return": f"coalesce({p}_worst, 0D)",
+        "average_gain": f"coalesce(try_divide({p}_gain, {p}_wins), 0D)",
+        "average_loss": f"coalesce(try_divide({p}_loss, {p}_n - {p}_wins), 0D)",
+        "profit_factor": f"CASE WHEN {p}_loss <> 0 THEN {p}_gain / abs({p}_loss) "
+        f"WHEN {p}_gain > 0 THEN double('inf') ELSE 0D END",
+        "wilson": wilson_lower_bound(f"{p}_wins", f"{p}_n"),
     }
 
 
@@ -244,34 +232,36 @@ def mean_lower_bound(mean: Column, std: Column, n: Column, confidence: float = 0
     return F.when(n == 0, F.lit(0.0)).when(n == 1, mean).otherwise(bound)
 
 
-def relative_columns(p: str, confidence: float = 0.8) -> dict[str, Column]:
-    n = F.col(f"{p}_bn")
-    mean, std = F.col(f"{p}_emean"), F.col(f"{p}_estd")
+def relative_columns(p: str, confidence: float = 0.8) -> dict[str, Column | str]:
+    n, mean, std = F.col(f"{p}_bn"), F.col(f"{p}_emean"), F.col(f"{p}_estd")
     return {
-        "benchmark_sample_size": n,
-        "beat_rate": _or_zero(F.try_divide(F.col(f"{p}_beats").cast("double"), n)),
-        "average_excess": _or_zero(mean),
-        "median_excess": _or_zero(F.col(f"{p}_emedian")),
-        "best_excess": _or_zero(F.col(f"{p}_ebest")),
-        "worst_excess": _or_zero(F.col(f"{p}_eworst")),
-        "excess_std": _or_zero(F.when(n > 1, std)),
+        "benchmark_sample_size": f"{p}_bn",
+        "beat_rate": f"coalesce(try_divide(double({p}_beats), {p}_bn), 0D)",
+        "average_excess": f"coalesce({p}_emean, 0D)",
+        "median_excess": f"coalesce({p}_emedian, 0D)",
+        "best_excess": f"coalesce({p}_ebest, 0D)",
+        "worst_excess": f"coalesce({p}_eworst, 0D)",
+        "excess_std": f"coalesce({p}_estd, 0D)",
         "excess_lcb": mean_lower_bound(mean, std, n, confidence),
-        "excess_q25": _or_zero(F.col(f"{p}_eq25")),
+        "excess_q25": f"coalesce({p}_eq25, 0D)",
     }
 
 
+def named(columns: dict[str, Column | str], prefix: str = "") -> list[Column]:
+    return [
+        (F.expr(c) if isinstance(c, str) else c).alias(f"{prefix}{n}") for n, c in columns.items()
+    ]
+
+
 def absolute_metrics(observations: DataFrame, key: Sequence[str] = WINDOW_KEY) -> DataFrame:
     """Win, return, dispersion and profit statistics of every window."""
-    agg = observations.groupBy(*key).agg(*absolute_aggregates("all", F.col("ret")))
-    return agg.select(*key, *[c.alias(n) for n, c in absolute_columns("all").items()])
+    agg = observations.groupBy(*key).agg(*absolute_aggregates("all"))
+    return agg.select(*key, *named(absolute_columns("all")))
 
 
 def relative_metrics(
     compared: DataFrame, key: Sequence[str] = WINDOW_KEY, confidence: float = 0.8
 ) -> DataFrame:
     """Statistics against the benchmark over the rows where it is known."""
-    cols = _metric_inputs("all", None)
-    agg = compared.select(*key, *[c.alias(n) for n, c in cols.items()]).groupBy(*key).agg(
-        *relative_aggregates("all", F.col("all_e"), F.col("all_b"))
-    )
-    return agg.select(*key, *[c.alias(n) for n, c in relative_columns("all", confidence).items()])
+    agg = compared.groupBy(*key).agg(*relative_aggregates("all"))
+    return agg.select(*key, *named(relative_columns("all", confidence)))

@@ -12,6 +12,7 @@ from perennial.operators.seasonal import (
     WINDOW_KEY,
     absolute_aggregates,
     absolute_columns,
+    named,
     relative_aggregates,
     relative_columns,
 )
@@ -37,15 +38,10 @@ def chronological_split(
     )
 
 
-def _sides(df: DataFrame, key: Sequence[str], sides: dict[str, Column | None]) -> list[Column]:
-    valid = F.col("bench_ret").isNotNull() & F.col("excess").isNotNull()
+def _sides(sides: dict[str, str]) -> list[Column]:
     out = []
     for p, rows in sides.items():
-        on = F.lit(True) if rows is None else rows
-        r = F.when(on, F.col("ret"))
-        e = F.when(on & valid, F.col("excess"))
-        out += absolute_aggregates(p, r)
-        out += relative_aggregates(p, e, F.when(F.col("beat"), e))
+        out += absolute_aggregates(p, rows) + relative_aggregates(p, rows)
     return out
 
 
@@ -58,7 +54,7 @@ OOS_COLUMNS = ("sample_size", "win_rate", "median_return", "beat_rate", "median_
 
 def _flat(prefix: str, name: str, wanted: Sequence[str]) -> list[Column]:
     cols = {**absolute_columns(prefix), **relative_columns(prefix)}
-    return [cols[c].alias(f"{name}_{c}" if name else c) for c in wanted]
+    return named({c: cols[c] for c in wanted}, f"{name}_" if name else "")
 
 
 def validation_metrics(
@@ -66,9 +62,7 @@ def validation_metrics(
 ) -> DataFrame:
     """Training and held-out metrics of every window with enough years."""
     split = chronological_split(compared, test_years, key).where("enough_years")
-    agg = split.groupBy(*key).agg(
-        *_sides(split, key, {"tr": ~F.col("is_test"), "te": F.col("is_test")})
-    )
+    agg = split.groupBy(*key).agg(*_sides({"tr": "NOT is_test", "te": "is_test"}))
     return agg.select(*key, *_flat("tr", "train", TRAIN_COLUMNS), *_flat("te", "oos", OOS_COLUMNS))
 
 
@@ -120,33 +114,30 @@ def walk_forward_folds(
 
 
 def _summary_aggregates() -> list[Column]:
-    q = F.col("qualified")
-    return [
-        F.count(F.when(F.col("is_fold"), 1)).alias("wf_folds"),
-        F.count(F.when(q, 1)).alias("wf_qualified_folds"),
-        F.count(F.when(q & (F.col("ret") > 0), 1)).alias("_wf_wins"),
-        F.count(F.when(q & F.col("beat"), 1)).alias("_wf_beats"),
-        F.percentile(F.when(q, F.col("ret")), 0.5).alias("_wf_ret"),
-        F.percentile(F.when(q, F.col("excess")), 0.5).alias("_wf_excess"),
-    ]
+    texts = {
+        "wf_folds": "count(CASE WHEN is_fold THEN 1 END)",
+        "wf_qualified_folds": "count(CASE WHEN qualified THEN 1 END)",
+        "_wf_wins": "count(CASE WHEN qualified AND ret > 0 THEN 1 END)",
+        "_wf_beats": "count(CASE WHEN qualified AND beat THEN 1 END)",
+        "_wf_ret": "percentile(CASE WHEN qualified THEN ret END, 0.5D)",
+        "_wf_excess": "percentile(CASE WHEN qualified THEN excess END, 0.5D)",
+    }
+    return [F.expr(t).alias(n) for n, t in texts.items()]
 
 
 def _summary_columns() -> list[Column]:
-    n = F.col("wf_qualified_folds")
-    none = n == 0
-
-    def rate(c: str, of: Column) -> Column:
-        return F.coalesce(F.try_divide(F.col(c).cast("double"), of), F.lit(0.0))
-
-    return [
-        F.col("wf_folds"),
-        n,
-        rate("wf_qualified_folds", F.col("wf_folds")).alias("wf_selection_rate"),
-        rate("_wf_wins", n).alias("wf_win_rate"),
-        rate("_wf_beats", n).alias("wf_beat_rate"),
-        F.when(none, F.lit(0.0)).otherwise(F.col("_wf_ret")).alias("wf_median_return"),
-        F.when(none, F.lit(0.0)).otherwise(F.col("_wf_excess")).alias("wf_median_excess"),
-    ]
+    n = "wf_qualified_folds"
+    return named(
+        {
+            "wf_folds": "wf_folds",
+            "wf_qualified_folds": n,
+            "wf_selection_rate": f"coalesce(try_divide(double({n}), wf_folds), 0D)",
+            "wf_win_rate": f"coalesce(try_divide(double(_wf_wins), {n}), 0D)",
+            "wf_beat_rate": f"coalesce(try_divide(double(_wf_beats), {n}), 0D)",
+            "wf_median_return": f"CASE WHEN {n} = 0 THEN 0D ELSE _wf_ret END",
+            "wf_median_excess": f"CASE WHEN {n} = 0 THEN 0D ELSE _wf_excess END",
+        }
+    )
 
 
 def walk_forward_summary(folds: DataFrame, key: Sequence[str] = WINDOW_KEY) -> DataFrame:
@@ -174,9 +165,8 @@ def analyze(
     """
     folds = walk_forward_folds(compared, min_training, key=key)
     split = chronological_split(folds, test_years, key)
-    sides = {"all": None, "tr": ~F.col("is_test"), "te": F.col("is_test")}
     agg = split.groupBy(*key).agg(
-        *_sides(split, key, sides),
+        *_sides({"all": "true", "tr": "NOT is_test", "te": "is_test"}),
         *_summary_aggregates(),
         F.bool_and("enough_years").alias("_enough"),
     )
@@ -231,7 +221,7 @@ def rank_by(
     return with_positions(df, keys, descending(names, ties), rank)
 
 
-def suppress_overlaps(
+def kept_ranks(
     ranked: DataFrame,
     entry_tolerance_days: int = 3,
     holding_tolerance_days: int = 5,
@@ -239,7 +229,7 @@ def suppress_overlaps(
     entry: str = "upcoming_entry_date",
     rank: str = "rank",
 ) -> DataFrame:
-    """Greedy suppression per ticker in rank order.
+    """(key, rank) of the windows that survive greedy suppression per ticker in rank order.
 
     A window is dropped when an already kept one is close in both entry date and holding length.
     The list folded per key has at most one entry per grid window.
@@ -260,7 +250,10 @@ def suppress_overlaps(
         )
         return F.when(clash, kept).otherwise(F.concat(kept, F.array(x)))
 
-    kept = ordered.select(
-        *key, F.explode(F.aggregate("_all", empty, step)).alias("_kept")
-    ).select(*key, F.col("_kept.rank").alias(rank))
-    return ranked.join(kept, [*key, rank], "left_semi")
+    kept = ordered.select(*key, F.explode(F.aggregate("_all", empty, step)).alias("_kept"))
+    return kept.select(*key, F.col("_kept.rank").alias(rank))
+
+
+def suppress_overlaps(ranked: DataFrame, key: Sequence[str] = ("ticker",), **tolerances) -> DataFrame:
+    """The rows of ``ranked`` that survive ``kept_ranks``, with their rank in the full list."""
+    return ranked.join(kept_ranks(ranked, key=key, **tolerances), [*key, "rank"], "left_semi")

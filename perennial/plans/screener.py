@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from perennial.functions.storage import materialize
 from perennial.operators.seasonal import (
     WINDOW_KEY,
     add_benchmark,
@@ -20,9 +21,9 @@ from perennial.operators.validate import (
     DISCOVERY_ORDER,
     SCAN_ORDER,
     analyze,
+    kept_ranks,
     quality_filter,
     rank_by,
-    suppress_overlaps,
 )
 
 TIES = ("ticker", "entry_month", "entry_day", "holding_days")
@@ -98,7 +99,7 @@ def scan(
 ) -> DataFrame:
     """One window over all tickers, filtered and ranked on training metrics."""
     found = analyzed_windows(prices, benchmark, [(month, day)], [holding_days], limits)
-    return rank_by(limits.filter(found), SCAN_ORDER, TIES)
+    return rank_by(materialize(limits.filter(found), "scan"), SCAN_ORDER, TIES)
 
 
 def scan_errors(
@@ -143,9 +144,16 @@ def discover(
     found = limits.filter(analyzed_windows(prices, benchmark, entries, holdings, limits))
     code = F.col("entry_month") * 100 + F.col("entry_day")
     found = found.withColumn("upcoming_entry_date", _date_for_code(code, days))
-    ranked = rank_by(found, DISCOVERY_ORDER, TIES)
-    kept = suppress_overlaps(ranked)
-    return rank_by(kept.withColumnRenamed("rank", "_raw"), (), ("_raw",)).drop("_raw")
+    ranked = rank_by(materialize(found, "windows"), DISCOVERY_ORDER, TIES)
+    return without_overlaps(materialize(ranked, "ranked"))
+
+
+def without_overlaps(ranked: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Suppress overlapping windows per ticker and close the gaps in the rank."""
+    by = [*keys, "ticker"]
+    kept = materialize(kept_ranks(ranked, key=by).withColumnRenamed("rank", "_raw"), "kept")
+    renumbered = rank_by(kept, (), ("_raw",), keys)
+    return ranked.withColumnRenamed("rank", "_raw").join(renumbered, [*by, "_raw"]).drop("_raw")
 
 
 def _date_for_code(code, days: Sequence[dt.date]):
@@ -200,9 +208,8 @@ def nested_candidates(compared: DataFrame, grid: NestedGrid) -> DataFrame:
     train = compared.select("*", F.inline(mine)).drop("m", "d")
     train = keep_recent(train, limits.lookback_years, key)
     found = limits.filter(analyze(train, limits.min_training, limits.test_years, key))
-    ranked = rank_by(found, SCAN_ORDER, TIES, ["test_year"])
-    kept = suppress_overlaps(ranked, key=("test_year", "ticker"))
-    kept = rank_by(kept.withColumnRenamed("rank", "_raw"), (), ("_raw",), ["test_year"]).drop("_raw")
+    ranked = rank_by(materialize(found, "candidates"), SCAN_ORDER, TIES, ["test_year"])
+    kept = without_overlaps(materialize(ranked, "ranked"), ["test_year"])
     best = Window.partitionBy("test_year", "ticker").orderBy("rank")
     return kept.withColumn("_best", F.row_number().over(best)).where("_best = 1").drop("_best")
 
@@ -231,8 +238,9 @@ def nested_walk_forward(prices: DataFrame, benchmark: DataFrame, grid: NestedGri
         for d in upcoming_dates(dt.date(y, grid.anchor_month, grid.anchor_day), grid.days_ahead)
     ]
     entries = sorted({(d.month, d.day) for d in days})
-    compared = add_benchmark(
-        seasonal_observations(clean_prices(prices), entries, grid.holdings), benchmark
+    compared = materialize(
+        add_benchmark(seasonal_observations(clean_prices(prices), entries, grid.holdings), benchmark),
+        "observations",
     )
     per_year = Window.partitionBy("test_year").orderBy("rank")
     selected = (
