@@ -1,6 +1,7 @@
 """Registration of a query together with its output columns and its SQL equivalent.
 
-``columns`` lists the result as ``name:kind`` with kind ``d`` (double, rounded to 6 places on both
+``columns`` lists the result as ``name:kind`` with kind ``d`` (double, rounded to 6 places, or to single
+precision from 1000 up, on both
 sides because summation order differs, after a shift that keeps exact halves from going either way), ``i`` (integer), ``s`` (text), ``t`` (date, as ISO text) or
 ``b`` (boolean).
 """
@@ -26,7 +27,10 @@ def present(df: DataFrame, columns: str) -> DataFrame:
     for name, kind in _spec(columns):
         c = F.col(name)
         if kind == "d":
-            c = F.round(c.cast("double") + F.lit(1e-9), 6) + F.lit(0.0)
+            c = F.expr(
+                f"CASE WHEN abs({name}) < 1000 THEN round(double({name}) + 1e-9D, 6) + 0D "
+                f"ELSE double(float({name})) END"
+            )
         elif kind == "i":
             c = c.cast("bigint")
         elif kind in "ts":
@@ -41,7 +45,8 @@ def present_sql(ctes: str, body: str, columns: str) -> str:
     out = []
     for name, kind in _spec(columns):
         c = {
-            "d": f"round(CAST({name} AS DOUBLE) + 1e-9, 6) + 0.0",
+            "d": f"CASE WHEN abs({name}) < 1000 THEN round(CAST({name} AS DOUBLE) + 1e-9, 6) + 0.0 "
+            f"ELSE CAST(CAST({name} AS FLOAT) AS DOUBLE) END",
             "i": f"CAST({name} AS BIGINT)",
             "t": f"CAST(CAST({name} AS DATE) AS VARCHAR)",
             "s": f"CAST({name} AS VARCHAR)",

@@ -200,3 +200,29 @@ def exact_quantiles(
             for n in quantiles
         ],
     )
+
+
+def with_percentiles(
+    df: DataFrame, keys: Sequence[str], identity: Sequence[str], ranks: dict[str, str]
+) -> DataFrame:
+    """Add percentile ranks (ties averaged) of several columns at once.
+
+    ``ranks`` maps a column to the name of its rank.  The columns are ranked in long form, one pass
+    for all of them; (keys, identity) must identify a row.  Materialize a costly input first.
+    """
+    ident = [*keys, *identity]
+    long = df.select(
+        *ident,
+        F.inline(
+            F.array(
+                *[F.struct(F.lit(c).alias("_measure"), F.col(c).alias("_value")) for c in ranks]
+            )
+        ),
+    )
+    ranked = with_average_rank(
+        long, [*keys, "_measure"], "_value", identity, percentile="_pct"
+    )
+    wide = ranked.groupBy(*ident).agg(
+        *[F.max(F.when(F.col("_measure") == c, F.col("_pct"))).alias(n) for c, n in ranks.items()]
+    )
+    return df.join(wide, ident)

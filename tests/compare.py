@@ -64,6 +64,7 @@ def session(cpus: str = "8", partitions: str = "8"):
         SparkSession.builder.master(f"local[{cpus}]")
         .config("spark.sql.shuffle.partitions", partitions)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.session.timeZone", "UTC")
