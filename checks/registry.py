@@ -1,9 +1,9 @@
 """Registration of a query together with its output columns and its SQL equivalent.
 
-``columns`` lists the result as ``name:kind`` with kind ``d`` (double, rounded to 6 places, or to single
-precision from 1000 up, on both
-sides because summation order differs, after a shift that keeps exact halves from going either way), ``i`` (integer), ``s`` (text), ``t`` (date, as ISO text) or
-``b`` (boolean).
+``columns`` lists the result as ``name:kind`` with kind ``i`` (integer), ``s`` (text), ``t`` (date, as
+ISO text), ``b`` (boolean) or ``d`` (double).  Doubles are rounded to 6 places, or to single precision
+from 1000 up, on both sides because the order of summation differs; a small shift keeps exact halves
+from going either way.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ def present(df: DataFrame, columns: str) -> DataFrame:
         c = F.col(name)
         if kind == "d":
             c = F.expr(
-                f"CASE WHEN abs({name}) < 1000 THEN round(double({name}) + 1e-9D, 6) + 0D "
-                f"ELSE double(float({name})) END"
+                f"CASE WHEN abs(`{name}`) < 1000 THEN round(double(`{name}`) + 1e-9D, 6) + 0D "
+                f"ELSE double(float(`{name}`)) END"
             )
         elif kind == "i":
             c = c.cast("bigint")
@@ -44,15 +44,16 @@ def present(df: DataFrame, columns: str) -> DataFrame:
 def present_sql(ctes: str, body: str, columns: str) -> str:
     out = []
     for name, kind in _spec(columns):
+        q = f'"{name}"'
         c = {
-            "d": f"CASE WHEN abs({name}) < 1000 THEN round(CAST({name} AS DOUBLE) + 1e-9, 6) + 0.0 "
-            f"ELSE CAST(CAST({name} AS FLOAT) AS DOUBLE) END",
-            "i": f"CAST({name} AS BIGINT)",
-            "t": f"CAST(CAST({name} AS DATE) AS VARCHAR)",
-            "s": f"CAST({name} AS VARCHAR)",
-            "b": f"CAST({name} AS BOOLEAN)",
+            "d": f"CASE WHEN abs({q}) < 1000 THEN round(CAST({q} AS DOUBLE) + 1e-9, 6) + 0.0 "
+            f"ELSE CAST(CAST({q} AS FLOAT) AS DOUBLE) END",
+            "i": f"CAST({q} AS BIGINT)",
+            "t": f"CAST(CAST({q} AS DATE) AS VARCHAR)",
+            "s": f"CAST({q} AS VARCHAR)",
+            "b": f"CAST({q} AS BOOLEAN)",
         }[kind]
-        out.append(f"{c} AS {name}")
+        out.append(f"{c} AS {q}")
     head = f"WITH {ctes} " if ctes else ""
     return f"{head}SELECT {', '.join(out)} FROM ({body}) AS result"
 

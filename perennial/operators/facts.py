@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from perennial.functions.columns import month_index, parse_date, safe_growth, safe_ratio
+from perennial.functions.storage import materialize
 from perennial.operators.asof import asof_backward
 
 # Reporting tags of every concept in order of preference.
@@ -203,8 +204,11 @@ def _pivot_values(
 
 
 def annual_timeline(facts: DataFrame) -> DataFrame:
-    """Eight ratios per (company, filing date) from what was known on that date."""
-    obs = annual_observations(facts)
+    """Eight ratios per (company, filing date) from what was known on that date.
+
+    The observations are read several times and therefore written once.
+    """
+    obs = materialize(annual_observations(facts), "annual")
     ends = _latest_two_ends(obs.where(F.col("concept") == "Assets"))
     known = asof_backward(
         _filings(obs), ends, ["cik"], "as_of", "filed", ["current_end", "previous_end"], False
@@ -349,9 +353,13 @@ def prior_year_ends(rows: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def quarterly_timeline(facts: DataFrame) -> DataFrame:
-    """Seven ratios per (company, filing date) from what was known on that date."""
-    quarters = single_quarters(flow_observations(facts))
-    instants = instant_observations(facts)
+    """Seven ratios per (company, filing date) from what was known on that date.
+
+    The observations are read several times and therefore written once.
+    """
+    flows = materialize(flow_observations(facts), "flows")
+    quarters = materialize(single_quarters(flows), "quarters")
+    instants = materialize(instant_observations(facts), "instants")
     w = (
         Window.partitionBy("cik")
         .orderBy("filed")
