@@ -206,7 +206,7 @@ def with_decile(df: DataFrame, score: str, min_rows: int = 100, decile: str = "d
     """
     placed = ranked_in_month(df, score, "_r", "_size", descending=False)
     r, n = F.col("_r"), F.col("_size")
-    number = F.greatest(F.lit(1), F.ceil(10 * (r - 1) / (n - 1))).cast("int")
+    number = F.greatest(F.lit(1), F.ceil(F.try_divide(10 * (r - 1), n - 1))).cast("int")
     return placed.where(n >= min_rows).withColumn(decile, number).drop("_r", "_size")
 
 

@@ -141,10 +141,10 @@ def _first_value(rows: DataFrame, key: Sequence[str], *order: str) -> DataFrame:
 
 
 def value_as_of(asks: DataFrame, observations: DataFrame) -> DataFrame:
-    """Add ``value`` to (cik, concept, end, as_of): last filing known, then preferred tag."""
+    """Add ``value`` to distinct (cik, concept, end, as_of): last filing known, then preferred tag."""
     one = _first_value(observations, ["cik", "concept", "end", "filed"], "priority")
     return asof_backward(
-        asks, one, ["cik", "concept", "end"], "as_of", "filed", ["value"], keep_time=False
+        asks, one, ["cik", "concept", "end"], "as_of", "filed", ["value"], keep_time=False, carry=True
     )
 
 
@@ -211,7 +211,7 @@ def annual_timeline(facts: DataFrame) -> DataFrame:
     obs = materialize(annual_observations(facts), "annual")
     ends = _latest_two_ends(obs.where(F.col("concept") == "Assets"))
     known = asof_backward(
-        _filings(obs), ends, ["cik"], "as_of", "filed", ["current_end", "previous_end"], False
+        _filings(obs), ends, ["cik"], "as_of", "filed", ["current_end", "previous_end"], False, True
     ).where(F.datediff("current_end", "previous_end").between(300, 430))
     v = _pivot_values(
         known,
@@ -371,7 +371,7 @@ def quarterly_timeline(facts: DataFrame) -> DataFrame:
         .select("cik", "filed", F.max("_end").over(w).alias("current_end"))
     )
     current = asof_backward(
-        _filings(quarters, instants), latest, ["cik"], "as_of", "filed", ["current_end"], False
+        _filings(quarters, instants), latest, ["cik"], "as_of", "filed", ["current_end"], False, True
     ).where(F.col("current_end").isNotNull())
     ends = _known_ends(
         quarters.select("cik", "end", "filed").unionByName(instants.select("cik", "end", "filed"))

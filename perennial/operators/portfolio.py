@@ -301,7 +301,7 @@ def cagr(value: str, degenerate: str = "null") -> Column:
     """
     n = F.count(value)
     wealth = F.product(1 + F.col(value))
-    growth = F.pow(wealth, 12 / F.nullif(n, F.lit(0))) - 1
+    growth = F.pow(wealth, F.try_divide(F.lit(12.0), n)) - 1
     if degenerate == "null":
         return F.when((n > 0) & (wealth > 0), growth)
     return F.when(n == 0, 0.0).when(wealth <= 0, -1.0).otherwise(growth)
@@ -317,7 +317,7 @@ def max_drawdown(monthly: DataFrame, value: str, keys: Sequence[str]) -> DataFra
     """Deepest fall of wealth below its running peak; the starting value 1 is not a peak."""
     w = Window.partitionBy(*keys).orderBy(PERIOD).rowsBetween(Window.unboundedPreceding, 0)
     grown = with_wealth(monthly, value, keys, "_wealth")
-    fall = F.col("_wealth") / F.max("_wealth").over(w) - 1
+    fall = F.try_divide(F.col("_wealth"), F.max("_wealth").over(w)) - 1
     return grown.withColumn("_fall", fall).groupBy(*keys).agg(F.min("_fall").alias("max_drawdown"))
 
 

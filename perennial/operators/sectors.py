@@ -35,14 +35,14 @@ def dynamic_sector(
 ) -> DataFrame:
     """Per (ticker, month): the sector most correlated over the previous ``lookback`` rows.
 
-    Every row is repeated for the fixed list of sectors; a month without a sector value still counts
-    as a row.  Earlier sectors in ``order`` win ties.
+    Every row is repeated for the fixed list of sectors, which also bounds the broadcast; a month
+    without a sector value still counts as a row.  Earlier sectors in ``order`` win ties.
     """
     ranked = F.array(
         *[F.struct(F.lit(s).alias("sector"), F.lit(-i).alias("_pref")) for i, s in enumerate(order)]
     )
     rows = months.select("ticker", "period_idx", "ret", F.inline(ranked)).join(
-        F.broadcast(sectors), ["sector", "period_idx"], "left"
+        F.broadcast(sectors.where(F.col("sector").isin(*order))), ["sector", "period_idx"], "left"
     )
     frame = (
         Window.partitionBy("ticker", "sector").orderBy("period_idx").rowsBetween(-lookback, -1)
