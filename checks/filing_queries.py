@@ -698,7 +698,7 @@ def listed_names(spark, sf):
     lines = base.select(line.alias("value")).unionByName(
         base.where("c_custkey % 10 = 4").select(twin.alias("value"))
     )
-    return SF.parse_name_lines(lines)
+    return materialize(SF.parse_name_lines(lines), "listed")
 
 
 LISTED = f"""
@@ -784,7 +784,7 @@ def named_tickers(spark, sf):
     """Tickers with one or two names: exact, misspelt, or unlike any listed name."""
     exact = F.concat("word", F.lit(" Holdings of "), "nation", F.lit(" Corp."))
     near = F.concat("word", F.lit(" Holding of "), "nation")
-    far = F.concat("word", F.lit(" Mills"))
+    far = F.concat("word", F.lit(" Qxqx"))
     kind = F.col("c_custkey") % 4
     name = F.when(kind <= 1, exact).when(kind == 2, near).otherwise(far)
     return customers(spark, sf).select(
@@ -797,7 +797,7 @@ RESOLVE_SPEC = "ticker:s cik:d resolution:s input_name:s matched_name:s score:d"
 RESOLVE = LISTED + """,
 asked AS (SELECT *, concat('C-', c_custkey) AS ticker, c_custkey % 4 AS kind,
   CASE WHEN c_custkey % 4 <= 1 THEN concat(word, ' Holdings of ', nation, ' Corp.')
-    WHEN c_custkey % 4 = 2 THEN concat(word, ' Holding of ', nation) ELSE concat(word, ' Mills') END AS nm FROM base),
+    WHEN c_custkey % 4 = 2 THEN concat(word, ' Holding of ', nation) ELSE concat(word, ' Qxqx') END AS nm FROM base),
 ids AS (SELECT normalized, count(DISTINCT cik) AS n FROM listed GROUP BY 1)"""
 
 
@@ -820,7 +820,25 @@ def resolve_exact(spark, sf):
     )
 
 
-@query("resolve_identifiers", RESOLVE_SPEC)
+# The misspelt name lacks one letter of the listed one, and the far name shares only the first word
+# and the blank after it, so the similarity ratio is known.
+@query(
+    "resolve_identifiers",
+    RESOLVE_SPEC,
+    RESOLVE + """,
+sims AS (SELECT a.*, i.n, concat(word, ' HOLDINGS OF ', nation, ' INC') AS full_name,
+  length(concat(word, ' HOLDINGS OF ', nation)) AS len_listed FROM asked a
+  JOIN ids i ON i.normalized = concat(a.word, ' HOLDINGS OF ', replace(a.nation, '_', ' '))),
+steps AS (SELECT *, CASE WHEN c_custkey % 5 = 0 THEN 'ticker' WHEN kind <= 1 AND n = 1 THEN 'name_exact'
+  WHEN kind <= 1 THEN 'ambiguous_exact' WHEN kind = 2 AND n = 1 THEN 'name_fuzzy' ELSE 'unresolved' END AS r,
+  CASE WHEN kind = 2 THEN 2.0 * (len_listed - 1) / (2 * len_listed - 1)
+    WHEN kind = 3 THEN 2.0 * 7 / (11 + len_listed) END AS ratio FROM sims)""",
+    """SELECT ticker, CASE WHEN r IN ('ticker', 'name_exact', 'name_fuzzy') THEN c_custkey END AS cik, r AS resolution,
+  CASE WHEN kind <> 1 THEN nm WHEN r = 'ticker' THEN 'Zzz Unknown' ELSE concat('Zzz Unknown | ', nm) END AS input_name,
+  CASE WHEN r = 'ticker' THEN concat(word, ' LISTED') WHEN r IN ('name_exact', 'name_fuzzy') THEN full_name END
+    AS matched_name,
+  CASE WHEN r IN ('ticker', 'name_exact') THEN 1.0 WHEN r <> 'ambiguous_exact' THEN ratio END AS score FROM steps""",
+)
 def resolve_identifiers(spark, sf):
     return RS.resolve_identifiers(
         named_tickers(spark, sf), ticker_map(spark, sf), listed_names(spark, sf)
@@ -864,7 +882,12 @@ def load_prices(spark, sf):
     )
 
 
-@query("sample_tickers", "ticker:s")
+@query(
+    "sample_tickers",
+    "ticker:s",
+    sql="""SELECT CAST(c_custkey AS VARCHAR) AS ticker FROM customer
+  ORDER BY md5(concat('42-', c_custkey)), 1 LIMIT 100""",
+)
 def sample_tickers(spark, sf):
     return SP.sample_tickers(
         table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("ticker")), 100

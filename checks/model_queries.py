@@ -579,9 +579,8 @@ def _register_model(version: str) -> None:
         f"{ID} n_train:i prediction:d rank:i",
     )
     def run(spark, sf):
-        return WF.run_walk_forward(
-            model_panel(spark, sf), version, START, END, training_months=TRAIN_MONTHS
-        )
+        rows = model_panel(spark, sf) if version == "v8" else panel(spark, sf)
+        return WF.run_walk_forward(rows, version, START, END, training_months=TRAIN_MONTHS)
 
 
 for _version in ("v3", "v5", "v6", "v7", "v8"):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from perennial.functions.columns import normalize_company_name, normalize_ticker
+from perennial.functions.storage import materialize
 
 # Identifiers verified by hand.
 OVERRIDES = [
@@ -111,7 +112,7 @@ def resolve_identifiers(
 
     Steps in order: verified override, ticker list, one company with exactly this normalised name,
     several such companies (ambiguous), the most similar name at or above the cutoff if it belongs
-    to one company, unresolved.
+    to one company, unresolved.  ``sec_names`` is read several times; pass a stored table.
     """
     spark = names.sparkSession
     fixed = spark.createDataFrame(OVERRIDES, "ticker string, o_cik long, o_name string")
@@ -137,12 +138,9 @@ def resolve_identifiers(
         F.lit(1.0).alias("score"),
     )
     rest = base.where(F.col("o_cik").isNull() & F.col("t_cik").isNull()).select("ticker", "names")
-    inputs = rest.select("ticker", F.posexplode("names").alias("place", "input_name")).withColumn(
-        "normalized", normalize_company_name("input_name")
-    )
     index = name_index(sec_names)
     exact = (
-        inputs.join(index, "normalized")
+        _named(rest).join(index, "normalized")
         .groupBy("ticker")
         .agg(
             F.min("cik").alias("x_cik"),
@@ -150,7 +148,7 @@ def resolve_identifiers(
         )
     )
     joined = F.concat_ws(" | ", "names")
-    state = rest.join(exact, "ticker", "left")
+    state = materialize(rest.join(exact, "ticker", "left"), "state")
     by_cik = sec_names.groupBy("cik").agg(F.min("name").alias("matched_name"))
     found = (
         state.where("x_one")
@@ -172,7 +170,7 @@ def resolve_identifiers(
     if not fuzzy:
         left = open_.withColumn("score", nothing.cast("double"))
         return out.unionByName(_unresolved(left))
-    asked = inputs.join(open_.select("ticker"), "ticker", "left_semi")
+    asked = _named(open_)
     scored = asked.join(
         similar_names(asked, sec_names, min_reported_score), "normalized"
     )
@@ -180,7 +178,8 @@ def resolve_identifiers(
         F.max_by(
             F.struct("input_name", "candidate", "score"), F.struct("score", -F.col("place"))
         ).alias("_b")
-    ).select("ticker", "_b.*")
+    )
+    best = materialize(best.select("ticker", "_b.*"), "similar")
     by_name = sec_names.groupBy(F.col("normalized").alias("candidate"), "cik").agg(
         F.min("name").alias("matched_name")
     )
@@ -199,6 +198,13 @@ def resolve_identifiers(
     return out.unionByName(accepted).unionByName(_unresolved(left))
 
 
+def _named(rows: DataFrame) -> DataFrame:
+    """One row per ticker and name, with the normalised name."""
+    return rows.select("ticker", F.posexplode("names").alias("place", "input_name")).withColumn(
+        "normalized", normalize_company_name("input_name")
+    )
+
+
 def _unresolved(rows: DataFrame) -> DataFrame:
     return rows.select(
         "ticker",

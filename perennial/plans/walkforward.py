@@ -84,10 +84,13 @@ def run_walk_forward(
     alpha: float = 10.0,
     min_test_rows: int = 30,
 ) -> DataFrame:
-    """Ranked out-of-sample predictions; ``start`` and ``end`` are month indexes."""
+    """Ranked out-of-sample predictions; ``start`` and ``end`` are month indexes.
+
+    The panel is read several times: pass a stored or materialized one.
+    """
     spec = MODELS[model] if isinstance(model, str) else model
     rows = panel if membership is None else members_only(panel, membership)
-    rows = materialize(rows.where(F.col(PERIOD).between(start - training_months, end)), "panel")
+    rows = rows.where(F.col(PERIOD).between(start - training_months, end))
     prepared = materialize(spec.prepare(rows), "prepared")
     predicted = walk_forward_predictions(
         prepared, spec.features, spec.target, start, end, training_months, alpha, min_test_rows

@@ -56,7 +56,7 @@ def load_prices(requested: DataFrame, prices: DataFrame) -> tuple[DataFrame, Dat
 
 def sample_tickers(tickers: DataFrame, k: int, seed: int = 42) -> DataFrame:
     """A repeatable sample of ``k`` distinct tickers, independent of partitioning."""
-    order = F.xxhash64(F.lit(seed), "ticker")
+    order = F.md5(F.concat_ws("-", F.lit(str(seed)), "ticker"))
     return tickers.select("ticker").distinct().orderBy(order, "ticker").limit(k)
 
 
