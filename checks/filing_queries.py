@@ -858,6 +858,32 @@ def download_worklist(spark, sf):
     return SF.download_worklist(wanted, status)
 
 
+@query(
+    "download_status",
+    "cik:i success:b error:s",
+    sql="""SELECT DISTINCT o_custkey AS cik, o_custkey % 4 >= 2 AS success, CASE o_custkey % 4
+  WHEN 0 THEN 'missing document' WHEN 1 THEN 'unreadable company facts' END AS error FROM orders""",
+)
+def download_status(spark, sf):
+    wanted = table(spark, sf, "orders").select(F.col("o_custkey").alias("cik"))
+    key = F.col("c_custkey")
+    good = F.to_json(F.struct(key.alias("cik"), F.col("c_name").alias("entityName")))
+    landed = table(spark, sf, "customer").where(key % 4 > 0).select(
+        key.alias("cik"), F.when(key % 4 == 1, F.lit("not json")).otherwise(good).alias("value")
+    )
+    return SF.download_status(wanted, landed)
+
+
+@query(
+    "cik_for_ticker",
+    "cik:i",
+    LISTED,
+    "SELECT c_custkey AS cik FROM base WHERE c_custkey = 35",
+)
+def cik_for_ticker(spark, sf):
+    return SF.cik_for_ticker(ticker_map(spark, sf), " c.35 ")
+
+
 @query(
     "load_prices",
     "ticker:s n:i error:s",

@@ -248,6 +248,22 @@ def decile_summary(spark, sf):
     return EV.decile_summary(materialize(table, "deciles"), "residual", averages)
 
 
+@query(
+    "decile_subperiods",
+    "span:s decile:i months:i average_residual:d average_excess:d average_beta:d",
+    DECILES + """,
+dspans AS (SELECT *, 'all' AS span FROM dec UNION ALL
+  SELECT *, CASE WHEN period_idx // 12 <= 1999 THEN 'to 1999' ELSE 'from 2000' END FROM dec UNION ALL
+  SELECT *, concat('year ', period_idx // 12) FROM dec)""",
+    """SELECT span, decile, count(*) AS months, avg(residual) AS average_residual,
+  avg(excess) AS average_excess, avg(beta) AS average_beta FROM dspans GROUP BY 1, 2""",
+)
+def decile_subperiods(spark, sf):
+    table = CS.decile_table(decile_rows(spark, sf), "momentum_6m", DECILE_MEASURES, 50)
+    averages = {v: f"average_{v}" for v in ("excess", "residual", "beta")}
+    return EV.decile_subperiods(table, averages, 1999)
+
+
 @query(
     "hac_t",
     "ticker:s ret_hac_t:d residual_hac_t:d",
@@ -587,6 +603,14 @@ for _version in ("v3", "v5", "v6", "v7", "v8"):
     _register_model(_version)
 
 
+@query("diagnostics_v7", MONTHLY_SPEC)
+def diagnostics_v7(spark, sf):
+    found = WF.run_walk_forward(
+        panel(spark, sf), "v7", START, END, training_months=TRAIN_MONTHS
+    )
+    return WF.diagnose(materialize(found, "ranked"), "v7")
+
+
 # Portfolios on the two-feature predictions.
 WEIGHT_SPEC = f"strategy:s {ID} weight:d ret:d"
 BASE = PREDS + f""",

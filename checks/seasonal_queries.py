@@ -356,6 +356,18 @@ def analyze_errors(spark, sf):
     return P.scan_errors(prices(spark, sf), benchmark(spark, sf), ENTRIES, HOLDINGS, SCAN_LIMITS)
 
 
+@query(
+    "quality_filter",
+    f"{KEY_SPEC} {spec(TRAIN)}",
+    OBS15 + ",\n" + analyzed_sql(KEY, MIN_TRAINING, TEST_YEARS),
+    """SELECT * FROM analyzed WHERE train_sample_size >= 3 AND train_win_rate >= 0.5
+  AND train_median_return >= 0 AND train_beat_rate >= 0.4 AND train_median_excess >= -0.01""",
+)
+def quality_filter(spark, sf):
+    found = V.analyze(compared(spark, sf, 15), MIN_TRAINING, TEST_YEARS)
+    return V.quality_filter(found, 0.5, 3, 0.0, 0.4, -0.01)
+
+
 SCAN_SQL = (
     observations_sql([(8, 20)], [10])
     + ",\n" + recent_sql(15) + ",\n" + analyzed_sql(KEY, MIN_TRAINING, TEST_YEARS)

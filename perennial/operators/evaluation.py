@@ -185,6 +185,16 @@ def subperiods(monthly: DataFrame, last_early_year: int = 2020) -> DataFrame:
     return monthly.select("*", F.explode(spans).alias("span"))
 
 
+def decile_subperiods(
+    deciles: DataFrame, averages: dict[str, str], last_early_year: int = 2020
+) -> DataFrame:
+    """Mean measures per decile for each half, each year and overall."""
+    rows = subperiods(deciles, last_early_year)
+    return rows.groupBy("span", "decile").agg(
+        F.count(F.lit(1)).alias("months"), *[F.avg(c).alias(n) for c, n in averages.items()]
+    )
+
+
 def subperiod_robustness(monthly: DataFrame, last_early_year: int = 2020) -> DataFrame:
     """Rank correlation and long-short statistics per half, per year and overall."""
     rows = subperiods(monthly, last_early_year)

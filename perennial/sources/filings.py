@@ -47,6 +47,24 @@ def download_worklist(resolution: DataFrame, status: DataFrame) -> DataFrame:
     return wanted.distinct().join(done, "cik", "left_anti")
 
 
+def download_status(resolution: DataFrame, landed: DataFrame) -> DataFrame:
+    """(cik, success, error) for every resolved company, from the documents that have landed.
+
+    ``landed`` is (cik, value); a company with several documents succeeds if one of them parses.
+    """
+    wanted = resolution.where(F.col("cik").isNotNull()).select(F.col("cik").cast("bigint").alias("cik"))
+    readable = F.from_json("value", FACTS_SCHEMA)["cik"].isNotNull()
+    seen = landed.groupBy(F.col("cik").cast("bigint").alias("cik")).agg(
+        F.bool_or(readable).alias("_ok")
+    )
+    error = F.when(F.col("_ok").isNull(), F.lit("missing document")).when(
+        ~F.col("_ok"), F.lit("unreadable company facts")
+    )
+    return wanted.distinct().join(seen, "cik", "left").select(
+        "cik", F.coalesce("_ok", F.lit(False)).alias("success"), error.alias("error")
+    )
+
+
 def parse_ticker_map(documents: DataFrame, column: str = "value") -> DataFrame:
     """(ticker, cik, title) from the JSON object of listed companies; the last entry of a ticker wins."""
     entries = documents.select(
