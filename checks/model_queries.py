@@ -396,6 +396,10 @@ def t_sql(v: str) -> str:
   ELSE avg({v}) / (stddev_samp({v}) / sqrt(count({v}))) END"""
 
 
+def or_zero(aggregate: str) -> str:
+    return f"CASE WHEN count(*) = 0 THEN 0 ELSE {aggregate} END"
+
+
 SUMMARY_MEANS = [
     "top_return", "top_excess", "top_residual", "ex_bottom_return", "ex_bottom_excess",
     "ex_bottom_residual", "bottom_residual", "long_short_return", "long_short_residual",
@@ -464,11 +468,14 @@ def signal_diagnostics(spark, sf):
   positive_quality_ic_rate:d average_top_residual:d average_bottom_residual:d average_top_excess:d
   prediction_ic_hac_t:d quality_ic_hac_t:d spread_hac_t:d""",
     SIGNALS + ", one AS (SELECT *, 0 AS grp FROM sig)",
-    f"""SELECT count(*) AS months, avg(prediction_ic) AS average_ic, median(prediction_ic) AS median_ic,
-  avg((prediction_ic > 0)::INT) AS positive_ic_rate, {t_sql('prediction_ic')} AS ic_t,
-  avg(long_short_residual) AS average_spread, median(long_short_residual) AS median_spread,
-  avg((long_short_residual > 0)::INT) AS positive_spread_rate, {t_sql('long_short_residual')} AS spread_t,
-  avg(long_short_excess) AS average_excess_spread, avg(quality_ic) AS average_quality_ic,
+    f"""SELECT count(*) AS months, {or_zero('avg(prediction_ic)')} AS average_ic,
+  {or_zero('median(prediction_ic)')} AS median_ic,
+  {or_zero('avg((prediction_ic > 0)::INT)')} AS positive_ic_rate, {t_sql('prediction_ic')} AS ic_t,
+  {or_zero('avg(long_short_residual)')} AS average_spread,
+  {or_zero('median(long_short_residual)')} AS median_spread,
+  {or_zero('avg((long_short_residual > 0)::INT)')} AS positive_spread_rate,
+  {t_sql('long_short_residual')} AS spread_t,
+  {or_zero('avg(long_short_excess)')} AS average_excess_spread, avg(quality_ic) AS average_quality_ic,
   median(quality_ic) AS median_quality_ic, avg((quality_ic > 0)::INT) AS positive_quality_ic_rate,
   avg(top_residual) AS average_top_residual, avg(bottom_residual) AS average_bottom_residual,
   avg(top_excess) AS average_top_excess,

@@ -95,7 +95,10 @@ def signal_diagnostics(predictions: DataFrame, min_rows: int = 20) -> DataFrame:
 
 
 def summarize_signals(diagnostics: DataFrame) -> DataFrame:
-    """One row of averages, medians, positive rates, plain and autocorrelation-robust t."""
+    """One row of averages, medians, positive rates, plain and autocorrelation-robust t.
+
+    Without any month the averages of correlation and spread are 0 and the rest null.
+    """
     flat = diagnostics.withColumnRenamed("long_short_residual", "spread")
     series = ["prediction_ic", "quality_ic", "spread"]
     plain = flat.agg(
@@ -116,8 +119,15 @@ def summarize_signals(diagnostics: DataFrame) -> DataFrame:
         F.avg("bottom_residual").alias("average_bottom_residual"),
         F.avg("top_excess").alias("average_top_excess"),
     )
-    robust = hac_t(flat.withColumn("_all", F.lit(0)), ["_all"], PERIOD, series).drop("_all")
-    return plain.crossJoin(F.broadcast(robust))
+    robust = hac_t(flat.withColumn("_all", F.lit(0)), ["_all"], PERIOD, series)
+    out = plain.withColumn("_all", F.lit(0)).join(F.broadcast(robust), "_all", "left").drop("_all")
+    zero_when_empty = [
+        "average_ic", "median_ic", "positive_ic_rate", "average_spread", "median_spread",
+        "positive_spread_rate", "average_excess_spread",
+    ]
+    return out.withColumns(
+        {c: F.when(F.col("months") == 0, F.lit(0.0)).otherwise(F.col(c)) for c in zero_when_empty}
+    )
 
 
 def top_portfolio(predictions: DataFrame, top_n: int = 10) -> DataFrame:
