@@ -16,7 +16,6 @@ SECTOR_FEATURES = (
     "sector_correlation", "sector_momentum_3m", "sector_momentum_6m", "sector_momentum_12m",
     "sector_volatility_6m", "sector_volatility_12m",
 )
-FEATURES_V8_EXTRA = SECTOR_FEATURES
 
 
 def sector_returns(sector_prices: DataFrame) -> DataFrame:
