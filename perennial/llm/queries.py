@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from perennial.llm import decontam, mixing, pii, token_count
+from perennial.llm import decontam, mixing, ngram_join, pii, token_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -103,3 +103,27 @@ def op8_token_counts(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
     return token_count.with_token_counts(docs, vocabulary).drop("text")
+
+
+NEAR_SQL = """WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text,
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), []) AS w
+  FROM documents),
+s AS (SELECT DISTINCT doc_id, list_slice(w, i, i + 2) AS s FROM (
+  SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.s = b.s
+  AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+  WHERE 100 * shared >= 90 * (x.n + y.n - shared)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (WITH RECURSIVE r(a, b) AS (SELECT a, b FROM edge UNION
+  SELECT r.a, e.b FROM r JOIN edge e ON r.b = e.a) SELECT a, min(b) AS least FROM r GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, reach.least) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN reach ON reach.a = d.doc_id"""
+
+
+@query("op9_ngram_jaccard_join", NEAR_SQL)
+def op9_ngram_jaccard_join(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = ngram_join.ngram_jaccard_join(docs, n=3, similarity=(90, 100))
+    return found.select("doc_id", "n_shingles", "component_id")
