@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from perennial.llm import decontam, mixing, ngram_join, pii, token_count
+from perennial.llm import decontam, langid, mixing, ngram_join, pii, token_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -127,3 +128,16 @@ def op9_ngram_jaccard_join(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = ngram_join.ngram_jaccard_join(docs, n=3, similarity=(90, 100))
     return found.select("doc_id", "n_shingles", "component_id")
+
+
+def held_out(key, parts: int, part: int):
+    return F.crc32(key.cast("string")) % parts == part
+
+
+@query("op6_language_id")
+def op6_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    apart = held_out(F.col("doc_id"), 5, 0)
+    model = langid.fit(docs.where(~apart), F.col("doc_id"))
+    found = langid.with_language(docs.withColumn("held_out", apart), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score")
