@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perennial.llm import decontam, langid, mixing, ngram_join, pii, token_count
+from perennial.llm import decontam, langid, mixing, ngram_join, order_minhash, pii, token_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -141,3 +141,9 @@ def op6_language_id(spark, sf_dir):
     model = langid.fit(docs.where(~apart), F.col("doc_id"))
     found = langid.with_language(docs.withColumn("held_out", apart), model)
     return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op7_order_minhash")
+def op7_order_minhash(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return order_minhash.compare_with_next(docs)
