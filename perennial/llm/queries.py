@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perennial.llm import decontam, langid, mixing, ngram_join, order_minhash, pii, token_count
+from perennial.llm import decontam, langid, mixing, ngram_join, order_minhash, pii, token_count, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -147,3 +147,16 @@ def op6_language_id(spark, sf_dir):
 def op7_order_minhash(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return order_minhash.compare_with_next(docs)
+
+
+@query("op5_toxicity")
+def op5_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    apart = held_out(F.col("doc_id"), 3, 1)
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    learned = ~held_out(F.col("doc_id"), 3, 1)
+    model = toxicity.fit(docs, labels.where(learned))
+    scored = toxicity.with_toxicity(docs.withColumn("held_out", apart), model)
+    return scored.select(
+        "doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
