@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perennial.llm import decontam, langid, mixing, ngram_join, order_minhash, pii, token_count, toxicity
+from perennial.llm import cotrain, decontam, langid, mixing, ngram_join, order_minhash, pii, token_count, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -166,3 +166,19 @@ def op5_toxicity(spark, sf_dir):
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
+
+
+@query("op10_quality_cotraining")
+def op10_quality_cotraining(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    model = cotrain.fit(docs, labels.where(~held_out(F.col("doc_id"), 3, 1)))
+    scored = cotrain.with_quality(docs, model)
+    return scored.select(
+        "doc_id",
+        held_out(F.col("doc_id"), 3, 1).alias("held_out"),
+        F.col("quality.content").alias("content_score"),
+        F.col("quality.metadata").alias("metadata_score"),
+        F.col("quality.score").alias("score"),
+        (F.col("quality.score") >= 0.5).cast("int").alias("predicted"),
+    )
