@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perennial.llm import cotrain, decontam, langid, mixing, ngram_join, order_minhash, pii, token_count, toxicity
+from perennial.llm import cotrain, decontam, langid, mixing, ngram_join, order_minhash, pii, token_count, tool_calls, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -163,6 +163,64 @@ def op5_toxicity(spark, sf_dir):
     )
 
 
+#: Tools of the chat query: what a question may look like.
+TOOLS = {
+    "ask": '{"type":"object","required":["question","turn"],"additionalProperties":false,"properties":'
+    '{"question":{"type":"string","minLength":1,"maxLength":400},"turn":{"type":"integer","maximum":5}}}',
+    "start": '{"type":"object","required":["question","turn"],"properties":'
+    '{"question":{"type":"string","minLength":1},"turn":{"enum":[0,1]}}}',
+}
+CALLS_SQL = """WITH calls AS (SELECT conv_id, conv_id || ':' || turn AS call_id, turn, text,
+  CASE WHEN turn < 2 THEN 'start' ELSE 'ask' END AS name, turn - 2 AS earlier
+  FROM conversations WHERE role = 'user'),
+results AS (SELECT conv_id, conv_id || ':' || (turn - 1) AS call_id, text AS content
+  FROM conversations WHERE role = 'assistant'),
+linked AS (SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id,
+  c.name, c.turn AS position, CASE WHEN c.call_id IS NULL THEN 'orphan_result'
+  WHEN c.turn >= 2 AND p.call_id IS NULL THEN 'missing_dependency'
+  WHEN r.call_id IS NULL THEN 'no_result' ELSE 'linked' END AS status, c.text, r.content, c.turn
+  FROM calls c FULL JOIN results r ON c.conv_id = r.conv_id AND c.call_id = r.call_id
+  LEFT JOIN calls p ON p.conv_id = c.conv_id AND p.turn = c.earlier)
+SELECT conv_id, call_id, name, position, status, CASE WHEN name IS NULL THEN '' ELSE concat_ws('; ',
+    CASE WHEN name = 'ask' AND length(text) > 400 THEN '$.question: too long' END,
+    CASE WHEN length(text) < 1 THEN '$.question: too short' END,
+    CASE WHEN name = 'ask' AND turn > 5 THEN '$.turn: above maximum' END) END AS errors,
+  '{"arguments":' || CASE WHEN name IS NULL THEN 'null' ELSE '{"question":' || to_json(text) || ',"turn":'
+  || turn || '}' END || ',"call_id":' || to_json(call_id) || ',"content":'
+  || coalesce(CAST(to_json(content) AS VARCHAR), 'null') || ',"conv_id":' || conv_id || ',"name":'
+  || coalesce(CAST(to_json(name) AS VARCHAR), 'null') || '}' AS record FROM linked"""
+
+
+@query("op1_tool_calls", CALLS_SQL)
+def op1_tool_calls(spark, sf_dir):
+    """Every user turn calls a tool and depends on the user turn before; the next turn answers it."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+
+    def name(turn):
+        return F.concat_ws(":", F.col("conv_id"), turn)
+
+    calls = turns.where("role = 'user'").select(
+        "conv_id",
+        name(F.col("turn")).alias("call_id"),
+        F.col("turn").alias("place"),
+        F.when(F.col("turn") < 2, "start").otherwise("ask").alias("name"),
+        F.to_json(F.struct("turn", F.col("text").alias("question"))).alias("arguments"),
+        F.when(F.col("turn") >= 2, F.array(name(F.col("turn") - 2)))
+        .otherwise(F.array().cast("array<string>"))
+        .alias("after"),
+    )
+    results = turns.where("role = 'assistant'").select(
+        "conv_id",
+        name(F.col("turn") - 1).alias("call_id"),
+        F.col("turn").alias("place"),
+        F.col("text").alias("content"),
+    )
+    schemas = spark.createDataFrame(sorted(TOOLS.items()), "name string, schema string")
+    linked = tool_calls.link_calls(calls, results, schemas)
+    errors = F.array_join("errors", "; ").alias("errors")
+    return linked.select("conv_id", "call_id", "name", "position", "status", errors, "record")
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
