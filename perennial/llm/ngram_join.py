@@ -6,7 +6,8 @@ common shingles last, so prefixes are rare and lists short.  The steps:
 
 1. *Counts.*  Every shingle of every document is counted; tasks send sorted 32-bit remainders in
    one block per range instead of a row per shingle.  The commonest ``MOST_RANKED`` get a rank, and
-   a bitmap of ``BITMAP_BITS`` tells which shingles may occur more than once.
+   two bitmaps of ``BITMAP_BITS`` tell which others may occur twice, and which four times.  The order
+   is: shingles of one document, of few, of more, ranked ones; then by hash.
 2. *Sketches.*  Per document: size, fingerprints of set and prefix, and those shingles of the prefix
    that may occur elsewhere, with their places.  The table is written once.
 3. *Groups.*  Equal sets become one node; nodes of equal prefix and size become one group.
@@ -18,7 +19,7 @@ common shingles last, so prefixes are rare and lists short.  The steps:
    components exact.  No pair inside a component is ever made.
 
 Sets are read from the texts only for nodes in candidate pairs and travel to blocks of pairs, each
-set once per block.  Nothing but counts, the bitmap and the ranked shingles (all of fixed size)
+set once per block.  Nothing but counts, the bitmaps and the ranked shingles (all of fixed size)
 reaches the driver; ids of candidates are broadcast only below ``MOST_SENT``, else joined.
 
 Shingles are 64-bit hashes: sizes and similarities are those of the hash sets, which differ from
@@ -45,7 +46,7 @@ from perennial.functions.storage import materialize
 from perennial.llm.textops import SPACED, mix64, pieces, split_words, utf8
 
 MOST_RANKED = 1 << 17
-BITMAP_BITS = 1 << 27
+BITMAP_BITS = 1 << 26
 MOST_SENT = 2_000_000
 PIVOTS = 8
 #: Bytes of sets in one block of pairs.
@@ -118,7 +119,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _count_ranges(texts: DataFrame, like: Likeness, bits: int) -> DataFrame:
-    """Per range of hashes: shingles met at least 4 times with counts, and the bitmap's part."""
+    """Per range of hashes: shingles met at least 4 times with counts, and the bitmaps' parts."""
 
     def gather(batches):
         held, size = [], 0
@@ -153,8 +154,9 @@ def _count_ranges(texts: DataFrame, like: Likeness, bits: int) -> DataFrame:
         part = table.column("part")[0].as_py()
         low = np.concatenate([np.frombuffer(b.as_py(), "<u4") for b in table.column("low")])
         low, counts = np.unique(low, return_counts=True)
-        flags = np.zeros(slice_bits, bool)
-        flags[(low[counts > 1].astype(np.int64) * slice_bits) >> 32] = True
+        flags = np.zeros((2, slice_bits), bool)
+        for i, least in enumerate((2, 4)):
+            flags[i, (low[counts >= least].astype(np.int64) * slice_bits) >> 32] = True
         common = counts >= 4
         tokens = (np.int64(part) << 32) | low[common].astype(np.int64)
         return pa.table(
@@ -174,7 +176,7 @@ def _count_ranges(texts: DataFrame, like: Likeness, bits: int) -> DataFrame:
 
 @dataclass
 class Order:
-    """What tasks need to order shingles: ranked tokens (ascending), ranks, and the bitmap."""
+    """What tasks need to order shingles: ranked tokens (ascending), ranks, and the bitmaps."""
 
     bits: int
     tokens: np.ndarray
@@ -189,9 +191,13 @@ class Order:
         return (shingles >> _U(32 - self.bits)).astype(np.int64)
 
     def rank(self, shingles: np.ndarray) -> np.ndarray:
-        """0 for shingles without a rank; common ones have the highest."""
+        """0 only for shingles that one document alone has; common ones have the highest."""
         token = self.token(shingles)
-        out = np.zeros(len(token), np.int32)
+        bit = token >> (32 + self.bits - int(math.log2(BITMAP_BITS)))
+        byte, shift = bit >> 3, (7 - (bit & 7)).astype(np.uint8)
+        out = ((self.bitmap[0][byte] >> shift) & 1).astype(np.int32)
+        more = np.flatnonzero(out)
+        out[more] += (self.bitmap[1][byte[more]] >> shift[more]) & 1
         some = np.flatnonzero(self.maybe[token & 0xFFFFF])
         if len(some):
             at = np.minimum(np.searchsorted(self.tokens, token[some]), len(self.tokens) - 1)
@@ -199,11 +205,6 @@ class Order:
             out[some[found]] = self.ranks[at[found]]
         return out
 
-    def elsewhere(self, shingles: np.ndarray) -> np.ndarray:
-        """False only for shingles that one document alone has."""
-        bit = self.token(shingles) >> (32 + self.bits - int(math.log2(BITMAP_BITS)))
-        return (self.bitmap[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1
-
 
 def _order(texts: DataFrame, like: Likeness) -> Order:
     spark = texts.sparkSession
@@ -223,12 +224,14 @@ def _order(texts: DataFrame, like: Likeness) -> Order:
     counts = np.array([r["counts"] for r in ranked], np.int64)
     by_count = np.lexsort((tokens, counts))
     ranks = np.empty(len(tokens), np.int32)
-    ranks[by_count] = np.arange(1, len(tokens) + 1)
+    ranks[by_count] = np.arange(3, len(tokens) + 3)
     sort = np.argsort(tokens)
-    bitmap = np.zeros(BITMAP_BITS >> 3, np.uint8)
+    bitmap = np.zeros((2, BITMAP_BITS >> 3), np.uint8)
     size = BITMAP_BITS >> bits >> 3
     for r in table.select("part", "bitmap").toLocalIterator():
-        bitmap[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(r["bitmap"], np.uint8)
+        bitmap[:, r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(
+            r["bitmap"], np.uint8
+        ).reshape(2, size)
     return Order(bits, tokens[sort], ranks[sort], bitmap)
 
 
@@ -251,14 +254,14 @@ def _sketch(rows: DataFrame, like: Likeness, sent, salt: int) -> DataFrame:
     def sketch(batches):
         order: Order = sent.value
         for batch in batches:
-            size, prints, prefixes = [], [], []
+            size, prints, prefixes, elsewhere = [], [], [], []
             for s in _sets_of(batch.column(3), like.n):
                 rank = order.rank(s)
                 take = like.prefix(len(s)) if len(s) else 0
-                if rank.any():
-                    prefix = s[np.lexsort((s, rank))[:take]]
-                else:
-                    prefix = s[:take]
+                alone = np.flatnonzero(rank == 0)[:take]
+                chosen = alone if len(alone) == take else np.lexsort((s, rank))[:take]
+                prefix = s[chosen]
+                elsewhere.append(rank[chosen] > 0)
                 size.append(len(s))
                 prints.append((*_fingerprint(s, salt), *_fingerprint(prefix, salt)))
                 prefixes.append(prefix)
@@ -267,7 +270,7 @@ def _sketch(rows: DataFrame, like: Likeness, sent, salt: int) -> DataFrame:
             owner = np.repeat(np.arange(len(prefixes)), lengths)
             start = np.cumsum(lengths) - lengths
             place = np.arange(len(flat)) - np.repeat(start, lengths)
-            keep = order.elsewhere(flat)
+            keep = np.concatenate(elsewhere) if elsewhere else np.zeros(0, bool)
             offsets = np.zeros(len(prefixes) + 1, np.int32)
             np.cumsum(np.bincount(owner[keep], minlength=len(prefixes)), out=offsets[1:])
             numbers = np.array(prints, np.int64).reshape(-1, 4)
