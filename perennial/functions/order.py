@@ -1,16 +1,18 @@
 """Exact order statistics inside groups that are too large for one task.
 
 A month of a large panel can hold a sizeable share of all rows, so ``Window.partitionBy(month)``
-would sort that month in one task.  These operators split every group into value ranges first:
-about one row in ``rows_per_range`` (chosen by hash, so it is the same row on every attempt)
-becomes a cut point, the rows of a range are sorted together, and the number of rows in the lower
-ranges of the group is added.  The cut points only decide how the work is split, never the result.
+would sort that month in one task.  These operators range-partition the rows by (group, order) and
+store the result once with the number of each range.  Rows are then numbered inside their range, and
+the sizes of the group's lower ranges are added.  Nothing a row carries depends on the size of the
+data, and ranges only decide how the work is split, never the result.
 
-Bounds: the table of cut points is broadcast and has about one entry per ``rows_per_range`` rows
-(a trillion rows give a million entries, some tens of MB) in one row per group.  Use these operators
-for few, large groups (months, one global order); for many small groups a plain window is right.
+A value shared by many rows is split over ranges by a hash of the row's identity; its average rank
+follows from the counts at the ends of ranges.  Missing values come last.
 
-The input is read three times (cut points, range sizes, rows), so materialize a costly one first.
+Bounds: one row per (group, range) is broadcast, so as many as there are groups and partitions.  Use
+these operators for few, large groups (months, one global order); for many small groups a plain window is right.
+
+The range partitioner samples its input before the shuffle, so materialize a costly one first.
 """
 
 from __future__ import annotations
@@ -20,9 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_RANGE = 1_000_000
-TIE_SALTS = 64
-
+from perennial.functions.storage import materialize
 
 def _grouped(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
     if keys:
@@ -30,9 +30,19 @@ def _grouped(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
     return df.withColumn("_all", F.lit(0)), ["_all"]
 
 
-def _cut_rows(df: DataFrame, identity: Sequence[Column], rows_per_range: int) -> DataFrame:
-    return df.where(F.pmod(F.xxhash64(*identity), F.lit(rows_per_range)) == 0)
+def _ranges(
+    rows: DataFrame, keys: Sequence[str], names: Sequence[str], rows_per_range: int | None
+) -> DataFrame:
+    """The rows with ``_range``, stored; ranges follow (keys, names).
 
+    Without ``rows_per_range`` Spark sizes the partitions.
+    """
+    by = [*keys, *[F.col(n).asc_nulls_last() for n in names]]
+    if rows_per_range is None:
+        ranged = rows.repartitionByRange(*by)
+    else:
+        ranged = rows.repartitionByRange(max(1, -(-rows.count() // rows_per_range)), *by)
+    return materialize(ranged.withColumn("_range", F.spark_partition_id()), "ranges")
 
 
 def _offsets(ranged: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -50,23 +60,15 @@ def _offsets(ranged: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def _ranged_by_row(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], rows_per_range: int
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], rows_per_range: int | None
 ) -> tuple[DataFrame, list[str]]:
     names = [f"_o{i}" for i in range(len(order))]
     rows = df.select("*", *[c.alias(n) for c, n in zip(order, names)])
-    row_key = F.struct(*names)
-    cuts = (
-        _cut_rows(rows, [F.col(c) for c in [*keys, *names]], rows_per_range)
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(row_key)).alias("_cuts"))
-    )
-    lower = F.size(F.filter("_cuts", lambda c: c <= row_key))
-    ranged = (
-        rows.join(F.broadcast(cuts), list(keys), "left")
-        .withColumn("_range", F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(lower))
-        .drop("_cuts")
-    )
-    return ranged, names
+    return _ranges(rows, keys, names, rows_per_range), names
+
+
+def _in_range(keys: Sequence[str], names: Sequence[str]):
+    return Window.partitionBy(*keys, "_range").orderBy(*[F.col(n).asc_nulls_last() for n in names])
 
 
 def with_positions(
@@ -75,7 +77,7 @@ def with_positions(
     order: Sequence[Column],
     position: str = "position",
     size: str | None = None,
-    rows_per_range: int = ROWS_PER_RANGE,
+    rows_per_range: int | None = None,
 ) -> DataFrame:
     """Add the 1-based place of every row in its group under a total ascending ``order``.
 
@@ -85,9 +87,8 @@ def with_positions(
     columns = df.columns
     rows, keys = _grouped(df, keys)
     ranged, names = _ranged_by_row(rows, keys, order, rows_per_range)
-    local = Window.partitionBy(*keys, "_range").orderBy(*names)
-    placed = ranged.withColumn("_local", F.row_number().over(local)).join(
-        _offsets(ranged, keys), [*keys, "_range"]
+    placed = ranged.withColumn("_local", F.row_number().over(_in_range(keys, names))).join(
+        F.broadcast(_offsets(ranged, keys)), [*keys, "_range"]
     )
     extra = [(F.col("_before") + F.col("_local")).cast("long").alias(position)]
     if size:
@@ -103,51 +104,57 @@ def with_average_rank(
     rank: str = "average_rank",
     size: str | None = None,
     percentile: str | None = None,
-    rows_per_range: int = ROWS_PER_RANGE,
+    rows_per_range: int | None = None,
 ) -> DataFrame:
     """Add the rank of ``value`` in its group, ties sharing the mean of their places.
 
-    Rows with a null value keep null.  A value that many rows share becomes a range of its own:
-    its rank follows from counts alone, so its rows are spread over ``TIE_SALTS`` tasks.
+    Rows with a null value keep null.
     """
     columns = df.columns
     rows, keys = _grouped(df, keys)
-    cuts = (
-        _cut_rows(
-            rows.where(F.col(value).isNotNull()),
-            [F.col(c) for c in [*keys, value, *identity]],
-            rows_per_range,
+    rows = rows.withColumn("_salt", F.xxhash64(*identity))
+    stored = _ranges(rows, keys, [value, "_salt"], rows_per_range)
+    known = stored.where(F.col(value).isNotNull())
+    offsets = _offsets(known, keys)
+    ends = known.groupBy(*keys, "_range").agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    crossing = (
+        ends.select(*keys, F.explode(F.array_distinct(F.array("_lo", "_hi"))).alias(value))
+        .groupBy(*keys, value)
+        .agg(F.count(F.lit(1)).alias("_in"))
+        .where("_in > 1")
+        .drop("_in")
+    )
+    # rows before the value's first range are lower; in that range it is the highest
+    shared = (
+        known.join(F.broadcast(crossing), [*keys, value])
+        .groupBy(*keys, value, "_range")
+        .agg(F.count(F.lit(1)).alias("_equal"))
+        .join(F.broadcast(offsets), [*keys, "_range"])
+        .groupBy(*keys, value)
+        .agg(
+            F.min_by(F.col("_before") + F.col("_n") - F.col("_equal"), "_range").alias("_less"),
+            F.sum("_equal").alias("_all_equal"),
         )
-        .groupBy(*keys)
-        .agg(F.collect_set(value).alias("_cuts"))
-    )
-    below = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
-    tied = F.array_contains("_cuts", F.col(value))
-    zone = F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(2 * below + tied.cast("int"))
-    salt = F.pmod(F.xxhash64(*identity), F.lit(TIE_SALTS)).cast("int")
-    ranged = (
-        rows.join(F.broadcast(cuts), list(keys), "left")
-        .withColumn("_range", F.when(F.col(value).isNull(), F.lit(-1)).otherwise(zone))
-        .withColumn("_salt", F.when(F.col("_range") % 2 == 0, F.lit(0)).otherwise(salt))
-        .drop("_cuts")
     )
-    local = Window.partitionBy(*keys, "_range", "_salt")
-    same = Window.partitionBy(*keys, "_range", "_salt", value)
-    ranked = ranged.withColumn("_first", F.rank().over(local.orderBy(value))).withColumn(
-        "_ties", F.count(F.lit(1)).over(same)
-    )
-    offsets = _offsets(ranged.where(F.col(value).isNotNull()), keys)
-    placed = ranked.join(offsets, [*keys, "_range"], "left")
-    inside = F.when(
-        F.col("_range") % 2 == 0, F.col("_first") + (F.col("_ties") - 1) / F.lit(2.0)
-    ).otherwise((F.col("_n") + 1) / F.lit(2.0))
-    average = F.when(F.col(value).isNotNull(), F.col("_before") + inside)
-    extra = [average.alias(rank)]
+    same = Window.partitionBy(*keys, "_range", value)
+    placed = (
+        known.withColumn("_first", F.rank().over(_in_range(keys, [value])))
+        .withColumn("_ties", F.count(F.lit(1)).over(same))
+        .join(F.broadcast(offsets), [*keys, "_range"])
+        .join(F.broadcast(shared), [*keys, value], "left")
+    )
+    average = F.when(
+        F.col("_less").isNotNull(), F.col("_less") + (F.col("_all_equal") + 1) / F.lit(2.0)
+    ).otherwise(F.col("_before") + F.col("_first") + (F.col("_ties") - 1) / F.lit(2.0))
+    extra = [(average, rank, "double")]
     if size:
-        extra.append(F.col("_size").cast("long").alias(size))
+        extra.append((F.col("_size"), size, "long"))
     if percentile:
-        extra.append((average / F.col("_size")).alias(percentile))
-    return placed.select(*columns, *extra)
+        extra.append((average / F.col("_size"), percentile, "double"))
+    missing = stored.where(F.col(value).isNull())
+    return placed.select(*columns, *[c.cast(t).alias(n) for c, n, t in extra]).unionByName(
+        missing.select(*columns, *[F.lit(None).cast(t).alias(n) for _, n, t in extra])
+    )
 
 
 def exact_quantiles(
@@ -156,7 +163,7 @@ def exact_quantiles(
     value: str,
     identity: Sequence[str],
     quantiles: dict[str, float],
-    rows_per_range: int = ROWS_PER_RANGE,
+    rows_per_range: int | None = None,
 ) -> DataFrame:
     """One row per group with linearly interpolated quantiles of the non-null values.
 
@@ -176,7 +183,7 @@ def exact_quantiles(
         wanted, lambda p: (p > F.col("_before")) & (p <= F.col("_before") + F.col("_n"))
     )
     needed = _offsets(ranged, keys).where(inside)
-    local = Window.partitionBy(*keys, "_range").orderBy(*names)
+    local = _in_range(keys, names)
     placed = (
         ranged.join(F.broadcast(needed), [*keys, "_range"])
         .withColumn("_place", F.col("_before") + F.row_number().over(local))

@@ -1,8 +1,9 @@
 """Quantiles of Student's t distribution as a column expression.
 
-For an integer number of degrees of freedom the distribution function is a finite
-trigonometric sum, so a small table is solved once by bisection; beyond the table the
-Cornish-Fisher expansion in 1/df is accurate to about 1e-9.
+For an integer number of degrees of freedom the distribution function is a finite trigonometric
+sum, so quantiles are solved by bisection.  A table holds those for up to ``TABLE_SIZE``; beyond it the
+Cornish-Fisher expansion in 1/df, whose error falls with the fifth power of df, is below 1e-9 for
+every confidence from 0.001 to 0.999.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from statistics import NormalDist
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TABLE_SIZE = 30
+TABLE_SIZE = 200
 
 
 def student_cdf(t: float, df: int) -> float:

@@ -25,6 +25,9 @@ def eligible(predictions: DataFrame, min_rows: int, prediction: str = "predictio
     rows = predictions.dropna(
         subset=["ticker", prediction, "ret", "bench_ret", "beta_24m"]
     ).select(PERIOD, "ticker", F.col(prediction).alias("prediction"), "ret", "bench_ret", "beta_24m")
+    # of a repeated ticker the row with the highest prediction stays
+    kept = F.max(F.struct("prediction", "ret", "bench_ret", "beta_24m")).alias("_kept")
+    rows = rows.groupBy(PERIOD, "ticker").agg(kept).select(PERIOD, "ticker", "_kept.*")
     sizes = rows.groupBy(PERIOD).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_rows)
     return rows.join(F.broadcast(sizes.drop("_n")), PERIOD, "left_semi")
 
@@ -100,6 +103,8 @@ def beta_range(rows: DataFrame, max_weight: float) -> DataFrame:
 
 
 STEPS = (1.0, 0.5, 0.25, 0.0625)
+#: Largest accepted miss of the weight sum and of the standardised beta.
+TOLERANCE = 1e-8
 
 
 def _dual_pass(rows: DataFrame, candidates: list[tuple[int, int, float, float]]) -> list:
@@ -129,14 +134,15 @@ def _dual_pass(rows: DataFrame, candidates: list[tuple[int, int, float, float]])
 
 
 def beta_target_weights(
-    base: DataFrame, target_beta: float = 1.0, max_weight: float = 0.02, max_passes: int = 60
+    base: DataFrame, target_beta: float = 1.0, max_weight: float = 0.02
 ) -> DataFrame:
     """Nearest weights to ``base`` (least squares) with sum 1, the target beta and a weight cap.
 
     The target is clipped to what the cap allows.  The solution is ``clip(base + a + b*beta, 0, cap)``
     with two multipliers per month, found by Newton's method on the convex dual: every pass is one
     grouped aggregation for all months, and only its one row per month and trial step reaches the
-    driver.  A month that does not converge keeps its base weights.
+    driver.  A month is ``solved`` in the column ``status`` only if sum and beta are met within
+    ``TOLERANCE``; one whose steps no longer improve has its best capped weights and is ``unsolved``.
     """
     known = base.where(F.col("beta_24m").isNotNull())
     known = per_month(known, [F.sum("weight").alias("_sum")]).withColumn(
@@ -159,34 +165,34 @@ def beta_target_weights(
         .withColumn("goal", (goal - F.col("_centre")) / F.col("_scale")),
         "projection",
     )
-    multipliers = _solve_dual(rows, max_passes)
     spark = base.sparkSession
-    solved = spark.createDataFrame(multipliers, f"{PERIOD} int, a double, b double")
+    solved = spark.createDataFrame(
+        _solve_dual(rows), f"{PERIOD} int, a double, b double, status string"
+    )
     raw = F.greatest(
         F.lit(0.0), F.least(F.col("base") + F.col("a") + F.col("b") * F.col("x"), F.col("cap"))
     )
-    raw = F.when(F.col("a").isNull(), F.col("base")).otherwise(F.when(raw < 1e-10, 0.0).otherwise(raw))
-    out = rows.join(F.broadcast(solved), PERIOD, "left").withColumn("_w", raw)
+    raw = F.when(raw < 1e-10, 0.0).otherwise(raw)
+    out = rows.join(F.broadcast(solved), PERIOD).withColumn("_w", raw)
     return (
         per_month(out, [F.sum("_w").alias("_total")])
         .withColumn("weight", F.col("_w") / F.col("_total"))
         .withColumn("strategy", F.lit("beta_target"))
-        .select(*WEIGHT_COLUMNS)
+        .select(*WEIGHT_COLUMNS, "status")
     )
 
 
-def _solve_dual(rows: DataFrame, max_passes: int) -> list[tuple[int, float, float]]:
+def _solve_dual(rows: DataFrame) -> list[tuple[int, float, float, str]]:
     months = [r[0] for r in rows.select(PERIOD).distinct().collect()]
     point = {m: np.zeros(2) for m in months}
     best = {m: np.inf for m in months}
     step = {m: np.zeros(2) for m in months}
     done: dict[int, np.ndarray] = {}
+    missed = {m: np.inf for m in months}
     trials = {m: [np.zeros(2)] for m in months}
     shrink = {m: 1.0 for m in months}
-    for _ in range(max_passes):
-        active = [m for m in months if m not in done]
-        if not active:
-            break
+    # ends: a pass lowers a month's objective or shrinks its step, which stops below 1e-14
+    while active := [m for m in months if m not in done]:
         sent = [
             (m, i, float(p[0]), float(p[1])) for m in active for i, p in enumerate(trials[m])
         ]
@@ -200,13 +206,12 @@ def _solve_dual(rows: DataFrame, max_passes: int) -> list[tuple[int, float, floa
                 value = r["value"] - p[0] - p[1] * r["goal"]
                 if top is None or value < top[0]:
                     top = (value, p, r)
-            if top is None:
-                continue
             value, p, r = top
             if value < best[m] - 1e-15 * abs(best[m]) or not np.isfinite(best[m]):
                 best[m], point[m] = value, p
                 gap = np.array([r["total"] - 1.0, r["tilt"] - r["goal"]])
-                if np.abs(gap).max() < 1e-11:
+                missed[m] = float(np.abs(gap).max())
+                if missed[m] < 1e-11:
                     done[m] = p
                     continue
                 curve = np.array([[r["f0"], r["f1"]], [r["f1"], r["f2"]]])
@@ -222,7 +227,10 @@ def _solve_dual(rows: DataFrame, max_passes: int) -> list[tuple[int, float, floa
                     done[m] = point[m]
                     continue
             trials[m] = [point[m] + shrink[m] * s * step[m] for s in STEPS]
-    return [(int(m), float(p[0]), float(p[1])) for m, p in done.items()] or [(-1, 0.0, 0.0)]
+    return [
+        (int(m), float(p[0]), float(p[1]), "solved" if missed[m] < TOLERANCE else "unsolved")
+        for m, p in done.items()
+    ]
 
 
 def end_weights(weights: DataFrame) -> DataFrame:

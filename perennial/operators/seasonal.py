@@ -154,7 +154,9 @@ def add_benchmark(observations: DataFrame, benchmark: DataFrame) -> DataFrame:
     The benchmark has at most one row per calendar day, which bounds the broadcast.
     """
     clean = (
-        benchmark.where(F.col("date").isNotNull() & F.col("adj_close").isNotNull())
+        benchmark.where(
+            F.col("date").isNotNull() & F.col("adj_close").isNotNull() & ~F.isnan("adj_close")
+        )
         .groupBy("date")
         .agg(F.min("adj_close").alias("adj_close"))
     )

@@ -140,10 +140,9 @@ def discover(
 ) -> DataFrame:
     """All windows of the grid in one plan: analyze, rank, suppress overlaps, rank again."""
     days = upcoming_dates(start, days_ahead)
-    entries = [(d.month, d.day) for d in days]
+    entries = sorted({(d.month, d.day) for d in days})
     found = limits.filter(analyzed_windows(prices, benchmark, entries, holdings, limits))
-    code = F.col("entry_month") * 100 + F.col("entry_day")
-    found = found.withColumn("upcoming_entry_date", _date_for_code(code, days))
+    found = _with_grid_dates(found, start, days_ahead)
     ranked = rank_by(materialize(found, "windows"), DISCOVERY_ORDER, TIES)
     return without_overlaps(materialize(ranked, "ranked"))
 
@@ -156,12 +155,14 @@ def without_overlaps(ranked: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return ranked.withColumnRenamed("rank", "_raw").join(renumbered, [*by, "_raw"]).drop("_raw")
 
 
-def _date_for_code(code, days: Sequence[dt.date]):
-    """The grid date with this month*100+day (a grid spans at most one year)."""
-    out = F.lit(None).cast("date")
-    for d in days:
-        out = F.when(code == d.month * 100 + d.day, F.lit(d)).otherwise(out)
-    return out
+def _with_grid_dates(found: DataFrame, start: dt.date, days_ahead: int) -> DataFrame:
+    """One row per window and grid date with its month and day; one row per day is broadcast."""
+    days = date_grid(found.sparkSession, start, days_ahead, [0]).select(
+        F.col("entry_date").alias("upcoming_entry_date"),
+        F.month("entry_date").alias("entry_month"),
+        F.dayofmonth("entry_date").alias("entry_day"),
+    )
+    return found.join(F.broadcast(days), ["entry_month", "entry_day"])
 
 
 @dataclass(frozen=True)

@@ -41,6 +41,9 @@ class Model:
     outcome: str = "residual"
     residual: str = "residual"
     required: tuple[str, ...] = ()
+    #: months with fewer complete rows are not predicted
+    min_test_rows: int = 30
+    rank: Callable[[DataFrame], DataFrame] = predict_rank
 
 
 def _fundamental(names: Sequence[str]) -> Model:
@@ -55,7 +58,9 @@ def _fundamental(names: Sequence[str]) -> Model:
 
 
 MODELS = {
-    "v3": Model(FEATURES_V3, "residual", lambda df: df),
+    "v3": Model(
+        FEATURES_V3, "residual", lambda df: df, min_test_rows=10, rank=alpha_quality
+    ),
     "v5": Model(FEATURES_V5, "residual_target", residual_target),
     "v6": Model(
         [f"cs_{f}" for f in FEATURES_V5],
@@ -82,7 +87,6 @@ def run_walk_forward(
     membership: DataFrame | None = None,
     training_months: int = 120,
     alpha: float = 10.0,
-    min_test_rows: int = 30,
 ) -> DataFrame:
     """Ranked out-of-sample predictions; ``start`` and ``end`` are month indexes.
 
@@ -93,10 +97,10 @@ def run_walk_forward(
     rows = rows.where(F.col(PERIOD).between(start - training_months, end))
     prepared = materialize(spec.prepare(rows), "prepared")
     predicted = walk_forward_predictions(
-        prepared, spec.features, spec.target, start, end, training_months, alpha, min_test_rows
+        prepared, spec.features, spec.target, start, end, training_months, alpha, spec.min_test_rows
     )
     scored = materialize(predicted, "predictions")
-    return alpha_quality(scored) if model == "v3" else predict_rank(scored)
+    return spec.rank(scored)
 
 
 def diagnose(predictions: DataFrame, model: Model | str) -> DataFrame:
