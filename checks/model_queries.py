@@ -20,8 +20,9 @@ from perennial.operators.sectors import build_panel_with_sectors
 from perennial.plans import walkforward as WF
 
 MIN_ROWS = 20
-START, END = 2000 * 12 + 6, 2001 * 12 + 9
-TRAIN_MONTHS = 24
+#: Every month of the supplied panel that has an earlier one; months without training rows drop out.
+START, END = 1997 * 12 + 1, 2001 * 12 + 11
+TRAIN_MONTHS = 36
 PAIR = ("momentum_3m", "volatility_6m")
 MODEL = WF.Model(PAIR, "beta_neutral_target", CS.beta_neutral_target)
 ID = "ticker:s period_idx:i"
