@@ -142,7 +142,7 @@ def discover(
     days = upcoming_dates(start, days_ahead)
     entries = sorted({(d.month, d.day) for d in days})
     found = limits.filter(analyzed_windows(prices, benchmark, entries, holdings, limits))
-    found = _with_grid_dates(found, start, days_ahead)
+    found = with_grid_dates(found, start, days_ahead)
     ranked = rank_by(materialize(found, "windows"), DISCOVERY_ORDER, TIES)
     return without_overlaps(materialize(ranked, "ranked"))
 
@@ -155,7 +155,7 @@ def without_overlaps(ranked: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return ranked.withColumnRenamed("rank", "_raw").join(renumbered, [*by, "_raw"]).drop("_raw")
 
 
-def _with_grid_dates(found: DataFrame, start: dt.date, days_ahead: int) -> DataFrame:
+def with_grid_dates(found: DataFrame, start: dt.date, days_ahead: int) -> DataFrame:
     """One row per window and grid date with its month and day; one row per day is broadcast."""
     days = date_grid(found.sparkSession, start, days_ahead, [0]).select(
         F.col("entry_date").alias("upcoming_entry_date"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,9 +16,11 @@ PRICE_SCHEMA = (
 )
 
 
-def read_prices(spark: SparkSession, path: str) -> DataFrame:
-    """The daily price table: upper-case tickers with dashes, NaN as null."""
-    prices = spark.read.parquet(path)
+BUCKETS = 64
+
+
+def normalized_prices(prices: DataFrame) -> DataFrame:
+    """Upper-case tickers with dashes, plain dates, NaN as null."""
     return prices.withColumns(
         {
             "ticker": F.upper(F.translate("ticker", ".", "-")),
@@ -27,11 +30,28 @@ def read_prices(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def write_prices(prices: DataFrame, path: str, buckets: int = 64) -> None:
-    """Write by ticker hash bucket and in ticker order, so a ticker filter skips most files."""
-    bucket = F.pmod(F.xxhash64("ticker"), F.lit(buckets)).cast("int")
+def read_prices(
+    spark: SparkSession, path: str, tickers: Sequence[str] | None = None, buckets: int = BUCKETS
+) -> DataFrame:
+    """The table that ``write_prices`` wrote, all of it or the given tickers.
+
+    Tickers become a filter on the folder's bucket and on the stored column, so other folders are
+    not opened and row groups without the ticker are skipped.
+    """
+    prices = spark.read.parquet(path)
+    if tickers is not None:
+        names = sorted({t.strip().upper().replace(".", "-") for t in tickers})
+        folders = sorted({zlib.crc32(t.encode()) % buckets for t in names})
+        prices = prices.where(F.col("ticker_bucket").isin(folders) & F.col("ticker").isin(names))
+    return prices.drop("ticker_bucket")
+
+
+def write_prices(prices: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Normalize and write by ticker hash bucket, in ticker order inside a file."""
+    bucket = (F.crc32("ticker") % buckets).cast("int")
     (
-        prices.withColumn("ticker_bucket", bucket)
+        normalized_prices(prices)
+        .withColumn("ticker_bucket", bucket)
         .repartitionByRange(F.col("ticker_bucket"), F.col("ticker"), F.col("date"))
         .sortWithinPartitions("ticker_bucket", "ticker", "date")
         .write.mode("overwrite")
