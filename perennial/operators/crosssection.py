@@ -56,6 +56,8 @@ def neutralize(
     both = F.col(value).isNotNull() & F.col(on).isNotNull()
     y, x = F.when(both, F.col(value)), F.when(both, F.col(on))
     slope = F.coalesce(F.try_divide(F.covar_pop(y, x), F.var_pop(x)), F.lit(0.0))
+    # residuals have mean 0, and their variance follows from the same moments
+    unexplained = F.var_samp(y) - slope * F.covar_samp(y, x)
     fitted = per_month(
         df,
         [
@@ -63,18 +65,15 @@ def neutralize(
             slope.alias("_slope"),
             F.avg(y).alias("_my"),
             F.avg(x).alias("_mx"),
+            F.sqrt(F.greatest(unexplained, F.lit(0.0))).alias("_s"),
         ],
     )
     enough = both & (F.col("_n") >= min_rows)
     gap = (F.col(value) - F.col("_my")) - F.col("_slope") * (F.col(on) - F.col("_mx"))
-    out = fitted.withColumn(residual, F.when(enough, gap)).drop("_n", "_slope", "_my", "_mx")
-    if target is None:
-        return out
-    scaled = per_month(
-        out, [F.avg(residual).alias("_m"), F.stddev_samp(residual).alias("_s")]
-    )
-    z = F.when(F.col("_s") > 0, (F.col(residual) - F.col("_m")) / F.col("_s"))
-    return scaled.withColumn(target, z).drop("_m", "_s")
+    out = fitted.withColumn(residual, F.when(enough, gap))
+    if target is not None:
+        out = out.withColumn(target, F.when(F.col("_s") > 0, F.col(residual) / F.col("_s")))
+    return out.drop("_n", "_slope", "_my", "_mx", "_s")
 
 
 def beta_neutral_target(df: DataFrame, min_rows: int = 20) -> DataFrame:

@@ -34,41 +34,50 @@ def dynamic_sector(
 ) -> DataFrame:
     """Per (ticker, month): the sector most correlated over the previous ``lookback`` rows.
 
-    Every row is repeated for the fixed list of sectors, which also bounds the broadcast; a month
-    without a sector value still counts as a row.  Earlier sectors in ``order`` win ties.
+    One row per month with a column for each sector is broadcast, and all correlations come from the
+    ticker's window; a month without a sector value still counts as a row.  Earlier sectors in
+    ``order`` win ties.
     """
-    ranked = F.array(
-        *[F.struct(F.lit(s).alias("sector"), F.lit(-i).alias("_pref")) for i, s in enumerate(order)]
-    )
-    rows = months.select("ticker", "period_idx", "ret", F.inline(ranked)).join(
-        F.broadcast(sectors.where(F.col("sector").isin(*order))), ["sector", "period_idx"], "left"
-    )
-    frame = (
-        Window.partitionBy("ticker", "sector").orderBy("period_idx").rowsBetween(-lookback, -1)
-    )
-    x = F.when(F.col("ret").isNotNull(), F.col("sector_ret"))
-    y = F.when(F.col("sector_ret").isNotNull(), F.col("ret"))
-    scale = F.stddev_samp(x).over(frame) * F.stddev_samp(y).over(frame)
-    correlation = F.when(
-        F.count(x).over(frame) >= min_pairs,
-        F.try_divide(F.covar_samp(x, y).over(frame), scale),
-    )
-    best = F.max(
-        F.when(
-            F.col("_corr").isNotNull(),
-            F.struct("_corr", "_pref", "sector", "sector_ret"),
+    wide = (
+        sectors.where(F.col("sector").isin(*order))
+        .groupBy("period_idx")
+        .agg(
+            *[
+                F.max(F.when(F.col("sector") == s, F.col("sector_ret"))).alias(f"_s{i}")
+                for i, s in enumerate(order)
+            ]
         )
     )
+    rows = months.select("ticker", "period_idx", "ret").join(F.broadcast(wide), "period_idx", "left")
+    frame = Window.partitionBy("ticker").orderBy("period_idx").rowsBetween(-lookback, -1)
+
+    def candidate(i: int, sector: str):
+        value = F.col(f"_s{i}")
+        x = F.when(F.col("ret").isNotNull(), value)
+        y = F.when(value.isNotNull(), F.col("ret"))
+        scale = F.stddev_samp(x).over(frame) * F.stddev_samp(y).over(frame)
+        correlation = F.when(
+            F.count(x).over(frame) >= min_pairs,
+            F.try_divide(F.covar_samp(x, y).over(frame), scale),
+        )
+        return F.struct(
+            correlation.alias("corr"),
+            F.lit(-i).alias("pref"),
+            F.lit(sector).alias("sector"),
+            value.alias("sector_ret"),
+        )
+
+    offered = F.array(*[candidate(i, s) for i, s in enumerate(order)])
+    best = F.array_max(F.filter("_offered", lambda c: c["corr"].isNotNull()))
     return (
-        rows.withColumn("_corr", correlation)
-        .groupBy("ticker", "period_idx")
-        .agg(best.alias("_best"), F.max("ret").alias("ret"))
+        rows.withColumn("_offered", offered)
+        .withColumn("_best", best)
         .select(
             "ticker",
             "period_idx",
             "ret",
             F.col("_best.sector").alias("selected_sector"),
-            F.col("_best._corr").alias("sector_correlation"),
+            F.col("_best.corr").alias("sector_correlation"),
             F.col("_best.sector_ret").alias("selected_sector_ret"),
         )
     )
