@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+#: Module that registered a query.
+HOMES: dict[str, str] = {}
 
 
 def _spec(columns: str) -> list[tuple[str, str]]:
@@ -62,6 +64,7 @@ def query(name: str, columns: str, ctes: str | None = None, sql: str | None = No
     """Decorator: register ``fn(spark, sf_dir)``; without ``sql`` only rows are checked."""
 
     def wrap(fn: Query) -> Query:
+        HOMES[name] = fn.__module__
         QUERIES[name] = lambda spark, sf_dir: present(fn(spark, sf_dir), columns)
         if sql is not None:
             ORACLES[name] = present_sql(ctes or "", sql, columns)
