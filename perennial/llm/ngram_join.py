@@ -10,13 +10,15 @@ common shingles last, so prefixes are rare and lists short.  The steps:
    is: shingles of one document, of few, of more, ranked ones; then by hash.
 2. *Sketches.*  Per document: size, fingerprints of set and prefix, and those shingles of the prefix
    that may occur elsewhere, with their places.  The table is written once.
-3. *Groups.*  Equal sets become one node; nodes of equal prefix and size become one group.
+3. *Groups.*  Equal sets become one node; nodes of equal prefix and size become one group.  For every
+   shingle in a list it is known how many listed ones come before it in a node's prefix: no more than
+   that, itself, and what comes after can be common with another node, which filters pairs by place.
 4. *First links.*  In each list up to ``PIVOTS`` groups serve as pivots and every group is paired with
    them, if size and place allow the similarity; members are paired with their group's first node.
    Pairs are verified on whole sets, and the links' components found.
-5. *Remaining pairs.*  Lists are reduced to components; only pairs of nodes from different components
-   that pass the filters and were not yet verified are expanded and verified, which makes the
-   components exact.  No pair inside a component is ever made.
+5. *Remaining pairs.*  Lists are reduced to components with their extremes; only pairs of nodes from
+   different components that pass the filters and were not yet verified are expanded and verified,
+   which makes the components exact.  No pair inside a component is ever made.
 
 Sets are read from the texts only for nodes in candidate pairs and travel to blocks of pairs, each
 set once per block.  Nothing but counts, the bitmaps and the ranked shingles (all of fixed size)
@@ -39,7 +41,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from perennial.functions.storage import materialize
@@ -72,11 +74,15 @@ class Likeness:
     def similar(self, both: int, a: int, b: int) -> bool:
         return both * self.base >= self.top * (a + b - both)
 
-    def possible(self, na: Column, pa_: Column, nb: Column, pb: Column) -> Column:
-        """Whether sizes and places (from 0) of a common shingle leave room for the similarity."""
-        sizes = (F.least(na, nb) * self.base >= F.greatest(na, nb) * self.top)
-        most = F.least(pa_, pb) + 1 + F.least(na - pa_ - 1, nb - pb - 1)
-        return sizes & (most * (self.base + self.top) >= (na + nb) * self.top)
+    def possible(self, a: list[Column], b: list[Column]) -> Column:
+        """Whether a common shingle leaves room for the similarity.
+
+        Either side has its smallest and largest size, and the most shingles in common that it can
+        have before and after the shingle; one node's sizes are equal.
+        """
+        sizes = (a[1] * self.base >= b[0] * self.top) & (b[1] * self.base >= a[0] * self.top)
+        most = F.least(a[2], b[2]) + 1 + F.least(a[3], b[3])
+        return sizes & (most * (self.base + self.top) >= (a[0] + b[0]) * self.top)
 
 
 def shingle_sets(data, bounds, n: int) -> Iterator[np.ndarray]:
@@ -85,7 +91,8 @@ def shingle_sets(data, bounds, n: int) -> Iterator[np.ndarray]:
     w, first = words.hashes, words.first
     rolled = w.copy()
     for j in range(1, n):
-        rolled[: len(w) - j] = rolled[: len(w) - j] * _STEP + w[j:]
+        full = max(0, len(w) - j)
+        rolled[:full] = rolled[:full] * _STEP + w[j:]
     rolled = mix64(rolled)
     for lo, hi in zip(first[:-1].tolist(), first[1:].tolist()):
         if hi - lo >= n:
@@ -425,12 +432,12 @@ def ngram_jaccard_join(
     """
     spark = docs.sparkSession
     like = Likeness(n, *similarity)
-    own = F.col(f"`{key}`")
+    number = F.col(f"`{key}`")
     body = F.col(f"`{text}`")
     rows = docs.select(
-        document_key(own, body).alias("k"),
+        document_key(number, body).alias("k"),
         F.xxhash64(body).alias("h"),
-        own.cast("long").alias("doc"),
+        number.cast("long").alias("doc"),
         F.coalesce(body, F.lit("")).alias("text"),
     )
     order = _order(rows.select("text"), like)
@@ -453,6 +460,7 @@ def ngram_jaccard_join(
     same = ["n", "g1", "g2"]
     groups = nodes.groupBy(*same).agg(
         F.min("node").alias("gid"),
+        F.count(F.lit(1)).alias("held"),
         F.first("tokens").alias("tokens"),
         F.first("places").alias("places"),
     )
@@ -461,22 +469,34 @@ def ngram_jaccard_join(
         "members",
     )
     listed = materialize(
-        groups.select("gid", "n", F.inline(F.arrays_zip("tokens", "places"))).toDF(
-            "gid", "n", "token", "place"
+        groups.select("gid", "n", "held", F.inline(F.arrays_zip("tokens", "places"))).toDF(
+            "gid", "n", "held", "token", "place"
         ),
         "listed",
     )
-    crowded = members.groupBy("gid").count().where("count > 1").select("gid")
-    busy = listed.groupBy("token").count().where("count > 1").select("token")
-    lists = materialize(listed.join(busy, "token"), "lists")
+    busy = listed.groupBy("token").agg(F.sum("held").alias("holders")).where("holders > 1")
+    along = Window.partitionBy("gid").orderBy("place")
+    lists = materialize(
+        listed.join(busy, "token").select(
+            "token",
+            "gid",
+            "n",
+            (F.row_number().over(along) - 1).cast("long").alias("before"),
+            (F.col("n") - F.col("place") - 1).alias("after"),
+        ),
+        "lists",
+    )
     pivots = (
         lists.groupBy("token", F.pmod(F.xxhash64("gid"), F.lit(PIVOTS)).alias("slot"))
-        .agg(F.min(F.struct("gid", "n", "place")).alias("p"))
+        .agg(F.min(F.struct("gid", "n", "before", "after")).alias("p"))
         .select("token", "p")
     )
     by_pivot = lists.join(pivots, "token").where(
         (F.col("gid") != F.col("p.gid"))
-        & like.possible(F.col("n"), F.col("place"), F.col("p.n"), F.col("p.place"))
+        & like.possible(
+            [F.col(c) for c in ("n", "n", "before", "after")],
+            [F.col(f"p.{c}") for c in ("n", "n", "before", "after")],
+        )
     )
     by_group = members.where("node != gid").select(
         *_ordered(F.col("node"), F.col("gid"), F.col("n"), F.col("n"))
@@ -490,29 +510,36 @@ def ngram_jaccard_join(
     linked = materialize(_verify(tested, nodes, rows, like, _salt), "links")
     comps = components(linked)
 
-    labelled = (
+    labelled = materialize(
         members.join(comps, "node", "left")
         .select("node", "gid", F.coalesce("comp", "node").alias("comp"))
-        .join(lists.union(crowded.join(listed, "gid").select("token", "gid", "n", "place")).distinct(), "gid")
+        .join(lists, "gid")
+        .select("token", "comp", "node", "n", "before", "after"),
+        "labelled",
     )
-    labelled = materialize(labelled.select("token", "comp", "node", "n", "place"), "labelled")
     by_comp = labelled.groupBy("token", "comp").agg(
-        F.min("n").alias("least"), F.max("n").alias("most")
+        F.min("n").alias("least"),
+        F.max("n").alias("most"),
+        F.max("before").alias("before"),
+        F.max("after").alias("after"),
     )
+    extremes = ["least", "most", "before", "after"]
     several = by_comp.groupBy("token").count().where("count > 1").select("token")
     by_comp = materialize(by_comp.join(several, "token"), "by-component")
-    other = by_comp.toDF("token", "comp2", "least2", "most2")
+    other = by_comp.select(
+        "token", F.col("comp").alias("comp2"), *[F.col(c).alias(f"{c}2") for c in extremes]
+    )
     meeting = by_comp.join(other, "token").where(
         (F.col("comp") < F.col("comp2"))
-        & (F.col("most") * like.base >= F.col("least2") * like.top)
-        & (F.col("most2") * like.base >= F.col("least") * like.top)
+        & like.possible([F.col(c) for c in extremes], [F.col(f"{c}2") for c in extremes])
     )
-    right = labelled.toDF("token", "comp2", "node2", "n2", "place2")
+    own = ["n", "n", "before", "after"]
+    right = labelled.toDF("token", "comp2", "node2", "n2", "before2", "after2")
     rest = (
         meeting.select("token", "comp", "comp2")
         .join(labelled, ["token", "comp"])
         .join(right, ["token", "comp2"])
-        .where(like.possible(F.col("n"), F.col("place"), F.col("n2"), F.col("place2")))
+        .where(like.possible([F.col(c) for c in own], [F.col(f"{c}2") for c in own]))
         .select(*_ordered(F.col("node"), F.col("node2"), F.col("n"), F.col("n2")))
         .distinct()
         .join(tested, ["a", "b"], "left_anti")
