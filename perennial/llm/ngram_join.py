@@ -17,8 +17,8 @@ common shingles last, so prefixes are rare and lists short.  The steps:
    them, if size and place allow the similarity; members are paired with their group's first node.
    Pairs are verified on whole sets, and the links' components found.
 5. *Remaining pairs.*  Lists are reduced to components with their extremes; only pairs of nodes from
-   different components that pass the filters and were not yet verified are expanded and verified,
-   which makes the components exact.  No pair inside a component is ever made.
+   different components that pass the filters, share enough of their prefixes and were not yet
+   verified are expanded and verified, which makes the components exact.  No pair inside a component is ever made.
 
 Sets are read from the texts only for nodes in candidate pairs and travel to blocks of pairs, each
 set once per block.  Nothing but counts, the bitmaps and the ranked shingles (all of fixed size)
@@ -533,16 +533,28 @@ def ngram_jaccard_join(
         (F.col("comp") < F.col("comp2"))
         & like.possible([F.col(c) for c in extremes], [F.col(f"{c}2") for c in extremes])
     )
-    own = ["n", "n", "before", "after"]
+    own = [F.col(c) for c in ("n", "n", "before", "after")]
     right = labelled.toDF("token", "comp2", "node2", "n2", "before2", "after2")
-    rest = (
-        meeting.select("token", "comp", "comp2")
+    pairs = (
+        meeting.drop(*extremes)
         .join(labelled, ["token", "comp"])
+        .where(like.possible(own, [F.col(f"{c}2") for c in extremes]))
+        .drop(*[f"{c}2" for c in extremes])
         .join(right, ["token", "comp2"])
-        .where(like.possible([F.col(c) for c in own], [F.col(f"{c}2") for c in own]))
-        .select(*_ordered(F.col("node"), F.col("node2"), F.col("n"), F.col("n2")))
-        .distinct()
-        .join(tested, ["a", "b"], "left_anti")
+        .where(like.possible(own, [F.col(c) for c in ("n2", "n2", "before2", "after2")]))
+    )
+    # A pair's rows are the shingles that both prefixes have (one that fails a filter rules the pair
+    # out, so counting fewer does no harm): with what follows the last of them, no more is common.
+    rest = (
+        pairs.select(
+            *_ordered(F.col("node"), F.col("node2"), F.col("n"), F.col("n2")),
+            F.least("after", "after2").alias("after"),
+        )
+        .groupBy("a", "b", "na", "nb")
+        .agg((F.count(F.lit(1)) + F.min("after")).alias("most"))
+        .where(F.col("most") * (like.base + like.top) >= (F.col("na") + F.col("nb")) * like.top)
+        .drop("most")
+        .join(tested, ["a", "b", "na", "nb"], "left_anti")
     )
     rest = materialize(rest, "rest")
     more = materialize(_verify(rest, nodes, rows, like, _salt), "more-links")
