@@ -224,3 +224,69 @@ def monthly_with_beta_target(spark, sf):
             F.when(F.col("period_idx") == F.col("_first"), F.col("turnover")).alias("first_turnover"),
         )
     )
+
+
+def _register_conditions(version: str, target_sql: str) -> None:
+    """What each month's fit of a version must satisfy, from the panel and the fits alone.
+
+    At the ridge solution the products of every centred feature with the residuals equal alpha times
+    the coefficient times the feature's variance, and the residuals have mean 0; ``broken`` counts the
+    features for which one of these fails.
+    """
+    spec = MQ.WF.MODELS[version]
+    names = [f.removeprefix("cs_") for f in spec.features]
+    complete = " AND ".join(f"{f} IS NOT NULL" for f in names)
+
+    @query(
+        f"ridge_conditions_{version}",
+        "period_idx:i n_train:i predicted:i broken:i",
+        MQ.BN + f""",
+zt AS (SELECT *, {MQ.z_sql('residual')} AS residual_target FROM bn),
+done AS (SELECT period_idx, {target_sql} IS NOT NULL AS has_target FROM zt WHERE {complete}),
+tests AS (SELECT period_idx, count(*) AS predicted FROM done
+  WHERE period_idx BETWEEN {MQ.START} AND {MQ.END} GROUP BY 1 HAVING count(*) >= {spec.min_test_rows})""",
+        f"""SELECT t.period_idx, count(*) AS n_train, any_value(t.predicted) AS predicted, 0 AS broken
+  FROM tests t JOIN done d ON d.period_idx BETWEEN t.period_idx - {MQ.TRAIN_MONTHS} AND t.period_idx - 1
+  WHERE d.has_target GROUP BY 1""",
+    )
+    def run(spark, sf):
+        prepared = materialize(spec.prepare(MQ.panel(spark, sf)), "prepared")
+        features, target, alpha = list(spec.features), spec.target, 10.0
+        found = MQ.WF.run_walk_forward(
+            MQ.panel(spark, sf), version, MQ.START, MQ.END, training_months=MQ.TRAIN_MONTHS
+        )
+        predicted = materialize(
+            found.groupBy("period_idx").agg(F.count(F.lit(1)).alias("predicted")), "predicted"
+        )
+        fits = MQ.R.rolling_ridge(prepared, features, target, MQ.TRAIN_MONTHS, alpha)
+        fits = fits.where("n_train > 0").withColumnRenamed("period_idx", "fitted")
+        later = F.explode(F.sequence(F.col("period_idx") + 1, F.col("period_idx") + MQ.TRAIN_MONTHS))
+        rows = (
+            prepared.dropna(subset=[*features, target])
+            .select(F.array(*[F.col(f).cast("double") for f in features]).alias("xs"), F.col(target).alias("y"), later.alias("fitted"))
+            .join(F.broadcast(fits), "fitted")
+        )
+        fit = F.aggregate(F.zip_with("xs", "coef", lambda x, c: x * c), F.col("intercept"), lambda s, v: s + v)
+        long = rows.withColumn("e", F.col("y") - fit).select(
+            "fitted", "n_train", "y", "e", F.posexplode(F.arrays_zip("xs", "coef")).alias("place", "xc")
+        )
+        x = F.col("xc.xs")
+        gap = F.count(F.lit(1)) * F.covar_pop(x, "e") - alpha * F.first("xc.coef") * F.var_pop(x)
+        size = F.count(F.lit(1)) * F.stddev_pop(x) * F.stddev_pop("y")
+        off = F.abs(F.avg("e")) > 1e-6 * F.stddev_pop("y")
+        by_feature = long.groupBy("fitted", "place").agg(
+            F.first("n_train").alias("n_train"), ((F.abs(gap) > 1e-6 * size + 1e-12) | off).cast("int").alias("bad")
+        )
+        held = by_feature.groupBy(F.col("fitted").alias("period_idx")).agg(
+            F.first("n_train").alias("n_train"), F.sum("bad").alias("broken")
+        )
+        return held.join(predicted, "period_idx").select("period_idx", "n_train", "predicted", "broken")
+
+
+for _version, _target in (
+    ("v3", "residual"),
+    ("v5", "residual_target"),
+    ("v6", "residual_target"),
+    ("v7", "beta_neutral_target"),
+):
+    _register_conditions(_version, _target)
