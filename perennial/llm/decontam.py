@@ -36,7 +36,7 @@ from perennial.llm.textops import ALNUM, pieces, split_words, unused, utf8
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _FOLD = {c: c + 32 for c in range(65, 91)}
 

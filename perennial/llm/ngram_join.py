@@ -54,7 +54,7 @@ PIVOTS = 8
 #: Bytes of sets in one block of pairs.
 BLOCK_BYTES = 8 << 20
 #: Shingles that a task gathers before it sends their counts on.
-GATHERED = 1 << 21
+GATHERED = 1 << 20
 _PSEUDO = 1 << 62
 _U = np.uint64
 _STEP = _U(0x9FB21C651E98DF25)
