@@ -78,6 +78,36 @@ def test_views_teach_each_other():
     assert right(cotrain.cotrain(views, labels, apart)) > 0.95
 
 
+def test_every_sure_row_teaches(spark):
+    """A mark of a few unlabelled rows, of which the content view is less sure than of many others."""
+    n, draw = 6000, np.random.default_rng(5)
+    y = np.arange(n) % 2
+    rare = (np.arange(n) >= n - 80) & (y == 1)
+    strength = np.where(rare, 2.0, 4.0)
+    views = (
+        (draw.normal(0, 0.2, (n, 2)) + np.outer((2 * y - 1) * strength, [1, 0.5])).astype(np.float32),
+        np.column_stack([draw.normal(0, 1, n), rare]).astype(np.float32),
+    )
+    labels = np.where(np.arange(n) < 400, y, -1)
+    apart = (np.arange(n) % 4 == 0) & (labels >= 0)
+    assert cotrain.cotrain(views, labels, apart).metadata[1] > 1
+
+
+def test_sums_of_a_stored_pool(spark):
+    draw = np.random.default_rng(8)
+    x = draw.normal(0, 1, (300, cotrain.BUCKETS + cotrain.META)).astype("<f2")
+    views = (x[:, : cotrain.BUCKETS].astype(np.float32), x[:, cotrain.BUCKETS :].astype(np.float32))
+    local = cotrain.LocalPool(views, np.ones(300, bool))
+    table = spark.createDataFrame([(r.tobytes(),) for r in x], "x binary").repartition(7)
+    stored = cotrain.StoredPool(table)
+    weights = [draw.normal(0, 0.1, v.shape[1] + 1) for v in views]
+    history, balance = [weights, [-w for w in weights]], np.array([[0.7, 1.3], [1.0, 1.0]])
+    assert (local.counts(history) == stored.counts(history)).all() and local.counts(history).min() > 0
+    for one in (weights, [None, weights[1]], [weights[0], None]):
+        for a, b in zip(local.sums(history, balance, one), stored.sums(history, balance, one)):
+            assert (a is None and b is None) or np.allclose(a, b, rtol=1e-3, atol=1e-2)
+
+
 def test_quality_awkward(spark):
     labels = spark.createDataFrame(
         [(1, 1), (4, 0), (6, 0), (7, 1), (8, None), (None, 1), (9, 7)], "doc_id long, quality int"
