@@ -425,8 +425,8 @@ def ngram_jaccard_join(
     _salt: int = 0,
 ) -> DataFrame:
     """One row per document: ``k`` and ``h`` (row key: number and hash of the text), ``doc_id``,
-    ``n_shingles``, ``component_id`` (smallest non-null key of its class) and ``keeper`` (the ``k`` of
-    the document that stands for the class).
+    ``n_shingles``, ``component_id`` (smallest non-null key of its class), ``keeper`` (the ``k`` of the
+    document that stands for the class) and ``class`` (number of the class; null without words).
 
     ``n`` words make a shingle; documents are linked from ``similarity`` (a fraction) on.
     """
@@ -570,7 +570,7 @@ def ngram_jaccard_join(
     by_node = materialize(classes.select("node", "comp").join(named, "comp"), "classes")
     return (
         sketch.select("k", "h", "doc", "n", "node")
-        .join(by_node.select("node", "keeper", "component_id"), "node", "left")
+        .join(by_node.select("node", "comp", "keeper", "component_id"), "node", "left")
         .select(
             "k",
             "h",
@@ -578,6 +578,7 @@ def ngram_jaccard_join(
             F.col("n").alias("n_shingles"),
             F.when(F.col("n") == 0, F.col("doc")).otherwise(F.col("component_id")).alias("component_id"),
             F.when(F.col("n") == 0, F.col("k")).otherwise(F.col("keeper")).alias("keeper"),
+            F.when(F.col("n") > 0, F.col("comp")).alias("class"),
         )
     )
 
@@ -585,17 +586,30 @@ def ngram_jaccard_join(
 def one_of_each(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
     """The documents without near copies: the smallest key of each class stays, with its columns.
 
-    Equal rows are copies of each other: one stays.
+    Equal rows are copies of each other: one stays.  Where a key stands on several texts of a class, the
+    one of smallest hash stays; texts of different classes all stay.
     """
     found = materialize(ngram_jaccard_join(docs, n, similarity), "near")
-    removed = found.where("k != keeper").select("k", "h").distinct()
-    removed = materialize(removed, "removed")
+    keepers = found.where("k = keeper")
+    repeated = not keepers.groupBy("k").count().where("count > 1").isEmpty()
+    removed = found.where("k != keeper").select("k", "h")
+    if repeated:
+        least = keepers.where("class IS NOT NULL").groupBy("k", "class").agg(F.min("h").alias("least"))
+        other = keepers.join(least, ["k", "class"]).where("h != least").select("k", "h")
+        removed = removed.union(other)
+    removed = materialize(removed.distinct(), "removed")
     if removed.count() <= MOST_SENT:
         removed = F.broadcast(removed)
     key, body = document_key(F.col("doc_id"), F.col("text")), F.xxhash64("text")
     kept = docs.join(removed, (key == removed["k"]) & (body == removed["h"]), "left_anti")
-    repeated = found.where("k = keeper").groupBy("k").count().where("count > 1")
-    if repeated.isEmpty():
+    if not repeated:
         return kept
-    from_key = kept.withColumn("_keeper", key)
-    return from_key.dropDuplicates(["_keeper"]).drop("_keeper")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    first = Window.partitionBy("_keeper", "_body").orderBy(F.to_json(F.struct(*columns)))
+    return (
+        kept.withColumn("_keeper", key)
+        .withColumn("_body", body)
+        .withColumn("_place", F.row_number().over(first))
+        .where("_place = 1")
+        .drop("_keeper", "_body", "_place")
+    )

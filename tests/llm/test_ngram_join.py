@@ -71,3 +71,17 @@ def test_equal_keys_of_different_texts(spark):
     assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) in (
         [(5, one)], [(5, two)], [(5, one), (5, two)],
     )
+
+
+def test_unrelated_texts_of_one_key_all_stay(spark):
+    one, two = "a b c d e f g h", "i j k l m n o p q"
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [
+        (5, one, "x"), (5, two, "x"), (5, two, "y"), (6, two, "x"), (7, one, "x"),
+        (8, long, "x"), (8, f"{long} end", "x"), (8, "", "x"), (8, " ", "x"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = sorted(tuple(r) for r in ngram_join.one_of_each(docs.repartition(3)).collect())
+    assert kept[:2] == [(5, one, "x"), (5, two, "x")]
+    assert [r[1] for r in kept[2:4]] == ["", " "]
+    assert len(kept) == 5 and kept[4][1] in (long, f"{long} end")
