@@ -21,6 +21,7 @@ read to their end.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -40,7 +41,7 @@ SWITCH_PENALTY = 8.0
 UNKNOWN = "und"
 _U = np.uint64
 
-#: Blocks of letters by script, first and last code point.
+#: Blocks of letters by script, first and last code point; other scripts go by their names.
 SCRIPTS = (
     ("latin", ((0x41, 0x5A), (0x61, 0x7A), (0xAA, 0xAA), (0xB5, 0xB5), (0xBA, 0xBA), (0xC0, 0xD6),
                (0xD8, 0xF6), (0xF8, 0x24F), (0x250, 0x2AF), (0x1E00, 0x1EFF), (0xFF21, 0xFF3A),
@@ -60,23 +61,43 @@ SCRIPTS = (
     ("kana", ((0x3041, 0x309F), (0x30A1, 0x30FA))),
     ("han", ((0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0x20000, 0x2FFFF))),
 )
-SCRIPT_NAMES = ("none", *[name for name, _ in SCRIPTS], "other")
 _LETTER = regex.compile(r"\p{L}")
-_BREAKS = np.array(sorted({x for _, rs in SCRIPTS for a, b in rs for x in (a, b + 1)}))
-_ZONE = np.zeros(len(_BREAKS) + 1, np.int8)
-for _i, (_name, _ranges) in enumerate(SCRIPTS):
-    for _a, _b in _ranges:
-        _ZONE[np.searchsorted(_BREAKS, _a, "right")] = _i + 1
-_SMALL = _ZONE[np.searchsorted(_BREAKS, np.arange(0x3000), "right")]
+#: First words of character names that stand for a listed script.
+_ALIKE = {"cjk": "han", "hiragana": "kana", "katakana": "kana"}
+
+
+def _script_name(point: int) -> str:
+    words = unicodedata.name(chr(point), "other").lower().replace("-", " ").split()
+    first = words[1] if words[0] in ("fullwidth", "halfwidth") else words[0]
+    return _ALIKE.get(first, first)
+
+
+def _zones() -> tuple[tuple[str, ...], np.ndarray]:
+    """Script names and the script of each code point: the listed ranges, then every other letter by
+    the first word of its name, with the marks of scripts that are not listed."""
+    names = ["none", *[name for name, _ in SCRIPTS], "other"]
+    listed = len(names)
+    number = {name: i for i, name in enumerate(names)}
+    zone = np.zeros(0x32400, np.int16)
+    for i, (_, ranges) in enumerate(SCRIPTS):
+        for lo, hi in ranges:
+            zone[lo : hi + 1] = i + 1
+    rest = [(p, unicodedata.category(chr(p))[0]) for p in np.flatnonzero(zone == 0).tolist()]
+    for p, kind in rest:
+        if kind == "L":
+            zone[p] = number.setdefault(_script_name(p), len(number))
+    for p, kind in rest:
+        if kind == "M" and number.get(_script_name(p), 0) >= listed:
+            zone[p] = number[_script_name(p)]
+    return tuple(number), zone
+
+
+SCRIPT_NAMES, _ZONE = _zones()
 
 
 def script_of(points: np.ndarray) -> np.ndarray:
-    """Number of the script of each code point, 0 for none of the listed ranges."""
-    out = _SMALL[np.minimum(points, 0x2FFF)]
-    far = np.flatnonzero(points >= 0x3000)
-    if len(far):
-        out[far] = _ZONE[np.searchsorted(_BREAKS, points[far], "right")]
-    return out
+    """Number of the script of each code point, 0 for no letter."""
+    return _ZONE[np.where(points < len(_ZONE), points, 0)]
 
 
 _FOLD = np.arange(0x3000, dtype=np.uint32)
@@ -325,7 +346,7 @@ def predictor(sent) -> Column:
                 names += [model.languages[b] if b >= 0 else UNKNOWN for b in best]
                 scores += score.tolist()
             for i in [i for i, name in enumerate(names) if name == UNKNOWN]:
-                # letters of scripts outside the listed ranges: no candidate, but not wordless
+                # letters of scripts that no learned language uses: no candidate, but not wordless
                 value = texts[i].as_py()
                 if value and model.languages and _LETTER.search(value):
                     names[i], scores[i] = model.languages[0], 0.0

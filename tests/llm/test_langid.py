@@ -1,3 +1,5 @@
+import unicodedata
+
 import numpy as np
 import pytest
 from llm_helpers import ROWS, awkward, empty
@@ -79,3 +81,25 @@ def test_awkward_table(spark, model):
     assert {r["lang_pred"] for r in langid.with_language(awkward(spark), nothing).collect()} == {"und"}
     kept = langid.keep_identified(awkward(spark))
     assert kept.columns == awkward(spark).columns and kept.count() < len(ROWS)
+
+
+def test_labelled_languages_of_unlisted_scripts(spark):
+    texts = {
+        "gu": "આ એક સરળ ગુજરાતી લખાણ છે જે માણસ વાંચે છે ",
+        "te": "ఇది ఒక సాధారణ తెలుగు వచనం మనిషి చదువుతాడు ",
+        "am": "ይህ ቀላል የአማርኛ ጽሑፍ ነው ሰው ያነባል ",
+        **TEXTS,
+    }
+    rows = [(i, t * 3, name) for i, (name, t) in enumerate(list(texts.items()) * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    fitted = langid.fit(docs, F.col("doc_id"))
+    assert fitted.languages == sorted(texts)
+    found = langid.with_language(docs, fitted).collect()
+    assert all(r["lang_pred"] == r["lang"] and r["score"] > 0.9 for r in found)
+    assert langid.keep_identified(docs).count() == len(rows)
+
+
+def test_every_letter_has_a_script():
+    points = [c for c in range(0x110000) if unicodedata.category(chr(c))[0] == "L"]
+    assert (langid.script_of(np.array(points, np.uint32)) > 0).all()
+    assert (langid.script_of(np.array([0x20, 0x31, 0x21, 0x10FFFF], np.uint32)) == 0).all()
