@@ -2,7 +2,9 @@
 
 Words become symbols: insult, threat, target (who is addressed), negation, reporting verb, clause
 end, other.  Small transducers follow one scope each: negation reaches ``NEGATION_REACH`` words on,
-reported speech to the end of its clause, a target a few words on.  Their composition reads the symbols of
+reported speech to the end of its clause, a target a few words on.  A threat without a target before it
+is pending for ``THREAT_REACH`` words of its clause and counts when a target follows, unless it is
+negated or reported.  Their composition reads the symbols of
 a text once and labels every matched insult or threat with the scopes that hold there; matches of a
 clause are summed, so a clause is scored, not isolated words.  A logistic model turns
 the amounts per kind of clause into a probability.
@@ -40,6 +42,7 @@ LEAST_CONTEXTS = 4
 LEAST_LOG_ODDS = 3.0
 NEGATION_REACH = 3
 TARGET_REACH = 2
+THREAT_REACH = 3
 STEM_LENGTHS = (4, 5, 6, 7)
 
 #: General words of the classes in four languages.
@@ -90,11 +93,12 @@ def within(opens: int, reach: int | None, mark: int) -> Transducer:
     return Transducer(tuple(step), (0, *[mark] * (states - 1)))
 
 
-NEGATED, REPORTED, ADDRESSED = 1, 2, 4
+NEGATED, REPORTED, ADDRESSED, PENDING = 1, 2, 4, 8
 GRAMMAR = (
     within(NEGATION, NEGATION_REACH, NEGATED)
     .compose(within(REPORT, None, REPORTED))
     .compose(within(TARGET, TARGET_REACH, ADDRESSED))
+    .compose(within(THREAT, THREAT_REACH, PENDING))
 )
 #: Amounts per text: plain, addressed, negated, reported insults; threats; clauses with a match.
 AMOUNTS = 6
@@ -143,21 +147,29 @@ class Lexicon:
         text = text.lower() if text else ""
         if not text or not self.might_match(text):
             return out
-        state, clause = 0, 0.0
+        state, clause, pending = 0, 0.0, 0.0
         for token in _TOKEN.findall(text):
             if not token[0].isalnum():
                 state = GRAMMAR.step[state][END]
                 out[5] += clause > 0
-                clause = 0.0
+                clause = pending = 0.0
                 continue
             weight = self.weight(token)
             symbol = INSULT if weight else self.symbols.get(token, OTHER)
+            mark = GRAMMAR.mark[state]
+            if not mark & PENDING:
+                pending = 0.0
+            if symbol == TARGET:
+                out[4] += pending
+                pending = 0.0
             if symbol in (INSULT, THREAT):
-                mark = GRAMMAR.mark[state]
                 amount = weight or 1.0
                 clause += amount
                 if symbol == THREAT:
-                    out[4] += amount * bool(mark & ADDRESSED)
+                    if mark & ADDRESSED:
+                        out[4] += amount
+                    elif not mark & (NEGATED | REPORTED):
+                        pending += amount
                 elif mark & NEGATED:
                     out[2] += amount
                 elif mark & REPORTED:

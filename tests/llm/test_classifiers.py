@@ -22,6 +22,17 @@ def test_grammar_scopes():
     assert not lexicon.amounts(None).any() and not lexicon.amounts("").any()
 
 
+def test_threats_with_the_target_after_them():
+    lexicon = toxicity.Lexicon({}, {})
+    threat = lambda text: lexicon.amounts(text)[4]
+    for text in ("I will kill you", "we will hurt them", "I'll destroy you", "kill all of you", "beat and burn him"):
+        assert threat(text) > 0
+    assert threat("burn you and you") == threat("I saw you kill him") == np.log1p(1)
+    assert threat("beat and burn him") == np.log1p(2)
+    for text in ("kill it. you", "kill one two three you", "will not kill you", "she said we all kill you"):
+        assert threat(text) == 0
+
+
 def test_composition_is_both_at_once():
     a = toxicity.within(toxicity.NEGATION, 2, 1)
     b = toxicity.within(toxicity.REPORT, None, 2)
