@@ -1,9 +1,10 @@
 """Benchmark decontamination with suffix arrays of the documents.
 
 Each task sorts the suffixes of its documents, word by word, into suffix arrays of bounded shards.
-Every suffix of every benchmark item is binary-searched in every shard: the neighbours of its place
-give the longest verbatim match, and the range that shares its first ``window`` words gives all
-places where that window occurs.  The documents are scanned once for each block of items and never
+Every suffix of a benchmark item that starts a window is binary-searched in every shard: the range that
+shares its first ``window`` words gives all places where that window occurs.  Windows that follow each
+other in item and document make one match, so the longest run of them is the longest verbatim match;
+matches shorter than a window are not looked for.  The documents are scanned once for each block of items and never
 shuffled; only documents with hits send rows on.
 
 Words: A-Z lower-cased, runs of ASCII letters, digits and non-ASCII characters.  The arrays order
@@ -13,7 +14,8 @@ words, but not none, is one window.  Suffixes are ordered by as many words as th
 which decides every comparison with an item.
 
 Bounds: items travel to the tasks in blocks of at most ``BLOCK_BYTES`` of text (an item longer than
-that is a block of its own); the driver holds one block at a time.  A shard has at most
+that is a block of its own); the driver holds one block at a time.  Suffixes are offsets into the words
+of a block, so a task's memory is linear in them, however long an item is.  A shard has at most
 ``SHARD_BYTES`` of text or one document.
 
 Rules for special cases: a null or empty text has no words and no hits; an item that occurs in many
@@ -90,51 +92,39 @@ class SuffixArray:
         rank[order] = np.maximum.accumulate(np.where(new, np.arange(len(values)), 0)) + 1
         return rank
 
-    def _compare(self, at: np.ndarray, wanted: np.ndarray, lengths: np.ndarray):
-        """Words that the suffixes share with the wanted ones, and whether they come before them."""
+    def _compare(self, at: np.ndarray, wanted: np.ndarray, starts: np.ndarray, lengths: np.ndarray):
+        """Words that the suffixes share with the sequences of ``wanted`` words, and whether they come
+        before them."""
         n, shared = len(self.words), np.zeros(len(at), np.int64)
         before = np.zeros(len(at), bool)
         live = np.arange(len(at))
-        for d in range(wanted.shape[1]):
+        for d in range(int(lengths.max(initial=0))):
             live = live[lengths[live] > d]
             if not len(live):
                 break
             place = at[live] + d
             here = np.where(place < n, self.words[np.minimum(place, n - 1)], 0)
-            there = wanted[live, d]
+            there = wanted[starts[live] + d]
             before[live[here < there]] = True
             live = live[here == there]
             shared[live] += 1
         return shared, before
 
-    def search(self, wanted: np.ndarray, lengths: np.ndarray, upper: bool = False):
-        """Place of each wanted sequence in the order: first suffix not before it, or (``upper``)
-        first one after all that begin with it."""
-        lo = np.zeros(len(wanted), np.int64)
-        hi = np.full(len(wanted), len(self.order), np.int64)
+    def search(self, wanted: np.ndarray, starts: np.ndarray, lengths: np.ndarray, upper: bool = False):
+        """Place of each sequence, ``lengths`` of the ``wanted`` words from ``starts`` on, in the order:
+        first suffix not before it, or (``upper``) first one after all that begin with it."""
+        lo = np.zeros(len(starts), np.int64)
+        hi = np.full(len(starts), len(self.order), np.int64)
         while True:
             open_ = np.flatnonzero(lo < hi)
             if not len(open_):
                 return lo
             middle = (lo[open_] + hi[open_]) // 2
-            shared, before = self._compare(self.order[middle], wanted[open_], lengths[open_])
+            shared, before = self._compare(self.order[middle], wanted, starts[open_], lengths[open_])
             right = before | ((shared == lengths[open_]) if upper else False)
             lo[open_[right]] = middle[right] + 1
             hi[open_[~right]] = middle[~right]
 
-    def longest(self, wanted: np.ndarray, lengths: np.ndarray):
-        """Length and place of the longest match of each wanted sequence with any suffix."""
-        place = self.search(wanted, lengths)
-        best = np.zeros(len(wanted), np.int64)
-        where = np.zeros(len(wanted), np.int64)
-        for side in (place - 1, place):
-            ok = np.flatnonzero((side >= 0) & (side < len(self.order)))
-            at = self.order[side[ok]]
-            shared, _ = self._compare(at, wanted[ok], lengths[ok])
-            better = shared > best[ok]
-            best[ok[better]], where[ok[better]] = shared[better], at[better]
-        return best, where
-
 
 class Items:
     """The suffixes of one block of benchmark items."""
@@ -152,13 +142,8 @@ class Items:
         self.place = np.arange(len(found.hashes)) - np.repeat(found.first[:-1], counts)
         rest = np.repeat(counts, counts) - self.place
         self.depth = int(counts.max(initial=1))
-        grid = np.arange(len(found.hashes))[:, None] + np.arange(self.depth)[None, :]
-        self.suffixes = np.where(
-            np.arange(self.depth)[None, :] < rest[:, None],
-            found.hashes[np.minimum(grid, max(0, len(found.hashes) - 1))] if len(grid) else 0,
-            0,
-        )
-        self.lengths = rest
+        #: all words; a suffix is the place of its first word
+        self.hashes = found.hashes
         whole = np.repeat(counts, counts)
         #: suffixes that start a window, and the words of that window
         self.starting = np.flatnonzero((rest >= window) | ((self.place == 0) & (whole < window)))
@@ -166,7 +151,7 @@ class Items:
 
 
 def _shard(data, bounds, items: Items):
-    """Matches in one shard: text number, item, first word in the text, words, longest match."""
+    """Words of each text of a shard; matches: text number, suffix, first word in the text, words."""
     found = split_words(data, bounds, ALNUM)
     counts = np.diff(found.first)
     # one end mark (0) follows each text
@@ -178,9 +163,9 @@ def _shard(data, bounds, items: Items):
     begin = found.first[:-1] + np.arange(len(counts))
     array = SuffixArray(words, items.depth, items.vocabulary)
     use = items.starting
-    wanted, lengths = items.suffixes[use][:, : items.window], items.sizes
-    lo = array.search(wanted, lengths)
-    hi = array.search(wanted, lengths, upper=True)
+    lengths = items.sizes
+    lo = array.search(items.hashes, use, lengths)
+    hi = array.search(items.hashes, use, lengths, upper=True)
     hits = np.flatnonzero(hi > lo)
     matches = []
     for h in hits:
@@ -189,8 +174,7 @@ def _shard(data, bounds, items: Items):
         matches.append(
             (docs, np.full(len(at), use[h]), at - begin[docs], np.full(len(at), lengths[h]))
         )
-    longest = array.longest(items.suffixes[use[hits]], items.lengths[use[hits]])[0] if len(hits) else []
-    return counts, [np.concatenate(m) for m in zip(*matches)] if matches else None, longest
+    return counts, [np.concatenate(m) for m in zip(*matches)] if matches else None
 
 
 _FIELDS = (
@@ -208,19 +192,18 @@ _TYPE = pa.struct(
 
 def _confirmed(text: str, items: Items, suffixes, firsts, sizes):
     """The matches of one document that hold for the words themselves, merged, and their items."""
-    words, spans, names, longest = words_of(text), [], set(), 0
+    words, spans, names, runs = words_of(text), [], set(), []
     for s, first, size in zip(suffixes.tolist(), firsts.tolist(), sizes.tolist()):
         item, place = items.words[items.item[s]], int(items.place[s])
         if words[first : first + size] != item[place : place + size]:
             continue
         names.add(items.names[items.item[s]])
         spans.append((first, size))
-        reach = size
-        while place + reach < len(item) and words[first + reach : first + reach + 1] == [
-            item[place + reach]
-        ]:
-            reach += 1
-        longest = max(longest, reach)
+        runs.append((int(items.item[s]), first - place, place, size))
+    longest, length, before = 0, 0, None
+    for item, shift, place, size in sorted(runs):
+        length = length + 1 if before == (item, shift, place - 1) else size
+        longest, before = max(longest, length), (item, shift, place)
     merged: list[list[int]] = []
     for first, size in sorted(spans):
         if merged and first <= merged[-1][1]:
@@ -238,7 +221,7 @@ def _matcher(block, window: int):
             data, offsets = utf8(texts)
             rows = []
             for lo, hi in pieces(offsets, SHARD_BYTES):
-                counts, matches, _ = _shard(
+                counts, matches = _shard(
                     data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], items
                 )
                 made = [

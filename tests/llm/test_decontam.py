@@ -73,3 +73,16 @@ def test_removal_and_awkward_table(spark):
 def test_words():
     assert decontam.words_of("Don't STOP-me_now É9") == ["don", "t", "stop", "me", "now", "É9"]
     assert fold("É") == "É"
+
+
+def test_very_long_item(spark):
+    size = 60_000
+    item = [f"w{i * 7919 % 50_021}" for i in range(size)]
+    items = decontam.Items([("1", " ".join(item)), ("2", "one two")], 10)
+    arrays = [v for v in vars(items).values() if isinstance(v, np.ndarray)]
+    assert sum(a.nbytes for a in arrays) < 100 * size
+    docs = [" ".join(item), "x " + " ".join(item[300:500]) + " y", "so one two", " ".join(item[:9])]
+    table = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, "one two")], "item_id long, text string")
+    rows = decontam.with_contamination(table, bench).orderBy("doc_id").collect()
+    assert [r["contamination"]["longest"] for r in rows] == [size, 200, 2, 0]
