@@ -9,7 +9,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perennial.llm import cotrain, decontam, langid, mixing, ngram_join, order_minhash, pii, token_count, tool_calls, toxicity
+from perennial.llm import (
+    cotrain,
+    decontam,
+    langid,
+    mixing,
+    ngram_join,
+    order_minhash,
+    pii,
+    spelling,
+    token_count,
+    tool_calls,
+    toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -240,3 +252,37 @@ def op10_quality_cotraining(spark, sf_dir):
         F.col("quality.score").alias("score"),
         (F.col("quality.score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+SPELLING_SQL = """WITH tab AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+    lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)) AS t),
+runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc, unnest(regexp_extract_all(
+  translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\\x{C0}-\\x{FF}]+')) AS run
+  FROM documents),
+counted AS (SELECT doc, run, count(*) AS n FROM runs GROUP BY ALL),
+summed AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(
+    string_split(doc || ':' || run, ''),
+    lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [195, unicode(c) - 64] END))),
+    lambda x, y: xor(t[CAST(xor(x, y) % 256 + 1 AS BIGINT)], x // 256)), 4294967295) AS h FROM counted, tab),
+kept AS (SELECT n, CASE WHEN h % 199 > 0 THEN run ELSE substr(run, 1, h % length(run))
+  || substr(run, h % length(run) + 2) END AS word FROM summed),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM kept WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+gap AS (SELECT word, i, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS b
+  FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)),
+pairs AS (SELECT x.word, y.word AS near FROM gap x JOIN gap y ON x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION SELECT g.word, w.word FROM gap g JOIN w ON w.word = g.a || g.b
+  UNION SELECT w.word, g.word FROM gap g JOIN w ON w.word = g.a || g.b),
+best AS (SELECT word, count(*) AS n_near, min(ROW(-n, near)) AS b FROM pairs JOIN
+  (SELECT word AS near, n FROM w) USING (near) GROUP BY word),
+form AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, -b[1] AS form_n, b[2] AS form
+  FROM w LEFT JOIN best USING (word)),
+formed AS (SELECT word, n, n_near, CASE WHEN form_n >= 5 * n THEN form END AS form,
+  CASE WHEN form_n >= 5 * n THEN form_n END AS form_n FROM form),
+walk AS (WITH RECURSIVE r(word, last, up) AS (SELECT word, word, form FROM formed UNION ALL
+  SELECT r.word, f.word, f.form FROM r JOIN formed f ON f.word = r.up) SELECT word, last AS root FROM r WHERE up IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN walk USING (word)"""
+
+
+@query("op12_spelling_variants", SPELLING_SQL)
+def op12_spelling_variants(spark, sf_dir):
+    return spelling.spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
