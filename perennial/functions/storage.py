@@ -34,15 +34,17 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL_FOLDERS[app]
 
 
-def materialize(df: DataFrame, name: str = "table", partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
+def materialize(
+    df: DataFrame, name: str = "table", partition_by: tuple[str, ...] = (), **options
+) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder, with options of the writer, and read it back.
 
     Cuts the lineage like ``checkpoint()`` but keeps column pruning and filter pushdown for the
     plans that read it.  Runs one job.  Inside ``owned_tables`` the table belongs to that block.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/perennial/{name}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
+    df.write.options(**options).partitionBy(*partition_by).parquet(path)
     if _OWNERS:
         _OWNERS[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
