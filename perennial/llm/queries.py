@@ -21,6 +21,7 @@ from perennial.llm import (
     token_count,
     tool_calls,
     toxicity,
+    wavelet,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -286,3 +287,10 @@ SELECT word, form, root, n, n_near, form_n FROM formed JOIN walk USING (word)"""
 @query("op12_spelling_variants", SPELLING_SQL)
 def op12_spelling_variants(spark, sf_dir):
     return spelling.spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op13_wavelet_shards")
+def op13_wavelet_shards(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    store = wavelet.write_shards(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return wavelet.stored_documents(store)
