@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from perennial.llm import (
+    centroids,
     cotrain,
     decontam,
     langid,
@@ -294,3 +295,43 @@ def op13_wavelet_shards(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     store = wavelet.write_shards(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return wavelet.stored_documents(store)
+
+
+def _rounds_sql(rounds: int) -> str:
+    """``c0`` to ``cN`` are the centroids after each round, ``aN`` the assignment to ``cN``."""
+    parts = []
+    for r in range(rounds + 1):
+        parts.append(
+            f"""f{r} AS (SELECT p.r, c.cluster, list_sum(list_transform(range(1, 65),
+              lambda i: (p.point[i] - c.point[i]) * (p.point[i] - c.point[i])))::BIGINT AS distance
+              FROM points p, c{r} c),
+            a{r} AS (SELECT r, -b[2] AS cluster, -b[1] AS distance FROM (
+              SELECT r, max(ROW(-distance, -cluster)) AS b FROM f{r} GROUP BY r))"""
+        )
+        if r < rounds:
+            parts.append(
+                f"""m{r} AS (SELECT cluster, list(mean ORDER BY i) AS point FROM (
+                  SELECT cluster, i, (s - ((s % n) + n) % n) // n AS mean FROM (
+                    SELECT a.cluster, i, sum(p.point[i])::BIGINT AS s, count(*) AS n
+                    FROM a{r} a JOIN points p USING (r), range(1, 65) AS x(i) GROUP BY a.cluster, i)) GROUP BY cluster),
+                c{r + 1} AS (SELECT c.cluster, coalesce(m.point, c.point) AS point
+                  FROM c{r} c LEFT JOIN m{r} m USING (cluster))"""
+            )
+    return ", ".join(parts)
+
+
+CENTROIDS_SQL = f"""WITH points AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id,
+  list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS point FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS cluster, point FROM points
+  ORDER BY cluster LIMIT 40), {_rounds_sql(5)},
+sums AS (SELECT cluster, sum(distance)::BIGINT AS cluster_inertia FROM a5 GROUP BY cluster)
+SELECT vec_id, a.cluster::INTEGER AS cluster, distance, cluster_inertia,
+  (SELECT sum(distance)::BIGINT FROM a5) AS inertia,
+  sha256(array_to_string(c.point, ',')) AS centroid_sha256
+FROM a5 a JOIN points USING (r) JOIN sums ON sums.cluster = a.cluster JOIN c5 c ON c.cluster = a.cluster"""
+
+
+@query("op11_centroid_clusters", CENTROIDS_SQL)
+def op11_centroid_clusters(spark, sf_dir):
+    return centroids.with_inertia(*centroids.cluster_vectors(table(spark, sf_dir, "embeddings")))
