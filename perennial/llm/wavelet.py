@@ -42,8 +42,11 @@ from perennial.llm.textops import pieces, utf8
 SHARD_TOKENS = 1 << 22
 #: Bytes of text encoded at once; a longer text is encoded by itself.
 ENCODED_BYTES = 1 << 23
-#: Parts of texts, and identifiers of parts, that a process remembers; then it starts anew.
+#: Parts of texts, and identifiers of parts, that a process remembers; then it keeps those met again
+#: since, or none if these are more than half.
 REMEMBERED, REMEMBERED_IDS = 500_000, 4_000_000
+#: New parts given to the library as one text.
+JOINED = 1000
 #: Bits per block whose ones are counted.
 BLOCK_BITS = 512
 _WORDS = BLOCK_BITS // 64
@@ -116,19 +119,59 @@ class Encoder:
             spec = json.load(f)
         self.cuts = _cut_anywhere(spec)
         self.special = [t["content"].encode() for t in spec.get("added_tokens") or [] if t["content"]]
-        self.width = max(1, (self.library.get_vocab_size(with_added_tokens=True) - 1).bit_length())
-        self._forget()
-
-    def _forget(self) -> None:
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.width = max(1, max(vocabulary.values(), default=0).bit_length())
+        self.joins = self.cuts and not any(b" " in s for s in self.special)
+        #: Bytes of each identifier: a byte-level vocabulary writes one character for a byte.
+        self.bytes = np.zeros(1 << self.width, np.int64)
+        for token, number in vocabulary.items():
+            self.bytes[number] = len(token)
         self.slots = _Slots()
         self.first = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.uint32)
+        self.again = np.zeros(0, bool)
+
+    def _forget(self) -> None:
+        """Keep the parts that were met again."""
+        kept = np.flatnonzero(self.again)
+        if 2 * len(kept) > len(self.again) or 2 * int(np.diff(self.first)[kept].sum()) > REMEMBERED_IDS:
+            kept = kept[:0]
+        parts, size = list(self.slots), np.diff(self.first)[kept]
+        self.slots = _Slots()
+        for i in kept:
+            self.slots[parts[i]] = len(self.slots)
+        before, self.first = self.first[kept], np.concatenate([[0], np.cumsum(size)])
+        self.ids = self.ids[np.repeat(before - self.first[:-1], size) + np.arange(self.first[-1])]
+        self.again = np.zeros(len(kept), bool)
 
     def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
 
+    def _new(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Identifiers of new parts, one after the other.  Parts that open with a space and close with
+        a visible ASCII character are given to the library joined, since a piece ends between any two; the
+        identifiers' bytes tell them apart."""
+        if not self.joins:
+            return self._library(parts)
+        joined = np.array([p[0] == " " and "!" <= p[-1] <= "~" for p in parts], bool)
+        alone, together = np.flatnonzero(~joined), np.flatnonzero(joined)
+        ids, sizes = self._library([parts[i] for i in alone])
+        texts = [
+            "".join(parts[i] for i in together[lo : lo + JOINED]) for lo in range(0, len(together), JOINED)
+        ]
+        more, _ = self._library(texts)
+        ends = np.cumsum(np.fromiter((len(parts[i].encode()) for i in together), np.int64, len(together)))
+        stops = np.searchsorted(np.cumsum(self.bytes[more]), ends) + 1
+        order = np.argsort(np.concatenate([alone, together]))
+        sizes = np.concatenate([sizes, np.diff(stops, prepend=0)])
+        first = np.cumsum(sizes) - sizes
+        first, sizes = first[order], sizes[order]
+        begin = np.cumsum(sizes) - sizes
+        ids = np.concatenate([ids, more])
+        return ids[np.repeat(first - begin, sizes) + np.arange(len(ids))], sizes
+
     def _parts(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Where the parts of texts begin, and the end."""
         cut = np.zeros(len(data) + 1, bool)
@@ -162,10 +205,13 @@ class Encoder:
             len(begins) - 1, pa.py_buffer(begins), pa.py_buffer(np.ascontiguousarray(data))
         ).dictionary_encode()
         distinct = parts.dictionary.to_pylist()
+        known = len(self.slots)
         slot = np.fromiter(map(self.slots.__getitem__, distinct), np.int64, len(distinct))
+        self.again[slot[slot < known]] = True
         if self.slots.new:
-            ids, sizes = self._library(self.slots.new)
+            ids, sizes = self._new(self.slots.new)
             self.slots.new = []
+            self.again = np.concatenate([self.again, np.zeros(len(sizes), bool)])
             self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
             self.ids = np.concatenate([self.ids, ids])
         slot = slot[parts.indices.to_numpy()]
