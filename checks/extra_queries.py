@@ -252,9 +252,8 @@ tests AS (SELECT period_idx, count(*) AS predicted FROM done
     def run(spark, sf):
         prepared = materialize(spec.prepare(MQ.panel(spark, sf)), "prepared")
         features, target, alpha = list(spec.features), spec.target, 10.0
-        found = MQ.WF.run_walk_forward(
-            MQ.panel(spark, sf), version, MQ.START, MQ.END, training_months=MQ.TRAIN_MONTHS
-        )
+        rows = MQ.panel(spark, sf)
+        found = MQ.WF.run_walk_forward(rows, version, *MQ.span(rows), training_months=MQ.TRAIN_MONTHS)
         predicted = materialize(
             found.groupBy("period_idx").agg(F.count(F.lit(1)).alias("predicted")), "predicted"
         )

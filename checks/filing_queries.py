@@ -918,27 +918,3 @@ def sample_tickers(spark, sf):
     return SP.sample_tickers(
         table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("ticker")), 100
     )
-
-
-def _fundamental_model(version: str, features) -> None:
-    """Fundamental features only; more than two features have no closed form in SQL."""
-
-    @query(f"walk_forward_{version}", "ticker:s period_idx:i n_train:i prediction:d rank:i")
-    def run(spark, sf):
-        from checks import model_queries as MQ
-
-        rows = fact_rows(spark, sf)
-        timeline = FA.annual_timeline(rows) if version == "v8b" else FA.quarterly_timeline(rows)
-        ids = table(spark, sf, "supplier").select(
-            F.col("s_suppkey").cast("string").alias("ticker"), F.col("s_suppkey").alias("cik")
-        )
-        attached = A.attach_point_in_time(
-            MQ.panel(spark, sf), ids, materialize(timeline, "timeline"), features
-        )
-        return WF.run_walk_forward(
-            attached, version, MQ.START, MQ.END, training_months=MQ.TRAIN_MONTHS
-        )
-
-
-_fundamental_model("v8b", FA.ANNUAL_FEATURES)
-_fundamental_model("v8c", FA.QUARTERLY_FEATURES)

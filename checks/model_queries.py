@@ -20,8 +20,8 @@ from perennial.operators.sectors import build_panel_with_sectors
 from perennial.plans import walkforward as WF
 
 MIN_ROWS = 20
-#: Every month of the supplied panel that has an earlier one; months without training rows drop out.
-START, END = 1997 * 12 + 1, 2001 * 12 + 11
+#: Every month of the panel that has an earlier one; months without training rows drop out.
+START, END = "(SELECT min(period_idx) + 1 FROM panel)", "(SELECT max(period_idx) FROM panel)"
 TRAIN_MONTHS = 36
 PAIR = ("momentum_3m", "volatility_6m")
 MODEL = WF.Model(PAIR, "beta_neutral_target", CS.beta_neutral_target)
@@ -32,6 +32,12 @@ def panel(spark, sf):
     return materialize(FE.build_panel(prices(spark, sf), benchmark(spark, sf), 2), "panel")
 
 
+def span(rows) -> tuple[int, int]:
+    """First and last month to predict."""
+    first, last = rows.agg(F.min("period_idx"), F.max("period_idx")).first()
+    return first + 1, last
+
+
 def neutral_sql(source: str, name: str, value: str, out: str, target: str | None, rows: int) -> str:
     """Residual of value on beta per month, and its z score."""
     z = ""
@@ -300,11 +306,9 @@ preds AS (SELECT *, 1 - (rank - 1) / cnt AS percentile FROM (SELECT *,
 
 
 def predictions(spark, sf):
+    rows = panel(spark, sf)
     return materialize(
-        WF.run_walk_forward(
-            panel(spark, sf), MODEL, START, END, training_months=TRAIN_MONTHS, alpha=10.0
-        ),
-        "ranked",
+        WF.run_walk_forward(rows, MODEL, *span(rows), training_months=TRAIN_MONTHS, alpha=10.0), "ranked"
     )
 
 
@@ -595,30 +599,6 @@ def model_panel(spark, sf):
     return materialize(rows, "model_panel")
 
 
-def _register_model(version: str) -> None:
-    """All features of a version; more than two have no closed form in SQL, so rows only."""
-
-    @query(
-        f"walk_forward_{version}",
-        f"{ID} n_train:i prediction:d rank:i",
-    )
-    def run(spark, sf):
-        rows = model_panel(spark, sf) if version == "v8" else panel(spark, sf)
-        return WF.run_walk_forward(rows, version, START, END, training_months=TRAIN_MONTHS)
-
-
-for _version in ("v3", "v5", "v6", "v7", "v8"):
-    _register_model(_version)
-
-
-@query("diagnostics_v7", MONTHLY_SPEC)
-def diagnostics_v7(spark, sf):
-    found = WF.run_walk_forward(
-        panel(spark, sf), "v7", START, END, training_months=TRAIN_MONTHS
-    )
-    return WF.diagnose(materialize(found, "ranked"), "v7")
-
-
 # Portfolios on the two-feature predictions.
 WEIGHT_SPEC = f"strategy:s {ID} weight:d ret:d"
 BASE = PREDS + f""",

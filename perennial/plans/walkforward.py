@@ -74,9 +74,24 @@ MODELS = {
 }
 
 
+def store_by_month(panel: DataFrame) -> DataFrame:
+    """The panel as a stored table with one folder per month, so that a run reads only its months.
+
+    Rows are ranged by month and ticker first: a task writes to few folders, and a month that holds
+    many rows is written by many tasks.
+    """
+    return materialize(panel.repartitionByRange(PERIOD, "ticker"), "panel", (PERIOD,))
+
+
 def members_only(panel: DataFrame, membership: DataFrame) -> DataFrame:
-    """Rows whose ticker is a member in that month; a month without membership has none."""
-    return panel.join(membership.select(PERIOD, "ticker"), [PERIOD, "ticker"], "left_semi")
+    """Rows whose ticker is a member in that month; a month without membership has none.
+
+    The distinct months, one row per calendar month, are broadcast: over a panel stored by month they
+    prune the folders at run time.  Members themselves are joined as their size allows.
+    """
+    members = membership.select(PERIOD, "ticker")
+    months = F.broadcast(members.select(PERIOD).distinct())
+    return panel.join(months, PERIOD, "left_semi").join(members, [PERIOD, "ticker"], "left_semi")
 
 
 def run_walk_forward(
@@ -90,11 +105,14 @@ def run_walk_forward(
 ) -> DataFrame:
     """Ranked out-of-sample predictions; ``start`` and ``end`` are month indexes.
 
-    The panel is read several times: pass a stored or materialized one.
+    The panel is read several times: pass a stored one, with ``membership`` one stored by month.
     """
     spec = MODELS[model] if isinstance(model, str) else model
-    rows = panel if membership is None else members_only(panel, membership)
-    rows = rows.where(F.col(PERIOD).between(start - training_months, end))
+    in_range = F.col(PERIOD).between(start - training_months, end)
+    rows = panel.where(in_range)
+    if membership is not None:
+        members = materialize(membership.where(in_range), "members")
+        rows = members_only(rows, members.where(in_range))
     prepared = materialize(spec.prepare(rows), "prepared")
     predicted = walk_forward_predictions(
         prepared, spec.features, spec.target, start, end, training_months, alpha, spec.min_test_rows

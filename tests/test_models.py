@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from perennial.functions.inference import hac_t
+from perennial.functions.storage import materialize
 from perennial.operators import crosssection as CS
 from perennial.operators import features as FE
 from perennial.operators import portfolio as PF
@@ -172,3 +173,24 @@ def test_incomplete_window_is_null(spark):
     df = spark.createDataFrame(rows, "ticker string, period_idx int, ret double, bench_ret double")
     got = FE.features_from_months(df).orderBy("period_idx").toPandas().momentum_3m
     assert got[:4].isna().all() and got[4] == pytest.approx(1.01 * 1.02 * 1.03 - 1)
+
+
+def test_membership_prunes_a_panel_stored_by_month(spark):
+    from perennial.plans import walkforward as WF
+
+    panel = spark.range(400).selectExpr(
+        "concat('t', id % 20) AS ticker", "cast(24000 + id div 20 as int) AS period_idx", "cast(id as double) AS x"
+    )
+    stored = WF.store_by_month(panel)
+    members = materialize(
+        spark.createDataFrame(
+            [(24003, "t1"), (24003, "t2"), (24007, "t5"), (24007, None), (None, "t5"), (25000, "t1")],
+            "period_idx int, ticker string",
+        )
+    )
+    kept = WF.members_only(stored, members.where("period_idx between 24000 and 26000"))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruningexpression" in plan
+    assert sorted((r["period_idx"], r["ticker"]) for r in kept.collect()) == [
+        (24003, "t1"), (24003, "t2"), (24007, "t5"),
+    ]

@@ -8,8 +8,7 @@ from checks.registry import HOMES
 
 SMALL, LARGE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 #: Models and portfolios need months of thirty tickers and more.
-LARGE_HOMES = {"checks.model_queries", "checks.extra_queries"}
-LARGE_NAMES = {"walk_forward_v8b", "walk_forward_v8c"}
+LARGE_HOMES = {"checks.model_queries", "checks.extra_queries", "checks.walkforward_queries"}
 
 
 @pytest.fixture(scope="module")
@@ -22,7 +21,7 @@ def tables():
 
 @pytest.mark.parametrize("name", sorted(entry.queries()))
 def test_query(spark, tables, name):
-    sf = LARGE if HOMES.get(name) in LARGE_HOMES or name in LARGE_NAMES else SMALL
+    sf = LARGE if HOMES.get(name) in LARGE_HOMES else SMALL
     ok, note = compare(
         spark, tables[sf], sf, name, entry.queries()[name], entry.oracle_sql().get(name)
     )
