@@ -190,7 +190,7 @@ def test_membership_prunes_a_panel_stored_by_month(spark):
     )
     kept = WF.members_only(stored, members.where("period_idx between 24000 and 26000"))
     plan = kept._jdf.queryExecution().executedPlan().toString()
-    assert "dynamicpruningexpression" in plan
+    assert "SubqueryAdaptiveBroadcast dynamicpruning" in plan
     assert sorted((r["period_idx"], r["ticker"]) for r in kept.collect()) == [
         (24003, "t1"), (24003, "t2"), (24007, "t5"),
     ]
