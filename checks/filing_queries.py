@@ -673,8 +673,8 @@ def calendar_dates(spark, sf):
     )
 
 
-# Identifier lists from customers: a hashed first word keeps the name blocks small.
-WORD = "upper(substr(md5(CAST(c_custkey AS VARCHAR)), 1, 6))"
+# Identifier lists from customers: the market segment is the first word of all its names.
+WORD = "concat(upper(c_mktsegment), ' ', upper(substr(md5(CAST(c_custkey AS VARCHAR)), 1, 10)))"
 
 
 def customers(spark, sf):
@@ -683,7 +683,11 @@ def customers(spark, sf):
     )
     return table(spark, sf, "customer").join(F.broadcast(nation), "c_nationkey").select(
         "c_custkey", "nation",
-        F.upper(F.substring(F.md5(F.col("c_custkey").cast("string")), 1, 6)).alias("word"),
+        F.concat(
+            F.upper("c_mktsegment"), F.lit(" "),
+            F.upper(F.substring(F.md5(F.col("c_custkey").cast("string")), 1, 10)),
+        ).alias("word"),
+        F.upper("c_mktsegment").alias("segment"),
     )
 
 
@@ -702,7 +706,7 @@ def listed_names(spark, sf):
 
 
 LISTED = f"""
-base AS (SELECT c_custkey, {WORD} AS word, upper(n_name) AS nation FROM customer JOIN nation ON n_nationkey = c_nationkey),
+base AS (SELECT c_custkey, {WORD} AS word, upper(c_mktsegment) AS segment, upper(n_name) AS nation FROM customer JOIN nation ON n_nationkey = c_nationkey),
 listed AS (SELECT concat(word, ' HOLDINGS OF ', nation, ' INC') AS name, concat(word, ' HOLDINGS OF ', replace(nation, '_', ' ')) AS normalized,
   c_custkey AS cik FROM base UNION ALL SELECT concat(word, ' HOLDINGS OF ', nation, ' INC'),
   concat(word, ' HOLDINGS OF ', replace(nation, '_', ' ')), c_custkey + 1000000 FROM base WHERE c_custkey % 10 = 4)"""
@@ -784,7 +788,7 @@ def named_tickers(spark, sf):
     """Tickers with one or two names: exact, misspelt, or unlike any listed name."""
     exact = F.concat("word", F.lit(" Holdings of "), "nation", F.lit(" Corp."))
     near = F.concat("word", F.lit(" Holding of "), "nation")
-    far = F.concat("word", F.lit(" Qxqx"))
+    far = F.concat("segment", F.lit(" Qxqx"))
     kind = F.col("c_custkey") % 4
     name = F.when(kind <= 1, exact).when(kind == 2, near).otherwise(far)
     return customers(spark, sf).select(
@@ -797,7 +801,7 @@ RESOLVE_SPEC = "ticker:s cik:d resolution:s input_name:s matched_name:s score:d"
 RESOLVE = LISTED + """,
 asked AS (SELECT *, concat('C-', c_custkey) AS ticker, c_custkey % 4 AS kind,
   CASE WHEN c_custkey % 4 <= 1 THEN concat(word, ' Holdings of ', nation, ' Corp.')
-    WHEN c_custkey % 4 = 2 THEN concat(word, ' Holding of ', nation) ELSE concat(word, ' Qxqx') END AS nm FROM base),
+    WHEN c_custkey % 4 = 2 THEN concat(word, ' Holding of ', nation) ELSE concat(segment, ' Qxqx') END AS nm FROM base),
 ids AS (SELECT normalized, count(DISTINCT cik) AS n FROM listed GROUP BY 1)"""
 
 
@@ -821,18 +825,19 @@ def resolve_exact(spark, sf):
 
 
 # The misspelt name lacks one letter of the listed one, and the far name shares only the first word
-# and the blank after it, so the similarity ratio is known.
+# and the blank after it, so the similarity ratio is known: the far one's best is the shortest name.
 @query(
     "resolve_identifiers",
     RESOLVE_SPEC,
     RESOLVE + """,
 sims AS (SELECT a.*, i.n, concat(word, ' HOLDINGS OF ', nation, ' INC') AS full_name,
-  length(concat(word, ' HOLDINGS OF ', nation)) AS len_listed FROM asked a
+  length(concat(word, ' HOLDINGS OF ', nation)) AS len_listed, min(length(concat(word, ' HOLDINGS OF ', nation)))
+  OVER (PARTITION BY segment) AS shortest FROM asked a
   JOIN ids i ON i.normalized = concat(a.word, ' HOLDINGS OF ', replace(a.nation, '_', ' '))),
 steps AS (SELECT *, CASE WHEN c_custkey % 5 = 0 THEN 'ticker' WHEN kind <= 1 AND n = 1 THEN 'name_exact'
   WHEN kind <= 1 THEN 'ambiguous_exact' WHEN kind = 2 AND n = 1 THEN 'name_fuzzy' ELSE 'unresolved' END AS r,
   CASE WHEN kind = 2 THEN 2.0 * (len_listed - 1) / (2 * len_listed - 1)
-    WHEN kind = 3 THEN 2.0 * 7 / (11 + len_listed) END AS ratio FROM sims)""",
+    WHEN kind = 3 THEN 2.0 * (length(segment) + 1) / (length(segment) + 5 + shortest) END AS ratio FROM sims)""",
     """SELECT ticker, CASE WHEN r IN ('ticker', 'name_exact', 'name_fuzzy') THEN c_custkey END AS cik, r AS resolution,
   CASE WHEN kind <> 1 THEN nm WHEN r = 'ticker' THEN 'Zzz Unknown' ELSE concat('Zzz Unknown | ', nm) END AS input_name,
   CASE WHEN r = 'ticker' THEN concat(word, ' LISTED') WHEN r IN ('name_exact', 'name_fuzzy') THEN full_name END

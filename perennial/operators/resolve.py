@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from difflib import SequenceMatcher
+from functools import cached_property
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from perennial.functions.columns import normalize_company_name, normalize_ticker
 from perennial.functions.storage import materialize
@@ -18,7 +20,6 @@ OVERRIDES = [
     ("EQR", 906107, "EQUITY RESIDENTIAL"),
 ]
 SIMILARITY_CUTOFF = 0.92
-NAME_SALTS = 32
 
 
 def identifier_coverage(tickers: DataFrame, ticker_map: DataFrame) -> DataFrame:
@@ -47,11 +48,98 @@ def name_index(sec_names: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf(DoubleType())
-def similarity(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp ratio of two names."""
-    return pd.Series(
-        [SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right)], dtype="float64"
+#: Names of one block on either side that meet in one task.
+CELL_NAMES = 1024
+#: Length of the pieces of a name by which the first candidate is found.
+GRAM = 3
+_CODES = np.full(128, 37, np.int64)
+_CODES[[*range(48, 58), *range(65, 91), 32]] = np.arange(37)
+
+
+def _letter_counts(names: Sequence[str]) -> np.ndarray:
+    """How often each of 37 characters, and any other one, occurs in each name."""
+    points = [np.frombuffer(n.encode("utf-32-le"), np.uint32) for n in names]
+    owner = np.repeat(np.arange(len(names)), [len(p) for p in points])
+    code = _CODES[np.minimum(np.concatenate(points), 127)] if len(owner) else owner
+    return np.bincount(owner * 38 + code, minlength=38 * len(names)).reshape(-1, 38)
+
+
+def _grams(name: str) -> set[str]:
+    return {name[i : i + GRAM] for i in range(max(1, len(name) - GRAM + 1))}
+
+
+class NameCell:
+    """Listed names of one cell, and two searches for the one most similar to a name.
+
+    ``first`` scores the name that shares most pieces, found by an inverted index.  ``best`` takes names
+    by an upper bound of their ratio, twice the characters shared in any order over both lengths, and
+    ends at the first that can't win; equal ratios go to the greater name.
+    """
+
+    def __init__(self, names: Sequence[str]):
+        self.names = sorted(names, reverse=True)
+        self.sizes = np.array([len(n) for n in self.names])
+        self.scored = 0
+
+    @cached_property
+    def counts(self) -> np.ndarray:
+        return _letter_counts(self.names)
+
+    @cached_property
+    def lists(self) -> dict[str, np.ndarray]:
+        lists: dict[str, list[int]] = {}
+        for i, name in enumerate(self.names):
+            for gram in _grams(name):
+                lists.setdefault(gram, []).append(i)
+        return {gram: np.array(at) for gram, at in lists.items()}
+
+    def _score(self, wanted: str, i: int) -> tuple[float, str]:
+        self.scored += 1
+        return SequenceMatcher(None, wanted, self.names[i]).ratio(), self.names[i]
+
+    def first(self, wanted: str, least: float = 0.0) -> tuple[float, str] | None:
+        lists = [self.lists[g] for g in _grams(wanted) if g in self.lists]
+        if not lists:
+            return None
+        shared = np.bincount(np.concatenate(lists), minlength=len(self.names))
+        found = self._score(wanted, int((2.0 * shared / (self.sizes + len(wanted))).argmax()))
+        return found if found[0] >= least else None
+
+    def best(self, wanted: str, least: float = 0.0) -> tuple[float, str] | None:
+        shared = np.minimum(self.counts, _letter_counts([wanted])).sum(axis=1)
+        bound = 2.0 * shared / (self.sizes + len(wanted))
+        able = np.flatnonzero(bound >= least)
+        found = None
+        for i in able[np.argsort(-bound[able], kind="stable")]:
+            if found and (bound[i], self.names[i]) < found:
+                break
+            candidate = self._score(wanted, i)
+            if candidate[0] >= least and (found is None or candidate > found):
+                found = candidate
+        return found
+
+
+def _of_cell(method: str):
+    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(right):
+            find = getattr(NameCell(right["candidate"].tolist()), method)
+            for wanted, least in zip(left["wanted"], left["least"]):
+                found = find(wanted, least)
+                if found:
+                    out.append((wanted, found[1], found[0]))
+        return pd.DataFrame(out, columns=["wanted", "candidate", "score"])
+
+    return search
+
+
+def _dealt(rows: DataFrame, name: str, own: str, other: str, sizes: DataFrame) -> DataFrame:
+    """Rows of one side in the cells of their block: dealt by hash on their own side, copied to every
+    part of the other side."""
+    return rows.join(sizes, "block").select(
+        *rows.columns,
+        F.pmod(F.xxhash64(name), F.col(own)).cast("int").alias(own),
+        F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other),
     )
 
 
@@ -61,43 +149,58 @@ def similar_names(
     """The most similar listed name of every distinct ``normalized`` input.
 
     Compared are names that begin with the input's first word or contain it as a word.  The names of
-    a frequent word are spread over ``NAME_SALTS`` tasks and pairs stream through in batches; only
-    the best of each task goes on.  The ratio cannot exceed 2*min/(sum of lengths), so pairs that
-    cannot reach ``min_reported_score`` are not scored.
+    a word are counted on both sides and split into cells of about ``CELL_NAMES`` names by
+    ``CELL_NAMES`` inputs, so that a word that many names share is spread over as many tasks as its
+    pairs need, and a rare word is copied nowhere.  A first pass over the cells scores one name per
+    input and cell, found by shared pieces; the best of them is the score that any other must reach, so
+    that the second pass scores few pairs (see ``NameCell``).  Pairs that cannot reach
+    ``min_reported_score`` are not scored.
     """
-    asked = (
+    asked = materialize(
         inputs.where(F.col("normalized") != "")
         .select("normalized")
         .distinct()
         .select(
             F.col("normalized").alias("wanted"),
             F.split_part("normalized", F.lit(" "), F.lit(1)).alias("block"),
-            F.explode(F.sequence(F.lit(0), F.lit(NAME_SALTS - 1))).alias("salt"),
-        )
+        ),
+        "asked",
     )
     words = F.split("candidate", " ")
     first = words[0]
     beginnings = F.transform(
         F.sequence(F.lit(1), F.length(first)), lambda n: F.substring(first, F.lit(1), n)
     )
-    listed = (
-        sec_names.select(F.col("normalized").alias("candidate"))
-        .distinct()
-        .select(
-            "candidate",
-            F.explode(F.array_distinct(F.concat(words, beginnings))).alias("block"),
-            F.pmod(F.xxhash64("candidate"), F.lit(NAME_SALTS)).cast("int").alias("salt"),
-        )
+    every = sec_names.select(F.col("normalized").alias("candidate")).distinct().select(
+        "candidate", F.explode(F.array_distinct(F.concat(words, beginnings))).alias("block")
     )
-    a, b = F.length("wanted"), F.length("candidate")
-    pairs = listed.join(asked, ["block", "salt"]).where(
-        2 * F.least(a, b) / (a + b) >= min_reported_score
+    blocks = asked.groupBy("block").agg(F.count(F.lit(1)).alias("n_asked"))
+    listed = materialize(every.join(blocks.select("block"), "block", "left_semi"), "listed")
+
+    def parts(n: str, name: str):
+        return F.ceil(F.col(n) / CELL_NAMES).cast("int").alias(name)
+
+    sizes = blocks.join(listed.groupBy("block").agg(F.count(F.lit(1)).alias("n_listed")), "block").select(
+        "block", parts("n_asked", "a"), parts("n_listed", "b")
     )
-    scored = pairs.select("wanted", "candidate", similarity("wanted", "candidate").alias("score"))
-    best = F.max_by(F.struct("candidate", "score"), F.struct("score", "candidate"))
-    return scored.groupBy("wanted").agg(best.alias("_b")).select(
-        F.col("wanted").alias("normalized"), "_b.candidate", "_b.score"
+    right = _dealt(listed, "candidate", "b", "a", sizes)
+    cell = ["block", "a", "b"]
+
+    def best(rows: DataFrame, method: str) -> DataFrame:
+        left = _dealt(rows, "wanted", "a", "b", sizes)
+        found = left.groupBy(cell).cogroup(right.groupBy(cell)).applyInPandas(
+            _of_cell(method), "wanted string, candidate string, score double"
+        )
+        return found.groupBy("wanted").agg(F.max(F.struct("score", "candidate")).alias("best"))
+
+    least = F.lit(float(min_reported_score))
+    first = materialize(best(asked.withColumn("least", least), "first"), "first")
+    so_far = first.select("wanted", F.col("best.score").alias("score"))
+    rest = asked.join(so_far, "wanted", "left").select(
+        "wanted", "block", F.coalesce("score", least).alias("least")
     )
+    found = first.unionByName(best(rest, "best")).groupBy("wanted").agg(F.max("best").alias("best"))
+    return found.select(F.col("wanted").alias("normalized"), "best.candidate", "best.score")
 
 
 def resolve_identifiers(

@@ -132,6 +132,27 @@ def test_similar_names_equal_brute_force(spark):
             assert a not in got
 
 
+def test_similar_names_of_one_frequent_word(spark, monkeypatch):
+    rnd = random.Random(8)
+    parts = ["HOLDINGS", "HOLDING", "OF", "EAST", "WEST", "RIVER", "RIVERS", "ÉCLAIR", "X1", "1X"]
+    listed = sorted({" ".join(["UNITED", *rnd.choices(parts, k=rnd.randint(0, 4))]) for _ in range(500)})
+    asked = sorted({" ".join(["UNITED", *rnd.choices([*parts, "QXQX"], k=3)]) for _ in range(150)})
+    sec = spark.createDataFrame([(n, n, i) for i, n in enumerate(listed)], "name string, normalized string, cik long")
+    inputs = spark.createDataFrame([(a,) for a in [*asked, "", asked[0]]], "normalized string")
+    want = {a: max((SequenceMatcher(None, a, c).ratio(), c) for c in listed) for a in asked}
+    for size in (40, 1024):
+        monkeypatch.setattr(RS, "CELL_NAMES", size)
+        got = RS.similar_names(inputs, sec).collect()
+        assert {r.normalized: (r.score, r.candidate) for r in got} == want and len(got) == len(asked)
+    high = RS.similar_names(inputs, sec, 0.9).collect()
+    assert {r.normalized: (r.score, r.candidate) for r in high} == {a: b for a, b in want.items() if b[0] >= 0.9}
+    cell = RS.NameCell(listed)
+    for a in asked:
+        first = cell.first(a)
+        assert max(first, cell.best(a, first[0])) == want[a]
+    assert cell.scored < len(asked) * len(listed) / 4
+
+
 def test_resolution_cascade(spark):
     names = spark.createDataFrame(
         [("AEP", ["American Electric"]), ("AAA", ["Anything"]), ("BBB", ["Omega Works Inc"]),
