@@ -226,6 +226,70 @@ def monthly_with_beta_target(spark, sf):
     )
 
 
+
+# A whole run: rank tilt, beta target and buckets, a strategy of one month, and one that loses all.
+_HEAD, _MONTHS = MQ.BASE.split("\nwts AS (SELECT * FROM tilt UNION ALL SELECT * FROM bucket),")
+RUN = (
+    _HEAD.rstrip(",")
+    + MQ.PROJECTION.removeprefix(MQ.BASE)
+    + """,
+wts AS (SELECT * FROM (SELECT * FROM tilt UNION ALL SELECT * FROM bucket
+  UNION ALL SELECT strategy, period_idx, ticker, weight, ret, beta_24m, bench_ret FROM proj
+  UNION ALL SELECT * REPLACE ('one_month' AS strategy) FROM tilt WHERE period_idx = (SELECT min(period_idx) FROM tilt)
+  UNION ALL SELECT * REPLACE ('ruined' AS strategy, CASE WHEN period_idx = (SELECT max(period_idx) FROM tilt) THEN -1
+    ELSE ret END AS ret) FROM tilt) WHERE weight > 1e-9),"""
+    + _MONTHS
+)
+RUN_COLUMNS = """strategy:s period_idx:i gross_return:d benchmark_return:d estimated_beta:d holdings:i
+  effective_holdings:d max_weight:d turnover:d trading_cost:d net_return:d net_excess:d beat_benchmark:b"""
+
+
+def run_months(spark, sf):
+    rows = MQ.eligible(spark, sf)
+    tilt = materialize(PF.rank_tilt_weights(rows), "tilt")
+    first, last = tilt.agg(F.min("period_idx"), F.max("period_idx")).first()
+    lost = F.when(F.col("period_idx") == last, -1.0).otherwise(F.col("ret"))
+    weights = [
+        tilt,
+        PF.beta_target_weights(tilt, 1.0, CAP).drop("status"),
+        PF.bucket_weights(rows),
+        tilt.where(F.col("period_idx") == first).withColumn("strategy", F.lit("one_month")),
+        tilt.withColumn("strategy", F.lit("ruined")).withColumn("ret", lost),
+    ]
+    held = weights[0]
+    for w in weights[1:]:
+        held = held.unionByName(w)
+    return materialize(PF.portfolio_monthly(materialize(held, "held")), "months")
+
+
+@query("portfolio_run_months", RUN_COLUMNS, RUN, "SELECT * FROM pm")
+def portfolio_run_months(spark, sf):
+    return run_months(spark, sf)
+
+
+ZERO_CAGR = """CASE WHEN product(1 + {c}) > 0 THEN pow(product(1 + {c}), 12.0 / count(*)) - 1 ELSE -1 END"""
+
+
+@query(
+    "portfolio_run_summary",
+    """strategy:s months:i net_cagr:d benchmark_cagr:d annual_volatility:d sharpe:d max_drawdown:d
+  average_excess:d beat_rate:d average_beta:d realized_beta:d average_turnover:d average_cost:d
+  average_holdings:d average_effective_holdings:d average_max_weight:d""",
+    RUN,
+    f"""SELECT * FROM (SELECT strategy, count(*) AS months, {ZERO_CAGR.format(c='net_return')} AS net_cagr,
+  {ZERO_CAGR.format(c='benchmark_return')} AS benchmark_cagr, stddev_samp(net_return) * sqrt(12) AS annual_volatility,
+  CASE WHEN stddev_samp(net_return) > 0 THEN avg(net_return) * 12 / (stddev_samp(net_return) * sqrt(12)) ELSE 0 END
+    AS sharpe, avg(net_excess) AS average_excess, avg(beat_benchmark::INT) AS beat_rate,
+  avg(estimated_beta) AS average_beta, CASE WHEN var_samp(benchmark_return) > 0
+    THEN covar_samp(net_return, benchmark_return) / var_samp(benchmark_return) ELSE 0 END AS realized_beta,
+  avg(turnover) AS average_turnover, avg(trading_cost) AS average_cost, avg(holdings) AS average_holdings,
+  avg(effective_holdings) AS average_effective_holdings, avg(max_weight) AS average_max_weight
+  FROM pm GROUP BY 1) JOIN ({MQ.DRAWDOWN}) USING (strategy)""",
+)
+def portfolio_run_summary(spark, sf):
+    return PF.portfolio_summary(run_months(spark, sf), degenerate="zero")
+
+
 def _register_conditions(version: str, target_sql: str) -> None:
     """What each month's fit of a version must satisfy, from the panel and the fits alone.
 

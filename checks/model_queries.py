@@ -650,7 +650,39 @@ def bucket_weights(spark, sf):
     return PF.bucket_weights(eligible(spark, sf))
 
 
-@query("beta_target_weights", WEIGHT_SPEC)
+# The nearest capped weights, by bisection of both multipliers of the dual: for a slope the level at
+# which the weights sum to 1, then the slope at which they have the wanted beta.
+INNER, OUTER = 60, 60
+PROJECTION = BASE + f""",
+ks AS (SELECT *, count(*) OVER p AS n, weight / sum(weight) OVER p AS base, (beta_24m - avg(beta_24m) OVER p)
+  / coalesce(nullif(stddev_pop(beta_24m) OVER p, 0), 1) AS x, row_number() OVER (PARTITION BY period_idx ORDER BY beta_24m, ticker) AS lo,
+  row_number() OVER (PARTITION BY period_idx ORDER BY beta_24m DESC, ticker) AS hi
+  FROM tilt WINDOW p AS (PARTITION BY period_idx)),
+kc AS MATERIALIZED (SELECT *, CASE WHEN n * 0.02 < 1 THEN 1.0::DOUBLE / n + 1e-6 ELSE 0.02::DOUBLE END AS cap FROM ks),
+kr AS (SELECT period_idx, avg(beta_24m) AS centre, coalesce(nullif(stddev_pop(beta_24m), 0), 1) AS scale,
+  max(base) + 1 AS reach, max(abs(x)) AS far,
+  sum(greatest(0, least(cap, 1 - (lo - 1) * cap)) * beta_24m) AS least_beta,
+  sum(greatest(0, least(cap, 1 - (hi - 1) * cap)) * beta_24m) AS most_beta FROM kc GROUP BY 1),
+kg AS MATERIALIZED (SELECT period_idx, reach, far, (least(greatest(1.0, least_beta + (most_beta - least_beta) * 1e-7),
+  most_beta - (most_beta - least_beta) * 1e-7) - centre) / scale AS goal FROM kr),
+walk AS (WITH RECURSIVE r(period_idx, k, a0, a1, b0, b1) AS (
+  SELECT period_idx, 0, -reach - 10 * far, reach + 10 * far, -10.0::DOUBLE, 10.0::DOUBLE FROM kg UNION ALL
+  SELECT period_idx, k + 1, CASE WHEN last THEN -reach - 10 * far WHEN total < 1 THEN a ELSE a0 END,
+    CASE WHEN last THEN reach + 10 * far WHEN total < 1 THEN a1 ELSE a END,
+    CASE WHEN last AND tilt < goal THEN b ELSE b0 END, CASE WHEN last AND tilt >= goal THEN b ELSE b1 END FROM (
+    SELECT period_idx, k, k % {INNER} = {INNER} - 1 AS last, any_value(a0) AS a0, any_value(a1) AS a1,
+      any_value(b0) AS b0, any_value(b1) AS b1, any_value((a0 + a1) / 2) AS a, any_value((b0 + b1) / 2) AS b,
+      any_value(reach) AS reach, any_value(far) AS far, any_value(goal) AS goal,
+      sum(greatest(0, least(cap, base + (a0 + a1) / 2 + (b0 + b1) / 2 * x))) AS total,
+      sum(x * greatest(0, least(cap, base + (a0 + a1) / 2 + (b0 + b1) / 2 * x))) AS tilt
+    FROM r JOIN kc USING (period_idx) JOIN kg USING (period_idx) WHERE k < {INNER * (OUTER + 1) - 1} GROUP BY period_idx, k))
+  SELECT period_idx, (a0 + a1) / 2 AS a, (b0 + b1) / 2 AS b FROM r WHERE k = {INNER * (OUTER + 1) - 1}),
+kw AS (SELECT kc.*, greatest(0, least(cap, base + a + b * x)) AS w FROM kc JOIN walk USING (period_idx)),
+proj AS (SELECT * EXCLUDE (strategy, weight), 'beta_target' AS strategy, w / sum(w) OVER (PARTITION BY period_idx) AS weight
+  FROM kw)"""
+
+
+@query("beta_target_weights", WEIGHT_SPEC, PROJECTION, "SELECT * FROM proj")
 def beta_target_weights(spark, sf):
     return PF.beta_target_weights(PF.rank_tilt_weights(eligible(spark, sf)))
 

@@ -9,8 +9,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from perennial.functions.order import with_average_rank
 from perennial.functions.storage import materialize
@@ -102,6 +104,8 @@ def beta_range(rows: DataFrame, max_weight: float) -> DataFrame:
     return caps.join(low, PERIOD).join(high, PERIOD)
 
 
+#: Months of at most this many holdings are projected in one task each.
+MONTH_ROWS = 1 << 20
 STEPS = (1.0, 0.5, 0.25, 0.0625)
 #: Largest accepted miss of the weight sum and of the standardised beta.
 TOLERANCE = 1e-8
@@ -133,19 +137,88 @@ def _dual_pass(rows: DataFrame, candidates: list[tuple[int, int, float, float]])
     )
 
 
+def project_month(
+    base: np.ndarray, beta: np.ndarray, target_beta: float, max_weight: float
+) -> tuple[np.ndarray, bool]:
+    """Nearest weights of one month, and whether sum and beta are met within ``TOLERANCE``.
+
+    Newton's method on the dual, a piecewise quadratic function of the two multipliers: inside a piece
+    the next step is exact, and the pieces passed are finite in number.
+    """
+    n = len(base)
+    base = base / base.sum()
+    cap = max_weight if n * max_weight >= 1.0 else 1.0 / n + 1e-6
+    filled = np.clip(1.0 - np.arange(n) * cap, 0.0, cap)
+    ordered = np.sort(beta)
+    low, high = filled @ ordered, filled @ ordered[::-1]
+    margin = (high - low) * 1e-7
+    goal = min(max(target_beta, low + margin), high - margin)
+    centre, scale = beta.mean(), beta.std() or 1.0
+    x, goal = (beta - centre) / scale, (goal - centre) / scale
+
+    def at(point: np.ndarray):
+        z = base + point[0] + point[1] * x
+        w = np.clip(z, 0.0, cap)
+        value = (w * (z - w / 2)).sum() - point[0] - point[1] * goal
+        return value, np.array([w.sum() - 1.0, w @ x - goal]), w, (z > 0) & (z < cap)
+
+    point, shrink = np.zeros(2), 1.0
+    value, gap, w, free = at(point)
+    while np.abs(gap).max() >= 1e-11 and shrink >= 1e-14:
+        curve = np.array([[free.sum(), x[free].sum()], [x[free].sum(), (x[free] ** 2).sum()]])
+        curve += np.eye(2) * max(1e-9, 1e-9 * np.trace(curve))
+        step = -np.linalg.solve(curve, gap)
+        if np.abs(gap).max() < 1e-9 and np.abs(step).max() < 1e-12:
+            break
+        trials = [point + shrink * s * step for s in STEPS]
+        best = min(range(len(trials)), key=lambda i: at(trials[i])[0])
+        found = at(trials[best])
+        if found[0] < value - 1e-15 * abs(value):
+            point, (value, gap, w, free), shrink = trials[best], found, 1.0
+        else:
+            shrink *= STEPS[-1] / 2
+    w = np.where(w < 1e-10, 0.0, w)
+    return w / w.sum(), bool(np.abs(gap).max() < TOLERANCE)
+
+
+def _projected(target_beta: float, max_weight: float):
+    def project(month: pd.DataFrame) -> pd.DataFrame:
+        month = month.sort_values("ticker", kind="stable")
+        beta = month["beta_24m"].to_numpy(dtype=float)
+        weight, solved = project_month(month["weight"].to_numpy(dtype=float), beta, target_beta, max_weight)
+        status = "solved" if solved else "unsolved"
+        return month.assign(weight=weight, strategy="beta_target", status=status)[[*WEIGHT_COLUMNS, "status"]]
+
+    return project
+
+
 def beta_target_weights(
     base: DataFrame, target_beta: float = 1.0, max_weight: float = 0.02
 ) -> DataFrame:
     """Nearest weights to ``base`` (least squares) with sum 1, the target beta and a weight cap.
 
     The target is clipped to what the cap allows.  The solution is ``clip(base + a + b*beta, 0, cap)``
-    with two multipliers per month, found by Newton's method on the convex dual: every pass is one
-    grouped aggregation for all months, and only its one row per month and trial step reaches the
-    driver.  A month is ``solved`` in the column ``status`` only if sum and beta are met within
-    ``TOLERANCE``; one whose steps no longer improve has its best capped weights and is ``unsolved``.
+    with two multipliers per month.  Months are dealt to tasks by one shuffle and solved there; their
+    sizes are counted first, and a month of more than ``MONTH_ROWS`` holdings is solved by passes over
+    its distributed rows instead.  A month is ``solved`` in the column ``status`` only if sum and beta
+    are met within ``TOLERANCE``; another has its best capped weights and is ``unsolved``.
     """
-    known = base.where(F.col("beta_24m").isNotNull())
-    known = per_month(known, [F.sum("weight").alias("_sum")]).withColumn(
+    known = materialize(base.where(F.col("beta_24m").isNotNull()).select(*WEIGHT_COLUMNS), "base")
+    large = known.groupBy(PERIOD).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MONTH_ROWS)
+    large = materialize(large.select(PERIOD), "large_months")  # one row for each
+    kinds = StructType([*known.schema.fields, StructField("status", StringType())])
+    project = _projected(target_beta, max_weight)
+    if large.isEmpty():
+        return known.groupBy(PERIOD).applyInPandas(project, kinds)
+    apart = F.broadcast(large)
+    small = known.join(apart, PERIOD, "left_anti").groupBy(PERIOD).applyInPandas(project, kinds)
+    return small.unionByName(_large_months(known.join(apart, PERIOD, "left_semi"), target_beta, max_weight))
+
+
+def _large_months(base: DataFrame, target_beta: float, max_weight: float) -> DataFrame:
+    """The projection by Newton passes over distributed rows: every pass is one grouped aggregation for
+    all months, and only its one row per month and trial step reaches the driver."""
+    known = per_month(base, [F.sum("weight").alias("_sum")]).withColumn(
         "base", F.col("weight") / F.col("_sum")
     )
     known = materialize(known.drop("_sum"), "base")

@@ -112,6 +112,22 @@ def test_beta_projection(spark):
             )
 
 
+def test_large_months_are_projected_alike(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    rows = [
+        ("x", p, f"T{i}", float(rng.random()), 0.0, float(0.9 + p / 10 + 0.4 * rng.normal()), 0.0)
+        for p, n in enumerate((60, 120, 140)) for i in range(n)
+    ]
+    base = spark.createDataFrame(
+        rows, "strategy string, period_idx int, ticker string, weight double, ret double, beta_24m double, bench_ret double"
+    )
+    want = {(r.period_idx, r.ticker): r.weight for r in PF.beta_target_weights(base).collect()}
+    monkeypatch.setattr(PF, "MONTH_ROWS", 100)
+    got = PF.beta_target_weights(base).collect()
+    assert len(got) == len(rows) and {r.status for r in got} == {"solved"}
+    assert all(r.weight == pytest.approx(want[r.period_idx, r.ticker], abs=1e-8) for r in got)
+
+
 def test_hac(spark):
     rng = np.random.default_rng(4)
     x = np.cumsum(rng.normal(size=40)) * 0.1 + 0.5
