@@ -354,7 +354,8 @@ RESOLUTION = """
 resolution AS (SELECT upper(concat('s.', s_suppkey)) AS ticker, s_suppkey AS cik FROM supplier
   WHERE s_suppkey % 7 <> 3),
 grid AS (SELECT concat('S-', s_suppkey) AS ticker, period_idx FROM supplier
-  CROSS JOIN (SELECT unnest(range(1996 * 12, 2001 * 12 + 6)) AS period_idx)),
+  CROSS JOIN (SELECT unnest(range(min(m), max(m) + 2)) AS period_idx FROM (
+    SELECT year(l_shipdate) * 12 + month(l_shipdate) - 1 AS m FROM lineitem))),
 mapped AS (SELECT g.*, r.cik, make_date((period_idx // 12)::INT, (period_idx % 12 + 1)::INT, 1) - 1 AS cutoff
   FROM grid g LEFT JOIN (SELECT replace(ticker, '.', '-') AS ticker, cik FROM resolution) r USING (ticker))"""
 
@@ -373,7 +374,10 @@ def resolution(spark, sf):
 
 
 def grid(spark, sf):
-    months = F.sequence(F.lit(1996 * 12), F.lit(2001 * 12 + 5))
+    """Every supplier in every month from the first filing to the month after the last."""
+    filed = month_index("l_shipdate")
+    first, last = table(spark, sf, "lineitem").agg(F.min(filed), F.max(filed)).first()
+    months = F.sequence(F.lit(first), F.lit(last + 1))
     return table(spark, sf, "supplier").select(
         F.concat(F.lit("S."), F.col("s_suppkey").cast("string")).alias("ticker"),
         F.explode(months).alias("period_idx"),
@@ -520,7 +524,7 @@ act AS (SELECT date, upper(replace(added, '.', '-')) AS ticker, 'added' AS actio
   UNION ALL SELECT date, upper(replace(removed, '.', '-')), 'removed' FROM chg WHERE removed IS NOT NULL),
 cur AS (SELECT concat('T-', c_custkey) AS ticker, c_name AS security FROM customer WHERE c_custkey % 3 <> 0),
 everyone AS (SELECT ticker FROM cur UNION SELECT ticker FROM act)"""
-TODAY = dt.date(2001, 6, 30)
+TODAY = "(SELECT max(CAST(o_orderdate AS DATE)) FROM orders)"
 
 
 def member_sql(day: str) -> str:
@@ -528,7 +532,7 @@ def member_sql(day: str) -> str:
     return f"""SELECT d.day, e.ticker FROM everyone e CROSS JOIN ({day}) d
   LEFT JOIN (SELECT x.day, a.ticker, arg_min(a.removed, a.date) AS was FROM ({day}) x
     JOIN (SELECT ticker, date, bool_or(action = 'removed') AS removed FROM act
-      WHERE date <= DATE '{TODAY}' GROUP BY 1, 2) a ON a.date > x.day GROUP BY 1, 2) l
+      WHERE date <= {TODAY} GROUP BY 1, 2) a ON a.date > x.day GROUP BY 1, 2) l
     ON l.day = d.day AND l.ticker = e.ticker
   WHERE coalesce(l.was, e.ticker IN (SELECT ticker FROM cur))"""
 
@@ -548,6 +552,11 @@ def changes(spark, sf):
     )
 
 
+def order_days(spark, sf) -> tuple[dt.date, dt.date]:
+    day = F.col("o_orderdate").cast("date")
+    return tuple(table(spark, sf, "orders").agg(F.min(day), F.max(day)).first())
+
+
 def current(spark, sf):
     return table(spark, sf, "customer").where("c_custkey % 3 <> 0").select(
         F.concat(F.lit("T."), F.col("c_custkey").cast("string")).alias("ticker"),
@@ -562,17 +571,18 @@ def current(spark, sf):
     member_sql("SELECT DATE '1999-03-15' AS day"),
 )
 def membership_at(spark, sf):
-    return MB.membership_at(current(spark, sf), changes(spark, sf), dt.date(1999, 3, 15), TODAY)
+    _, today = order_days(spark, sf)
+    return MB.membership_at(current(spark, sf), changes(spark, sf), dt.date(1999, 3, 15), today)
 
 
-MONTHS_SQL = """SELECT unnest(generate_series(TIMESTAMP '1998-01-01', TIMESTAMP '2000-12-01', INTERVAL 1 MONTH))::DATE AS day"""
+MONTHS_SQL = """SELECT unnest(generate_series(date_trunc('month', min(CAST(o_orderdate AS DATE))),
+  date_trunc('month', max(CAST(o_orderdate AS DATE))), INTERVAL 1 MONTH))::DATE AS day FROM orders"""
 MAP_SQL = f"SELECT year(day) * 12 + month(day) - 1 AS period_idx, ticker FROM ({member_sql(MONTHS_SQL)})"
 
 
 def membership(spark, sf):
-    return MB.membership_map(
-        current(spark, sf), changes(spark, sf), dt.date(1998, 1, 1), dt.date(2000, 12, 31), TODAY
-    )
+    first, today = order_days(spark, sf)
+    return MB.membership_map(current(spark, sf), changes(spark, sf), first, today, today)
 
 
 @query("membership_map", "period_idx:i ticker:s", CHANGES, MAP_SQL)
@@ -601,10 +611,11 @@ def membership_filter(spark, sf):
     "ticker:s",
     CHANGES,
     f"""SELECT ticker FROM cur UNION
-  SELECT ticker FROM act WHERE date BETWEEN DATE '2000-01-01' AND DATE '{TODAY}'""",
+  SELECT ticker FROM act WHERE date BETWEEN DATE '2000-01-01' AND {TODAY}""",
 )
 def membership_union(spark, sf):
-    return MB.membership_union(current(spark, sf), changes(spark, sf), dt.date(2000, 1, 1), TODAY)
+    _, today = order_days(spark, sf)
+    return MB.membership_union(current(spark, sf), changes(spark, sf), dt.date(2000, 1, 1), today)
 
 
 @query(
@@ -892,17 +903,18 @@ def cik_for_ticker(spark, sf):
 @query(
     "load_prices",
     "ticker:s n:i error:s",
-    """w AS (SELECT DISTINCT upper(trim(n_name)) AS ticker FROM nation),
+    """w AS (SELECT upper(n_name) AS ticker FROM nation UNION SELECT concat(upper(n_name), ' B') FROM nation),
 p AS (SELECT upper(n_name) AS ticker, count(*) AS n FROM supplier JOIN nation ON n_nationkey = s_nationkey
-  WHERE s_nationkey % 2 = 0 GROUP BY 1)""",
+  GROUP BY 1)""",
     """SELECT ticker, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN 'no price data' END AS error
   FROM w LEFT JOIN p USING (ticker)""",
 )
 def load_prices(spark, sf):
     nation = table(spark, sf, "nation")
     asked = nation.select(F.concat(F.lit(" "), F.lower("n_name"), F.lit(" ")).alias("ticker"))
-    asked = asked.unionByName(asked).unionByName(asked.select(F.lit("  ").alias("ticker")))
-    rows = table(spark, sf, "supplier").where("s_nationkey % 2 = 0").join(
+    second = nation.select(F.concat(F.lower("n_name"), F.lit(" b")).alias("ticker"))
+    asked = asked.unionByName(asked).unionByName(second).unionByName(asked.select(F.lit("  ").alias("ticker")))
+    rows = table(spark, sf, "supplier").join(
         nation.select(F.col("n_nationkey").alias("s_nationkey"), F.upper("n_name").alias("ticker")),
         "s_nationkey",
     )
