@@ -149,16 +149,15 @@ def value_sql(table_: str, concept: str, end: str, order: str = "") -> str:
     "value_as_of",
     "cik:i as_of:t end:t value:d",
     ANNUAL + """,
-asks AS (SELECT DISTINCT f.cik, f.filed AS as_of, e."end" FROM annual f
-  JOIN (SELECT DISTINCT cik, "end" FROM annual WHERE concept = 'Revenue') e USING (cik))""",
+asks AS (SELECT DISTINCT cik, filed AS as_of, "end" FROM annual)""",
     """SELECT cik, as_of, "end", value FROM asks a LEFT JOIN annual o USING (cik, "end")
   WHERE o.concept = 'Revenue' AND o.filed <= as_of
   QUALIFY row_number() OVER (PARTITION BY cik, as_of, "end" ORDER BY o.filed DESC, priority, accn, value) = 1""",
 )
 def value_as_of(spark, sf):
+    """Revenue as known on every filing date, for the ends of which that filing reports anything."""
     obs = materialize(FA.annual_observations(fact_rows(spark, sf)), "annual")
-    ends = obs.where("concept = 'Revenue'").select("cik", "end").distinct()
-    asks = obs.select("cik", F.col("filed").alias("as_of")).distinct().join(ends, "cik")
+    asks = obs.select("cik", F.col("filed").alias("as_of"), "end").distinct()
     found = FA.value_as_of(asks.withColumn("concept", F.lit("Revenue")), obs)
     return found.where(F.col("value").isNotNull())
 

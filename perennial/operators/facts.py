@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 
 from perennial.functions.columns import month_index, parse_date, safe_growth, safe_ratio
 from perennial.functions.storage import materialize
+from perennial.operators import sweep as SW
 from perennial.operators.asof import asof_backward
 
+#: Companies of more values than this are not swept in one task.
+COMPANY_ROWS = 1 << 20
+
 # Reporting tags of every concept in order of preference.
 CONCEPT_ALIASES = {
     "Revenue": [
@@ -103,20 +107,22 @@ def _dated(facts: DataFrame, forms: Sequence[str], concepts: Sequence[str]) -> D
     )
 
 
-def annual_observations(facts: DataFrame) -> DataFrame:
-    """Annual-report values; flows must cover 300 to 400 days."""
+def _annual(facts: DataFrame) -> DataFrame:
     rows = _dated(facts, ANNUAL_FORMS, ANNUAL_FLOWS + ANNUAL_BALANCES)
     flow = F.col("concept").isin(*ANNUAL_FLOWS)
     days = F.datediff("end", "start")
     return (
         rows.where(~flow | days.between(300, 400))
         .withColumn("start", F.when(flow, F.col("start")))
-        .distinct()
     )
 
 
-def flow_observations(facts: DataFrame) -> DataFrame:
-    """Flow values of quarterly and annual reports, classified by the days they cover."""
+def annual_observations(facts: DataFrame) -> DataFrame:
+    """Annual-report values; flows must cover 300 to 400 days."""
+    return _annual(facts).distinct()
+
+
+def _flows(facts: DataFrame) -> DataFrame:
     rows = _dated(facts, QUARTER_FORMS + ANNUAL_FORMS, QUARTER_FLOWS)
     days = F.datediff("end", "start")
     kind = (
@@ -124,13 +130,21 @@ def flow_observations(facts: DataFrame) -> DataFrame:
         .when(days.between(200, 300), "nine_month")
         .when(days.between(300, 400), "annual")
     )
-    return rows.withColumn("period_type", kind).where(F.col("period_type").isNotNull()).distinct()
+    return rows.withColumn("period_type", kind).where(F.col("period_type").isNotNull())
+
+
+def flow_observations(facts: DataFrame) -> DataFrame:
+    """Flow values of quarterly and annual reports, classified by the days they cover."""
+    return _flows(facts).distinct()
+
+
+def _instants(facts: DataFrame) -> DataFrame:
+    return _dated(facts, QUARTER_FORMS + ANNUAL_FORMS, QUARTER_BALANCES).drop("start")
 
 
 def instant_observations(facts: DataFrame) -> DataFrame:
     """Balance values of quarterly and annual reports."""
-    rows = _dated(facts, QUARTER_FORMS + ANNUAL_FORMS, QUARTER_BALANCES)
-    return rows.drop("start").distinct()
+    return _instants(facts).distinct()
 
 
 def _first_value(rows: DataFrame, key: Sequence[str], *order: str) -> DataFrame:
@@ -203,31 +217,41 @@ def _pivot_values(
     )
 
 
-def annual_timeline(facts: DataFrame) -> DataFrame:
-    """Eight ratios per (company, filing date) from what was known on that date.
+def _events(rows: DataFrame, kind: Column) -> DataFrame:
+    """Observations as the sweep takes them, days as integers."""
+    days = {c: F.unix_date(c) for c in ("start", "end", "filed")}
+    return rows.withColumns({"kind": kind, **days}).select("cik", *SW.EVENT_COLUMNS)
+
+
+def _swept(events: DataFrame, rows, wanted: dict, by_joins) -> DataFrame:
+    """One row per company and filing date with the ends and values known, from one shuffle by company.
 
-    The observations are read several times and therefore written once.
+    Companies are counted first.  ``by_joins`` serves those with more than ``COMPANY_ROWS`` events, so
+    that no task has to hold more than that of one company.
     """
-    obs = materialize(annual_observations(facts), "annual")
-    ends = _latest_two_ends(obs.where(F.col("concept") == "Assets"))
-    known = asof_backward(
-        _filings(obs), ends, ["cik"], "as_of", "filed", ["current_end", "previous_end"], False, True
-    ).where(F.datediff("current_end", "previous_end").between(300, 430))
-    v = _pivot_values(
-        known,
-        {
-            "rev": ("Revenue", "current_end"),
-            "rev0": ("Revenue", "previous_end"),
-            "ni": ("Net Income", "current_end"),
-            "cfo": ("Operating Cash Flow", "current_end"),
-            "assets": ("Assets", "current_end"),
-            "assets0": ("Assets", "previous_end"),
-            "equity": ("Equity", "current_end"),
-            "sh": ("Diluted Shares", "current_end"),
-            "sh0": ("Diluted Shares", "previous_end"),
-        },
-        obs,
-        ["entity", "current_end"],
+    events = materialize(events, "events")
+    large = materialize(
+        events.groupBy("cik").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > COMPANY_ROWS).select("cik"),
+        "large_companies",
+    )
+    values = ", ".join(f"{name} double" for name in wanted)
+    kinds = f"cik bigint, entity string, as_of int, current_end int, previous_end int, {values}"
+    sweep = SW.company_sweep(rows, wanted)
+    dates = {c: F.date_from_unix_date(c) for c in ("as_of", "current_end", "previous_end")}
+    if large.isEmpty():
+        return events.groupBy("cik").applyInPandas(sweep, kinds).withColumns(dates)
+    small = events.join(large, "cik", "left_anti").groupBy("cik").applyInPandas(sweep, kinds)
+    return small.withColumns(dates).unionByName(by_joins(large))
+
+
+def annual_timeline(facts: DataFrame) -> DataFrame:
+    """Eight ratios per (company, filing date) from what was known on that date."""
+    obs = _annual(facts)
+    v = _swept(
+        _events(obs, F.lit("annual")),
+        SW.annual_rows,
+        SW.ANNUAL_VALUES,
+        lambda large: _annual_by_joins(annual_observations(facts).join(large, "cik", "left_semi")),
     )
     average = (F.col("assets") + F.col("assets0")) / 2
     ratios = {
@@ -249,6 +273,22 @@ def annual_timeline(facts: DataFrame) -> DataFrame:
     )
 
 
+def _annual_by_joins(observations: DataFrame) -> DataFrame:
+    """What the sweep finds, by as-of merges of (company, concept, end); for companies of any size."""
+    obs = materialize(observations, "annual")
+    ends = _latest_two_ends(obs.where(F.col("concept") == "Assets"))
+    known = asof_backward(
+        _filings(obs), ends, ["cik"], "as_of", "filed", ["current_end", "previous_end"], False, True
+    ).where(F.datediff("current_end", "previous_end").between(300, 430))
+    return _valued(known, SW.ANNUAL_VALUES, obs)
+
+
+def _valued(rows: DataFrame, wanted: dict, observations: DataFrame) -> DataFrame:
+    ends = ("current_end", "previous_end")
+    needs = {name: (concept, ends[which]) for name, (concept, which) in wanted.items()}
+    return _pivot_values(rows, needs, observations, ["entity", *ends])
+
+
 def _months_before(end: str, most: int, least: int) -> Column:
     """Month indexes of the days ``most``..``least`` days before ``end`` (at most four)."""
     return F.explode(
@@ -353,13 +393,41 @@ def prior_year_ends(rows: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def quarterly_timeline(facts: DataFrame) -> DataFrame:
-    """Seven ratios per (company, filing date) from what was known on that date.
+    """Seven ratios per (company, filing date) from what was known on that date."""
+    flows, instants = _flows(facts), _instants(facts).withColumn("start", F.lit(None).cast("date"))
+    v = _swept(
+        _events(flows, F.col("period_type")).unionByName(_events(instants, F.lit("instant"))),
+        SW.quarterly_rows,
+        SW.QUARTER_VALUES,
+        lambda large: _quarterly_by_joins(
+            flow_observations(facts).join(large, "cik", "left_semi"),
+            instant_observations(facts).join(large, "cik", "left_semi"),
+        ),
+    )
+    ratios = {
+        "q_revenue_growth": safe_growth("rev", "rev0"),
+        "q_net_margin": safe_ratio("ni", "rev"),
+        "q_margin_change": safe_ratio("ni", "rev") - safe_ratio("ni0", "rev0"),
+        "q_income_to_assets": safe_ratio("ni", "assets"),
+        "q_asset_growth": safe_growth("assets", "assets0"),
+        "q_equity_to_assets": safe_ratio("equity", "assets"),
+        "q_share_growth": safe_growth("sh", "sh0"),
+    }
+    return v.select(
+        "cik",
+        "entity",
+        F.col("as_of").alias("filed"),
+        F.col("current_end").alias("quarter_end"),
+        F.col("previous_end").alias("prior_end"),
+        *[c.alias(n) for n, c in ratios.items()],
+    )
 
-    The observations are read several times and therefore written once.
-    """
-    flows = materialize(flow_observations(facts), "flows")
+
+def _quarterly_by_joins(flow_rows: DataFrame, instant_rows: DataFrame) -> DataFrame:
+    """What the sweep finds, by as-of merges of (company, concept, end); for companies of any size."""
+    flows = materialize(flow_rows, "flows")
     quarters = materialize(single_quarters(flows), "quarters")
-    instants = materialize(instant_observations(facts), "instants")
+    instants = materialize(instant_rows, "instants")
     w = (
         Window.partitionBy("cik")
         .orderBy("filed")
@@ -377,39 +445,9 @@ def quarterly_timeline(facts: DataFrame) -> DataFrame:
         quarters.select("cik", "end", "filed").unionByName(instants.select("cik", "end", "filed"))
     )
     columns = ["cik", "concept", "end", "filed", "priority", "accn", "value"]
-    v = _pivot_values(
-        prior_year_ends(current, ends),
-        {
-            "rev": ("Revenue", "current_end"),
-            "rev0": ("Revenue", "prior_end"),
-            "ni": ("Net Income", "current_end"),
-            "ni0": ("Net Income", "prior_end"),
-            "sh": ("Diluted Shares", "current_end"),
-            "sh0": ("Diluted Shares", "prior_end"),
-            "assets": ("Assets", "current_end"),
-            "assets0": ("Assets", "prior_end"),
-            "equity": ("Equity", "current_end"),
-        },
-        quarters.select(*columns).unionByName(instants.select(*columns)),
-        ["entity", "current_end", "prior_end"],
-    )
-    ratios = {
-        "q_revenue_growth": safe_growth("rev", "rev0"),
-        "q_net_margin": safe_ratio("ni", "rev"),
-        "q_margin_change": safe_ratio("ni", "rev") - safe_ratio("ni0", "rev0"),
-        "q_income_to_assets": safe_ratio("ni", "assets"),
-        "q_asset_growth": safe_growth("assets", "assets0"),
-        "q_equity_to_assets": safe_ratio("equity", "assets"),
-        "q_share_growth": safe_growth("sh", "sh0"),
-    }
-    return v.select(
-        "cik",
-        "entity",
-        F.col("as_of").alias("filed"),
-        F.col("current_end").alias("quarter_end"),
-        "prior_end",
-        *[c.alias(n) for n, c in ratios.items()],
-    )
+    both = quarters.select(*columns).unionByName(instants.select(*columns))
+    rows = prior_year_ends(current, ends).withColumnRenamed("prior_end", "previous_end")
+    return _valued(rows, SW.QUARTER_VALUES, both)
 
 
 def snake(concept: str) -> str:

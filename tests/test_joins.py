@@ -214,6 +214,35 @@ def test_company_facts_from_files(spark, tmp_path):
     assert SF.quarantined_documents(docs).count() == 1
 
 
+def test_sweep_and_joins_give_the_same_timelines(spark, monkeypatch):
+    rnd = random.Random(3)
+    tags = [(c, i, t) for c, names in FA.CONCEPT_ALIASES.items() for i, t in enumerate(names)]
+    rows = []
+    for cik, n in ((1, 40), (2, 400), (3, 900)):
+        for k in range(n):
+            concept, priority, tag = rnd.choice(tags)
+            end = dt.date(2000 + rnd.randrange(4), rnd.choice([3, 6, 9, 12]), 30)
+            days = rnd.choice([90, 91, 272, 273, 364, 365, 150])
+            rows.append((
+                cik, rnd.choice([f"Company {cik}", f"Firm {cik}", None]), concept, priority, tag,
+                rnd.choice(["USD", "USD", "shares"]) if concept == "Diluted Shares" else "USD",
+                None if concept in ("Assets", "Equity") else str(end - dt.timedelta(days)), str(end),
+                rnd.choice([float(k), 0.0, None]), str(end + dt.timedelta(rnd.randrange(1, 700))),
+                rnd.choice(["10-K", "10-K/A", "10-Q", "10-Q/A", "8-K"]), rnd.choice([f"a{k}", "same", None]),
+            ))
+    facts = spark.createDataFrame(
+        [*rows, *rows[:50]],
+        "cik long, entity string, concept string, priority int, tag string, unit string, start string, end string, "
+        "val double, filed string, form string, accn string",
+    ).cache()
+    for timeline in (FA.annual_timeline, FA.quarterly_timeline):
+        found = []
+        for limit in (1 << 20, 300, 0):
+            monkeypatch.setattr(FA, "COMPANY_ROWS", limit)
+            found.append(sorted((tuple(map(str, r)) for r in timeline(facts).collect())))
+        assert found[0] == found[1] == found[2] and len(found[0]) > 20
+
+
 def test_name_lines_file(spark, tmp_path):
     (tmp_path / "names.txt").write_bytes("CAFÉ \"X\", INC:0000000003:\n\nFOO:BAR:4:\n".encode("latin-1"))
     got = SF.read_name_lines(spark, str(tmp_path / "names.txt")).collect()
