@@ -326,9 +326,10 @@ def digest(marked: DataFrame) -> DataFrame:
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents without a hit word, with their own columns."""
-    marked = with_contamination(docs, benchmark, window)
-    spare = "contamination"
-    return marked.where(F.size(F.col(spare)["items"]) == 0).select(
-        *[F.col(f"`{c}`") for c in docs.columns if c != spare]
+    """The documents without a hit word, with their own columns, also one named ``contamination``."""
+    result, own = "contamination", unused(docs, "_own")
+    renamed = docs.toDF(*[own if c.lower() == result else c for c in docs.columns])
+    marked = with_contamination(renamed, benchmark, window)
+    return marked.where(F.size(F.col(result)["items"]) == 0).select(
+        *[F.col(f"`{n}`").alias(c) for n, c in zip(renamed.columns, docs.columns)]
     )

@@ -104,7 +104,7 @@ def mixture_plan(
 ) -> DataFrame:
     """Every row with ``size``, ``source_size``, ``target`` and ``rate`` of its source, ``copies``
     (how often the mix holds it) and ``taken`` (copies times size)."""
-    names = {c: unused(docs, f"_{c}") for c in ("size", "draw", "source")}
+    names = {c: unused(docs, f"_{c}_m") for c in ("size", "draw", "source", "source_size", "target", "rate")}
     rows = docs.withColumn(names["size"], word_count(F.col(f"`{text}`"))).withColumn(
         names["draw"], unit_draw(seed, F.col(f"`{key}`"), F.col(f"`{text}`"))
     )
@@ -114,25 +114,25 @@ def mixture_plan(
     table = materialize(source_targets(sizes, weights, most), "targets")
     targets = table.select(
         F.col("source").alias(names["source"]),
-        F.col("source_size").alias("_source_size_m"),
-        F.col("target").alias("_target_m"),
+        F.col("source_size").alias(names["source_size"]),
+        F.col("target").alias(names["target"]),
         F.least(
             F.lit(float(most)),
             F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0)),
-        ).alias("_rate_m"),
+        ).alias(names["rate"]),
     )
     if table.count() <= MOST_SOURCES_SENT:
         targets = F.broadcast(targets)
     joined = rows.join(targets, F.col(f"`{source}`").eqNullSafe(F.col(names["source"])), "left")
-    whole = F.floor("_rate_m")
-    extra = (F.col(names["draw"]) < F.col("_rate_m") - whole).cast("long")
+    whole = F.floor(names["rate"])
+    extra = (F.col(names["draw"]) < F.col(names["rate"]) - whole).cast("long")
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in RESULTS]
     return joined.select(
         *kept,
         F.col(names["size"]).alias("size"),
-        F.col("_source_size_m").alias("source_size"),
-        F.col("_target_m").alias("target"),
-        F.col("_rate_m").alias("rate"),
+        F.col(names["source_size"]).alias("source_size"),
+        F.col(names["target"]).alias("target"),
+        F.col(names["rate"]).alias("rate"),
         (whole + extra).alias("copies"),
     ).withColumn("taken", F.col("copies") * F.col("size"))
 

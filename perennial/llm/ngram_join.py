@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from perennial.functions.storage import materialize
-from perennial.llm.textops import SPACED, mix64, pieces, split_words, utf8
+from perennial.llm.textops import SPACED, mix64, pieces, split_words, unused, utf8
 
 MOST_RANKED = 1 << 17
 BITMAP_BITS = 1 << 26
@@ -605,11 +605,6 @@ def one_of_each(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (80,
     if not repeated:
         return kept
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    first = Window.partitionBy("_keeper", "_body").orderBy(F.to_json(F.struct(*columns)))
-    return (
-        kept.withColumn("_keeper", key)
-        .withColumn("_body", body)
-        .withColumn("_place", F.row_number().over(first))
-        .where("_place = 1")
-        .drop("_keeper", "_body", "_place")
-    )
+    spare = unused(docs, "_place")
+    first = Window.partitionBy(key, body).orderBy(F.to_json(F.struct(*columns)))
+    return kept.withColumn(spare, F.row_number().over(first)).where(F.col(spare) == 1).drop(spare)

@@ -106,7 +106,7 @@ def _base(text: str) -> Iterator[tuple[str, int, int]]:
         for start, end in _emails(text):
             yield "email", start, end
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.groups()):
+        if all(len(p) <= 3 and int(p or "0") <= 255 for p in (g.lstrip("0") for g in m.groups())):
             yield "ip", m.start(), m.end()
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 13:

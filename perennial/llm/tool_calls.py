@@ -2,9 +2,11 @@
 
 * Calls and results are hash-joined by conversation and identifier.
 * Calls are put in an order in which each follows the calls it names in ``after``.  Where every named
-  call has an earlier place already, the places serve as they are; only conversations with a
-  dependency that points forward are peeled: each round places the calls whose dependencies are placed,
-  and what remains when a round places none lies on or behind a cycle.
+  call has an earlier place already, the places serve as they are; in conversations with a dependency
+  that points forward a call's position is the length of its longest chain of dependencies, and what has
+  none lies on or behind a cycle.  Such a conversation is sorted in one task if its calls and
+  dependencies, counted first, are at most ``MOST_IN_TASK``; larger ones are peeled in rounds over
+  distributed rows, which give the same positions.  Calls of one position may run in any order.
 * Arguments are parsed and validated against the schema of the tool's name.
 * Call and result become one JSON text in canonical form: keys sorted, no spaces, shortest numbers,
   no escapes but those JSON needs.
@@ -17,7 +19,10 @@ Status, the first that holds: ``orphan_result`` (no call), ``cycle``, ``missing_
 ``no_result``, ``linked``.  Rules for special cases: rows with a null conversation or identifier are
 reported as ``unidentified`` and linked with nothing; of calls (or results) with one identifier the
 one of smallest place, then smallest text, counts, and ``n_calls`` and ``n_results`` tell how many
-there were; null arguments are invalid JSON; a tool without a schema has the error ``unknown tool``;
+there were; null arguments are invalid JSON, and so are numbers beyond a double or of thousands of
+digits and values nested deeper than ``MOST_NESTED``; half a surrogate pair is written as its escape; a
+tool without a schema has the error ``unknown tool``; an unknown type in a schema fits no value, other
+keywords of a wrong kind and a schema that is no object are passed over (``false`` allows nothing);
 empty tables give no rows.
 """
 
@@ -25,8 +30,11 @@ from __future__ import annotations
 
 import json
 import math
+import re
+from collections import deque
 from typing import Any
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +44,12 @@ from perennial.functions.storage import materialize
 
 #: Schemas travel to every task; more than this many bytes of them are refused.
 MOST_SCHEMA_BYTES = 64 << 20
+#: Calls and dependencies of one conversation that a task sorts.
+MOST_IN_TASK = 1 << 20
+#: Arguments nested deeper are refused.
+MOST_NESTED = 200
 KEY = ["conv_id", "call_id"]
+_BRACKETS = re.compile(r'"(?:[^"\\]|\\.)*"|[\[\]{}]')
 
 _KINDS = {
     "object": lambda v: isinstance(v, dict),
@@ -45,37 +58,49 @@ _KINDS = {
     "boolean": lambda v: isinstance(v, bool),
     "null": lambda v: v is None,
     "number": lambda v: isinstance(v, int | float) and not isinstance(v, bool),
-    "integer": lambda v: isinstance(v, int | float) and not isinstance(v, bool) and v == int(v),
+    "integer": lambda v: isinstance(v, int | float) and not isinstance(v, bool) and v == math.floor(v),
 }
 
 
-def violations(value: Any, schema: dict, path: str = "$") -> list[str]:
+def _limit(schema: dict, name: str, default: float) -> float:
+    limit = schema.get(name)
+    return limit if isinstance(limit, int | float) and not isinstance(limit, bool) else default
+
+
+def _listed(schema: dict, name: str) -> list:
+    return schema[name] if isinstance(schema.get(name), list) else []
+
+
+def violations(value: Any, schema: Any, path: str = "$") -> list[str]:
     """Where ``value`` breaks the schema: type, enum, bounds, lengths, properties and items."""
+    if not isinstance(schema, dict):
+        return [f"{path}: not allowed"] if schema is False else []
     kinds = schema.get("type")
     if kinds is not None:
-        kinds = [kinds] if isinstance(kinds, str) else kinds
-        if not any(_KINDS[k](value) for k in kinds):
+        kinds = [str(k) for k in (kinds if isinstance(kinds, list) else [kinds])]
+        if not any(_KINDS.get(k, lambda v: False)(value) for k in kinds):
             return [f"{path}: not {' or '.join(kinds)}"]
     out = []
-    if "enum" in schema and value not in schema["enum"]:
+    if isinstance(schema.get("enum"), list) and canonical(value) not in map(canonical, schema["enum"]):
         out.append(f"{path}: not listed")
     if _KINDS["number"](value):
-        if value < schema.get("minimum", -math.inf):
+        if value < _limit(schema, "minimum", -math.inf):
             out.append(f"{path}: below minimum")
-        if value > schema.get("maximum", math.inf):
+        if value > _limit(schema, "maximum", math.inf):
             out.append(f"{path}: above maximum")
     if isinstance(value, str | list):
         unit = "Length" if isinstance(value, str) else "Items"
-        if len(value) < schema.get(f"min{unit}", 0):
+        if len(value) < _limit(schema, f"min{unit}", 0):
             out.append(f"{path}: too short")
-        if len(value) > schema.get(f"max{unit}", math.inf):
+        if len(value) > _limit(schema, f"max{unit}", math.inf):
             out.append(f"{path}: too long")
     if isinstance(value, list) and "items" in schema:
         for i, item in enumerate(value):
             out += violations(item, schema["items"], f"{path}[{i}]")
     if isinstance(value, dict):
-        known = schema.get("properties", {})
-        out += [f"{path}.{k}: missing" for k in schema.get("required", []) if k not in value]
+        known = schema.get("properties")
+        known = known if isinstance(known, dict) else {}
+        out += [f"{path}.{k}: missing" for k in _listed(schema, "required") if k not in value]
         for k in sorted(value):
             if k in known:
                 out += violations(value[k], known[k], f"{path}.{k}")
@@ -86,25 +111,52 @@ def violations(value: Any, schema: dict, path: str = "$") -> list[str]:
 
 def _plain(value: Any) -> Any:
     """Whole floats as integers, so that equal numbers have one form."""
-    if isinstance(value, float) and value == int(value) and abs(value) < 1e16:
+    if isinstance(value, float) and abs(value) < 1e16 and value == int(value):
         return int(value)
     if isinstance(value, dict):
         return {k: _plain(v) for k, v in value.items()}
     return [_plain(v) for v in value] if isinstance(value, list) else value
 
 
+_HALF = re.compile("[\ud800-\udfff]")
+
+
+def _whole(text: str) -> str:
+    """Half characters, which no encoding holds, as escapes."""
+    return _HALF.sub(lambda m: f"\\u{ord(m.group()):04x}", text)
+
+
 def canonical(value: Any) -> str:
-    return json.dumps(_plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return _whole(json.dumps(_plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False))
 
 
 def _no_constant(name: str):
     raise ValueError(name)
 
 
+def _finite(text: str) -> float:
+    number = float(text)
+    if math.isinf(number):
+        raise ValueError(text)
+    return number
+
+
+def _nested(text: str) -> bool:
+    """Whether brackets outside strings open more than ``MOST_NESTED`` levels."""
+    depth = 0
+    for token in _BRACKETS.findall(text):
+        depth += (token in "[{") - (token in "]}")
+        if depth > MOST_NESTED:
+            return True
+    return False
+
+
 def parse(text: str | None) -> tuple[Any, bool]:
     try:
-        return json.loads(text or "", parse_constant=_no_constant), True
-    except (ValueError, RecursionError):
+        if _nested(text or ""):
+            return None, False
+        return json.loads(text or "", parse_constant=_no_constant, parse_float=_finite), True
+    except ValueError:
         return None, False
 
 
@@ -116,7 +168,7 @@ def _recorder(schemas: dict[str, str]):
     def record(
         conv: pa.Array, call: pa.Array, name: pa.Array, arguments: pa.Array, content: pa.Array
     ) -> pa.Array:
-        known = {k: parse(s)[0] or {} for k, s in schemas.items()}
+        known = {k: parse(s)[0] for k, s in schemas.items()}
         rows = []
         for c, i, n, a, r in zip(*[x.to_pylist() for x in (conv, call, name, arguments, content)]):
             errors, value = [], None
@@ -129,7 +181,7 @@ def _recorder(schemas: dict[str, str]):
                 else:
                     errors = violations(value, known[n])
             whole = {"arguments": value, "call_id": i, "content": r, "conv_id": c, "name": n}
-            rows.append({"errors": errors, "record": canonical(whole)})
+            rows.append({"errors": [_whole(e) for e in errors], "record": canonical(whole)})
         return pa.array(
             rows, pa.struct([("errors", pa.list_(pa.string())), ("record", pa.string())])
         )
@@ -144,8 +196,52 @@ def _first(rows: DataFrame, fields: list[str], count: str) -> DataFrame:
     return picked.select(*KEY, *[F.col("_first")[f].alias(f) for f in fields], count)
 
 
+def chain_lengths(calls: list[str], edges: list[tuple[str, str]]) -> list[int | None]:
+    """Longest chain of dependencies below each call, none on or behind a cycle; ``edges`` are pairs of
+    a call and one that it follows."""
+    waits, followers = dict.fromkeys(calls, 0), {}
+    for call, parent in edges:
+        waits[call] += 1
+        followers.setdefault(parent, []).append(call)
+    level = {c: 0 for c, n in waits.items() if not n}
+    queue = deque(level)
+    while queue:
+        parent = queue.popleft()
+        for call in followers.get(parent, ()):
+            waits[call] -= 1
+            if not waits[call]:
+                level[call] = level[parent] + 1
+                queue.append(call)
+    return [level.get(c) for c in calls]
+
+
 def _positions(calls: DataFrame, edges: DataFrame) -> DataFrame:
-    """Positions of the calls of conversations that have a forward dependency; null on a cycle."""
+    """``level`` of the calls of conversations that have a forward dependency; null on a cycle."""
+    nodes = calls.select(*KEY)
+    links = edges.select("conv_id", "call_id", F.col("parent").alias("on"))
+    sizes = nodes.select("conv_id").unionByName(links.select("conv_id")).groupBy("conv_id").count()
+    large = materialize(sizes.where(F.col("count") > MOST_IN_TASK).select("conv_id"), "large")
+    kind = calls.schema["conv_id"].dataType.simpleString()
+
+    def sort(key: tuple, own: pd.DataFrame, on: pd.DataFrame) -> pd.DataFrame:
+        names = own["call_id"].tolist()
+        levels = chain_lengths(names, list(zip(on["call_id"], on["on"])))
+        return pd.DataFrame(
+            {"conv_id": own["conv_id"], "call_id": names, "level": pd.array(levels, "Int64")}
+        )
+
+    def sorted_in_tasks(nodes: DataFrame, links: DataFrame) -> DataFrame:
+        both = nodes.groupBy("conv_id").cogroup(links.groupBy("conv_id"))
+        return both.applyInPandas(sort, f"conv_id {kind}, call_id string, level long")
+
+    if large.isEmpty():
+        return sorted_in_tasks(nodes, links)
+    small = sorted_in_tasks(*[rows.join(large, "conv_id", "left_anti") for rows in (nodes, links)])
+    return small.unionByName(_peeled(*[rows.join(large, "conv_id", "left_semi") for rows in (calls, edges)]))
+
+
+def _peeled(calls: DataFrame, edges: DataFrame) -> DataFrame:
+    """The same by rounds: each places the calls whose dependencies are placed."""
     keyed = edges.select("conv_id", "call_id", F.col("parent").alias("on"))
     left = materialize(calls.select(*KEY), "unplaced")
     placed, rounds = None, 0

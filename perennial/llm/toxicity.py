@@ -13,8 +13,8 @@ Insults are a fixed list and what labelled texts add: words and word beginnings
 occur after many different words in toxic texts and hardly in others.  Counting the words before
 them, not occurrences, keeps copies of one text from teaching its vocabulary.
 
-Fitting uses at most ``FIT_ROWS`` labelled rows (in expectation, chosen by hash of the key) and keeps
-at most ``MOST_STEMS`` entries; scoring reads every text whole.  Texts without a listed word are not
+Fitting uses at most ``FIT_ROWS`` labelled rows (in expectation, chosen by hash of the key), which
+bound the entries too; scoring reads every text whole.  Texts without a listed word are not
 walked: their amounts are 0.
 
 Rules for special cases: null and empty texts have no matches and get the score of a text without
@@ -37,7 +37,6 @@ from pyspark.sql import functions as F
 from perennial.functions.storage import materialize
 
 FIT_ROWS = 10_000
-MOST_STEMS = 20_000
 LEAST_CONTEXTS = 4
 LEAST_LOG_ODDS = 3.0
 NEGATION_REACH = 3
@@ -102,8 +101,8 @@ GRAMMAR = (
 )
 #: Amounts per text: plain, addressed, negated, reported insults; threats; clauses with a match.
 AMOUNTS = 6
-#: Prior weights of the amounts and the constant, used until labels teach others.
-PRIOR = np.array([2.2, 2.8, 0.8, 1.0, 0.6, 0.5, -3.0])
+#: Prior weights of the amounts and the constant, used until labels teach others; one threat suffices.
+PRIOR = np.array([2.2, 2.8, 0.8, 1.0, 5.2, 0.5, -3.0])
 
 
 def words_of(text: str) -> list[str]:
@@ -224,8 +223,6 @@ def learned_lexicon(rows: DataFrame) -> Lexicon:
     toxic = (
         pairs.where("label = 1").groupBy("feature").agg(F.countDistinct("word").alias("t"))
         .where(F.col("t") >= LEAST_CONTEXTS)
-        .orderBy(F.desc("t"), "feature")
-        .limit(50 * MOST_STEMS)
     )
     whole = pairs.where(~F.col("feature").endswith("*")).groupBy("label").agg(F.count("*").alias("n"))
     sizes = {r["label"]: r["n"] for r in whole.collect()}
@@ -237,8 +234,6 @@ def learned_lexicon(rows: DataFrame) -> Lexicon:
         toxic.join(clean, "feature", "left")
         .select("feature", "t", odds.alias("odds"))
         .where(F.col("odds") >= LEAST_LOG_ODDS)
-        .orderBy(F.desc("t"), "feature")
-        .limit(MOST_STEMS)
     )
     stems: dict[str, float] = {}
     for r in found.collect():
@@ -281,9 +276,10 @@ def fit(
     draw = F.pmod(F.xxhash64("key"), F.lit(1 << 20)) / float(1 << 20)
     chosen = known.where(draw < FIT_ROWS / max(1, known.count())).dropDuplicates(["key"])
     rows = materialize(
-        docs.where(F.col(f"`{text}`").isNotNull())
-        .join(F.broadcast(chosen), F.col(f"`{key}`") == F.col("key"))
-        .select("label", F.col(f"`{text}`").alias("text")),
+        docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+        .where("text IS NOT NULL")
+        .join(F.broadcast(chosen), "key")
+        .select("label", "text"),
         "labelled",
     )
     lexicon = learned_lexicon(rows)

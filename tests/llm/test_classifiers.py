@@ -128,3 +128,17 @@ def test_quality_awkward(spark):
         rows = cotrain.with_quality(awkward(spark, {"quality": "old"}), model).collect()
         assert len(rows) == len(ROWS) and all(0 <= r["quality"]["score"] <= 1 for r in rows)
         assert cotrain.with_quality(empty(spark), model).count() == 0
+
+
+def test_toxicity_labels_beside_columns_of_their_names(spark):
+    docs = awkward(spark, {"label": "x", "key": "y", "toxic": "z"})
+    labels = spark.createDataFrame([(1, 1), (8, 0)], "doc_id long, toxic int")
+    scored = toxicity.with_toxicity(docs, toxicity.fit(docs, labels))
+    assert scored.columns == [*docs.columns, "score"] and scored.count() == docs.count()
+
+
+def test_one_threat_is_enough():
+    model = toxicity.Model(toxicity.Lexicon({}, {}), toxicity.PRIOR)
+    assert model.score("I will kill you") >= 0.7
+    for text in ("they said I will kill you", "I will not kill you", "kill the process", "you are kind"):
+        assert model.score(text) < 0.7

@@ -86,3 +86,10 @@ def test_very_long_item(spark):
     bench = spark.createDataFrame([(1, " ".join(item)), (2, "one two")], "item_id long, text string")
     rows = decontam.with_contamination(table, bench).orderBy("doc_id").collect()
     assert [r["contamination"]["longest"] for r in rows] == [size, 200, 2, 0]
+
+
+def test_removal_keeps_a_column_named_contamination(spark):
+    items = spark.createDataFrame([(1, "never seen words here")], "item_id long, text string")
+    docs = awkward(spark, {"Contamination": "own", "_own": "other"})
+    kept = decontam.remove_contaminated(docs, items)
+    assert kept.columns == docs.columns and kept.where("Contamination = 'own'").count() == docs.count()

@@ -61,3 +61,10 @@ def test_emitted_rows(spark):
 def test_no_python_in_the_plan(spark):
     plan = mixing.mixture_plan(awkward(spark))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_clashing_columns(spark):
+    names = ["_rate_m", "_target_m", "_source_size_m", "_size_m", "_draw_m", "_source_m", "rate"]
+    plan = mixing.mixture_plan(awkward(spark, dict.fromkeys(names, "own")))
+    assert plan.count() == awkward(spark).count()
+    assert {tuple(r) for r in plan.select(*names[:-1]).collect()} == {("own",) * 6}

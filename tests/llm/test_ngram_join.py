@@ -85,3 +85,10 @@ def test_unrelated_texts_of_one_key_all_stay(spark):
     assert kept[:2] == [(5, one, "x"), (5, two, "x")]
     assert [r[1] for r in kept[2:4]] == ["", " "]
     assert len(kept) == 5 and kept[4][1] in (long, f"{long} end")
+
+
+def test_one_of_each_keeps_columns(spark):
+    docs = awkward(spark, {"_keeper": "a", "_body": "b", "_place": "c", "k": "d", "h": "e"})
+    kept = ngram_join.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert {tuple(r) for r in kept.select("_keeper", "_body", "_place", "k", "h").collect()} == {tuple("abcde")}

@@ -72,3 +72,10 @@ def test_awkward_table(spark):
     assert pii.redact(docs).columns == docs.columns
     assert sorted(str(r) for r in pii.redact(docs).collect()) == sorted(str(r) for r in docs.collect())
     assert pii.with_digest(empty(spark)).count() == 0
+
+
+def test_addresses_of_very_many_digits(spark):
+    text = "0" * 5000 + ".0.0.0 and " + "1" * 5000 + ".1.1.1 and 0255.1.2.03 and 256.1.1.1"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = pii.with_digest(docs).first()
+    assert row["n_ip"] == 2

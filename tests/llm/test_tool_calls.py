@@ -1,3 +1,5 @@
+import random
+
 from perennial.llm import tool_calls as tc
 
 CALLS = "conv_id long, call_id string, place long, name string, arguments string, after array<string>, note string"
@@ -54,6 +56,69 @@ def test_statuses_and_order(spark):
     assert got[1, "d"]["errors"] == ["$: not JSON"] and got[1, "d"]["n_calls"] == 2
 
 
+def test_arguments_that_break_no_job(spark):
+    odd = {
+        "huge": '{"x":1e999}', "digits": '{"x":' + "9" * 6000 + "}", "half": '{"x":"\\ud800", "\\udfff":1}',
+        "deep": '{"x":' + "[" * 5000 + "]" * 5000 + "}", "brackets": '{"x":"' + "[" * 5000 + '"}',
+        "pair": '{"x":"\\ud83d\\ude00"}', "large": '{"x":1e308}',
+    }
+    schemas = {
+        "f": SCHEMA, "odd": '{"type":"decimal"}', "list": "[1]", "no": "false", "broken": "{",
+        "loose": '{"required":1,"properties":[],"minimum":"a","enum":5}', "one": '{"enum":[1,{"x":1.0}]}',
+    }
+    calls = [(i, k, 0, f, v, [], None) for i, f in enumerate(schemas) for k, v in odd.items()]
+    calls += [(9, n, 0, "one", v, [], None) for n, v in (("true", "true"), ("1.0", "1.0"), ("x", '{"x":1}'))]
+    table = spark.createDataFrame(list(schemas.items()), "name string, schema string")
+    rows = tc.link_calls(
+        spark.createDataFrame(calls, CALLS), spark.createDataFrame([], RESULTS), table
+    ).collect()
+    errors = {(r["conv_id"], r["call_id"]): r["errors"] for r in rows}
+    assert all(errors[0, k] == ["$: not JSON"] for k in ("huge", "digits", "deep"))
+    assert errors[0, "half"] == ["$.x: not integer"] and errors[0, "large"] == []
+    assert errors[1, "pair"] == ["$: not decimal"] and errors[3, "pair"] == ["$: not allowed"]
+    assert errors[2, "pair"] == errors[4, "pair"] == errors[5, "pair"] == []
+    assert errors[9, "true"] == ["$: not listed"] and errors[9, "1.0"] == errors[9, "x"] == []
+    record = {(r["conv_id"], r["call_id"]): r["record"] for r in rows}
+    assert '{"x":"\\ud800","\\udfff":1}' in record[0, "half"] and '{"x":"\U0001f600"}' in record[0, "pair"]
+
+
+def plain_levels(calls, edges):
+    level, left = {}, set(calls)
+    while ready := {c for c in left if all(a != c or b not in left for a, b in edges)}:
+        level.update(dict.fromkeys(ready, 1 + max(level.values(), default=-1)))
+        left -= ready
+    return [level.get(c) for c in calls]
+
+
+def test_chains_against_peeling(spark, monkeypatch):
+    draw = random.Random(2)
+    calls, want = [], {}
+    for conv in range(12):
+        names = [f"c{i}" for i in range(draw.randint(1, 9))]
+        after = {n: draw.sample(names, draw.randint(0, min(2, len(names)))) for n in names}
+        levels = plain_levels(names, [(n, p) for n in names for p in after[n]])
+        forward = any(names.index(p) >= names.index(n) for n in names for p in after[n])
+        for i, n in enumerate(names):
+            calls.append((conv, n, i, "f", '{"x":1}', after[n], None))
+            want[conv, n] = levels[i] if forward else i
+    for limit in (1 << 20, 12, 0):
+        monkeypatch.setattr(tc, "MOST_IN_TASK", limit)
+        got, _ = link(spark, calls, [])
+        assert {k: r["position"] for k, r in got.items()} == want
+
+
+def test_long_chain_with_one_forward_edge(spark):
+    n = 50_000
+    calls = spark.range(n).selectExpr(
+        "1L AS conv_id", "string(id) AS call_id", "id AS place", "'f' AS name", "'{\"x\":1}' AS arguments",
+        f"CASE WHEN id = 0 THEN array('{n - 1}') WHEN id < {n - 1} THEN array(string(id - 1)) END AS after",
+    )
+    schemas = spark.createDataFrame([("f", SCHEMA)], "name string, schema string")
+    got = tc.link_calls(calls, spark.createDataFrame([], RESULTS), schemas)
+    bad = got.selectExpr("position - pmod(bigint(call_id) + 1, 50000) AS gap", "status").where("gap != 0 OR status != 'no_result'")
+    assert bad.isEmpty()
+
+
 def test_empty(spark):
     assert link(spark, [], [])[1] == []
 
