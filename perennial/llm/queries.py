@@ -184,17 +184,26 @@ TOOLS = {
     "start": '{"type":"object","required":["question","turn"],"properties":'
     '{"question":{"type":"string","minLength":1},"turn":{"enum":[0,1]}}}',
 }
-CALLS_SQL = """WITH calls AS (SELECT conv_id, conv_id || ':' || turn AS call_id, turn, text,
-  CASE WHEN turn < 2 THEN 'start' ELSE 'ask' END AS name, turn - 2 AS earlier
+CALLS_SQL = """WITH RECURSIVE calls AS (SELECT conv_id, conv_id || ':' || turn AS call_id, turn, text,
+  CASE WHEN turn < 2 THEN 'start' ELSE 'ask' END AS name,
+  CASE WHEN turn IN (0, 2) AND conv_id % 5 = 0 THEN CASE turn WHEN 0 THEN 2 END
+    WHEN turn IN (0, 2) AND conv_id % 7 = 0 THEN 2 - turn WHEN turn >= 2 THEN turn - 2 END AS earlier
   FROM conversations WHERE role = 'user'),
+edges AS (SELECT c.conv_id, c.turn, c.earlier FROM calls c JOIN calls p ON p.conv_id = c.conv_id AND p.turn = c.earlier),
+turned AS (SELECT DISTINCT conv_id FROM edges WHERE earlier >= turn),
+lev(conv_id, turn, level) AS (
+  SELECT conv_id, turn, 0 FROM (SELECT * FROM calls SEMI JOIN turned USING (conv_id)) ANTI JOIN edges USING (conv_id, turn)
+  UNION ALL SELECT e.conv_id, e.turn, l.level + 1 FROM lev l JOIN edges e ON e.conv_id = l.conv_id AND e.earlier = l.turn),
 results AS (SELECT conv_id, conv_id || ':' || (turn - 1) AS call_id, text AS content
   FROM conversations WHERE role = 'assistant'),
 linked AS (SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id,
-  c.name, c.turn AS position, CASE WHEN c.call_id IS NULL THEN 'orphan_result'
-  WHEN c.turn >= 2 AND p.call_id IS NULL THEN 'missing_dependency'
+  c.name, CASE WHEN t.conv_id IS NULL THEN c.turn ELSE l.level END AS position,
+  CASE WHEN c.call_id IS NULL THEN 'orphan_result' WHEN t.conv_id IS NOT NULL AND l.level IS NULL THEN 'cycle'
+  WHEN c.earlier IS NOT NULL AND p.call_id IS NULL THEN 'missing_dependency'
   WHEN r.call_id IS NULL THEN 'no_result' ELSE 'linked' END AS status, c.text, r.content, c.turn
   FROM calls c FULL JOIN results r ON c.conv_id = r.conv_id AND c.call_id = r.call_id
-  LEFT JOIN calls p ON p.conv_id = c.conv_id AND p.turn = c.earlier)
+  LEFT JOIN calls p ON p.conv_id = c.conv_id AND p.turn = c.earlier LEFT JOIN turned t ON t.conv_id = c.conv_id
+  LEFT JOIN lev l ON l.conv_id = c.conv_id AND l.turn = c.turn)
 SELECT conv_id, call_id, name, position, status, CASE WHEN name IS NULL THEN '' ELSE concat_ws('; ',
     CASE WHEN name = 'ask' AND length(text) > 400 THEN '$.question: too long' END,
     CASE WHEN length(text) < 1 THEN '$.question: too short' END,
@@ -207,19 +216,28 @@ SELECT conv_id, call_id, name, position, status, CASE WHEN name IS NULL THEN ''
 
 @query("op1_tool_calls", CALLS_SQL)
 def op1_tool_calls(spark, sf_dir):
-    """Every user turn calls a tool and depends on the user turn before; the next turn answers it."""
+    """Every user turn calls a tool and depends on the user turn before; the next turn answers it.
+
+    In every fifth conversation the first call waits for the second, in every seventh both for each other.
+    """
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
 
     def name(turn):
         return F.concat_ws(":", F.col("conv_id"), turn)
 
+    turn, first = F.col("turn"), F.col("turn").isin(0, 2)
+    earlier = (
+        F.when(first & (F.col("conv_id") % 5 == 0), F.when(turn == 0, 2))
+        .when(first & (F.col("conv_id") % 7 == 0), 2 - turn)
+        .when(turn >= 2, turn - 2)
+    )
     calls = turns.where("role = 'user'").select(
         "conv_id",
         name(F.col("turn")).alias("call_id"),
         F.col("turn").alias("place"),
         F.when(F.col("turn") < 2, "start").otherwise("ask").alias("name"),
         F.to_json(F.struct("turn", F.col("text").alias("question"))).alias("arguments"),
-        F.when(F.col("turn") >= 2, F.array(name(F.col("turn") - 2)))
+        F.when(earlier.isNotNull(), F.array(name(earlier)))
         .otherwise(F.array().cast("array<string>"))
         .alias("after"),
     )
