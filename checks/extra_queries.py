@@ -7,15 +7,18 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from checks import filing_queries as FQ
 from checks import model_queries as MQ
 from checks.inputs import PX, benchmark, prices, table
 from checks.registry import query
 from checks.seasonal_queries import KEY_SPEC, observations_sql
 from perennial.functions.order import exact_quantiles, with_average_rank, with_positions
 from perennial.functions.storage import materialize, shared_folder
+from perennial.operators import facts as FA
 from perennial.operators import portfolio as PF
 from perennial.operators import seasonal as S
 from perennial.plans import screener as P
+from perennial.sources import filings as SF
 from perennial.sources import prices as SP
 
 
@@ -353,3 +356,69 @@ for _version, _target in (
     ("v7", "beta_neutral_target"),
 ):
     _register_conditions(_version, _target)
+
+
+# Files of company facts: three documents per company, the second of every tenth company broken off;
+# every fourth company is not marked successful.
+PART = f"list_position([{FQ.text_list(FQ.TAGS)}], tag) - 1"
+FILES = FQ.FLAT + f""",
+whole AS (SELECT *, ({PART}) % 3 AS part FROM facts WHERE NOT (cik % 10 = 3 AND ({PART}) % 3 = 1))"""
+
+
+def fact_files(spark, sf) -> str:
+    broken = (F.col("cik") % 10 == 3) & (F.col("part") == 1)
+    text = F.when(broken, F.expr("left(value, length(value) - 5)")).otherwise(F.col("value"))
+    path = fresh(spark, "documents")
+    FQ.company_documents(spark, sf, 3).select(text.alias("value")).write.text(path)
+    return path
+
+
+@query("scan_company_facts", FQ.FACT_SPEC, FILES, "SELECT * EXCLUDE (part) FROM whole WHERE cik % 4 <> 1")
+def scan_company_facts(spark, sf):
+    """Documents of written files as VARIANT, of the companies marked successful."""
+    status = table(spark, sf, "supplier").select(
+        F.col("s_suppkey").alias("cik"), (F.col("s_suppkey") % 4 != 1).alias("success")
+    )
+    documents = SF.read_documents(spark, fact_files(spark, sf), whole_files=False)
+    return FA.scan_fact_rows(SF.parsed_documents(documents, status))
+
+
+@query(
+    "broken_documents",
+    "head:s error:s in_file:b",
+    FILES,
+    f"""SELECT DISTINCT concat('{{"cik":', cik, ',"entityName":"', entity, '"') AS head,
+  'unreadable company facts' AS error, true AS in_file FROM facts WHERE cik % 10 = 3 AND ({PART}) % 3 = 1""",
+)
+def broken_documents(spark, sf):
+    path = fact_files(spark, sf)
+    found = SF.broken_documents(SF.read_documents(spark, path, whole_files=False))
+    head = F.regexp_extract("value", r'^\{"cik":[0-9]+,"entityName":"[^"]*"', 0)
+    inside = F.col("file").contains(path.rsplit("/", 1)[-1])
+    return found.select(head.alias("head"), "error", inside.alias("in_file"))
+
+
+# Name lines in Latin-1: every seventh line has no number, every eleventh no name.
+NAME_LINES = FQ.LISTED + """,
+texts AS (SELECT DISTINCT concat(CASE WHEN cik % 11 = 5 THEN '' ELSE concat('CAFÉ ', name, ' Ñ&O') END, ':',
+  CASE WHEN cik % 7 = 3 THEN 'n/a' ELSE lpad(CAST(cik AS VARCHAR), 10, '0') END, ':') AS line, normalized, cik,
+  cik % 11 = 5 OR cik % 7 = 3 AS bad, name FROM listed)"""
+
+
+@query(
+    "name_line_files",
+    "name:s cik:d corrupt:s",
+    NAME_LINES,
+    """SELECT CASE WHEN NOT bad THEN concat('CAFÉ ', name, ' Ñ&O') END AS name, CASE WHEN NOT bad THEN cik END AS cik,
+  CASE WHEN bad THEN line END AS corrupt FROM texts""",
+)
+def name_line_files(spark, sf):
+    """Lines written and read back in Latin-1; malformed ones are kept apart."""
+    key = F.col("cik")
+    name = F.when(key % 11 == 5, "").otherwise(F.concat(F.lit("CAFÉ "), "name", F.lit(" Ñ&O")))
+    number = F.when(key % 7 == 3, "n/a").otherwise(F.lpad(key.cast("string"), 10, "0"))
+    lines = FQ.listed_names(spark, sf).select(F.concat(name, F.lit(":"), number, F.lit(":")).alias("value"))
+    path = fresh(spark, "names")
+    writer = lines.write.option("encoding", "ISO-8859-1").option("sep", "\u0001").option("quote", "")
+    writer.option("escapeQuotes", False).csv(path)
+    return SF.named_lines(SF.read_lines(spark, path))

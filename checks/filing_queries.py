@@ -36,8 +36,8 @@ BALANCE_TAGS = [
 ]
 
 
-def company_facts(spark, sf):
-    """(cik, entityName, facts) parsed from JSON text."""
+def company_documents(spark, sf, parts: int = 1):
+    """(cik, part, value): JSON documents, with the tags of a company dealt to so many of them."""
     items = table(spark, sf, "lineitem")
     kind = (F.col("l_orderkey") + F.col("l_linenumber")) % 3
     ship = F.col("l_shipdate").cast("date")
@@ -68,23 +68,30 @@ def company_facts(spark, sf):
     units = flat.groupBy("cik", "tag").agg(F.collect_list("o").alias("obs")).withColumn(
         "unit", F.when(F.col("tag").isin(*SHARE_TAGS), F.lit("shares")).otherwise(F.lit("USD"))
     )
-    nested = units.groupBy("cik").agg(
+    place = F.array_position(F.array(*[F.lit(t) for t in TAGS]), F.col("tag")) - 1
+    nested = units.groupBy("cik", (place % parts).alias("part")).agg(
         F.map_from_entries(
             F.collect_list(
                 F.struct("tag", F.struct(F.create_map("unit", "obs").alias("units")))
             )
         ).alias("tags")
     )
-    documents = nested.select(
+    return nested.select(
+        "cik",
+        "part",
         F.to_json(
             F.struct(
                 "cik",
                 F.concat(F.lit("Company "), F.col("cik").cast("string")).alias("entityName"),
                 F.create_map(F.lit(FA.NAMESPACE), F.col("tags")).alias("facts"),
             )
-        ).alias("value")
+        ).alias("value"),
     )
-    return SF.parse_company_facts(documents)
+
+
+def company_facts(spark, sf):
+    """(cik, entityName, facts) parsed from JSON text."""
+    return SF.parse_company_facts(company_documents(spark, sf))
 
 
 def fact_rows(spark, sf):

@@ -90,15 +90,34 @@ def attach_point_in_time(
     timeline: DataFrame,
     values: Sequence[str],
     last_by: Sequence[str] = (),
+    strict: bool = True,
 ) -> DataFrame:
-    """For every (ticker, month): the last filing known on the day before the month starts."""
+    """For every (ticker, month): the last filing known on the day before the month starts.
+
+    ``strict`` makes the job that reads the result fail on a filing from the month itself or later.
+    """
     mapped = map_identifiers(data, resolution, last_by).withColumn(
         "cutoff", F.date_sub(month_start(PERIOD), 1)
     )
     out = asof_backward(mapped, timeline, ["cik"], "cutoff", "filed", values)
-    return out.withColumn("age_days", F.datediff("cutoff", "filed"))
+    out = out.withColumn("age_days", F.datediff("cutoff", "filed"))
+    return require_point_in_time(out) if strict else out
+
+
+def _violates() -> Column:
+    return F.coalesce(F.col("filed") >= month_start(PERIOD), F.lit(False))
 
 
 def point_in_time_violations(attached: DataFrame) -> DataFrame:
     """Rows that carry a filing from the month itself or later; must be empty."""
-    return attached.where(F.col("filed") >= month_start(PERIOD))
+    return attached.where(_violates())
+
+
+def require_point_in_time(attached: DataFrame) -> DataFrame:
+    """The same rows; reading one that carries a filing from the month itself or later is an error.
+
+    The check is a filter, so no later projection removes it.
+    """
+    what = F.concat_ws(" ", F.lit("not known at the start of month"), F.col(PERIOD), F.lit("filed"), F.col("filed"))
+    stop = F.raise_error(what).cast("boolean")
+    return attached.where(F.when(_violates(), stop).otherwise(F.lit(True)))

@@ -85,6 +85,29 @@ def fact_rows(company_facts: DataFrame) -> DataFrame:
     ).select("cik", "entity", "concept", "priority", "tag", "unit", F.inline("_obs"))
 
 
+def scan_fact_rows(documents: DataFrame) -> DataFrame:
+    """The rows of ``fact_rows`` from (cik, entity, doc) with documents as VARIANT.
+
+    Tags, units and values are exploded one after the other, and the known tags are joined before their
+    values are: a row never holds more than one document, and other tags' values are never decoded.
+    """
+    spark = documents.sparkSession
+
+    def exploded(rows: DataFrame, variant: str, path: str, names: Sequence[str]) -> DataFrame:
+        inner = F.try_variant_get(F.col(variant).outer(), path, "variant")
+        return rows.lateralJoin(spark.tvf.variant_explode(inner).toDF("_pos", *names)).drop("_pos", variant)
+
+    tags = exploded(documents.select("cik", "entity", "doc"), "doc", f"$.facts['{NAMESPACE}']", ["tag", "_fact"])
+    known = tags.join(F.broadcast(alias_table(spark).drop("namespace")), "tag")
+    units = exploded(known, "_fact", "$.units", ["unit", "_values"])
+    values = exploded(units, "_values", "$", ["_key", "_value"])
+    fields = {c: "string" for c in ("start", "end", "filed", "form", "accn")} | {"val": "double"}
+    return values.select(
+        "cik", "entity", "concept", "priority", "tag", "unit",
+        *[F.try_variant_get("_value", f"$.{c}", fields[c]).alias(c) for c in ("start", "end", "val", "filed", "form", "accn")],
+    )
+
+
 def _dated(facts: DataFrame, forms: Sequence[str], concepts: Sequence[str]) -> DataFrame:
     """Values with a usable form, unit, end and filing date; dates that do not parse are dropped."""
     return (

@@ -40,6 +40,38 @@ def read_company_facts(
     return facts.join(done, "cik", "left_semi")
 
 
+def read_documents(spark: SparkSession, path: str, whole_files: bool = True) -> DataFrame:
+    """(file, value): one JSON document per file, or per line."""
+    lines = spark.read.option("wholetext", whole_files).text(path)
+    return lines.select(F.col("_metadata.file_path").alias("file"), "value")
+
+
+def parsed_documents(documents: DataFrame, status: DataFrame | None = None) -> DataFrame:
+    """(file, cik, entity, doc) with the document as VARIANT; with ``status`` only companies marked
+    successful.  Documents that do not parse or name no company are left out (see
+    ``broken_documents``)."""
+    doc = documents.select("file", F.try_parse_json("value").alias("doc")).select(
+        "file",
+        F.try_variant_get("doc", "$.cik", "bigint").alias("cik"),
+        F.try_variant_get("doc", "$.entityName", "string").alias("entity"),
+        "doc",
+    )
+    known = doc.where(F.col("cik").isNotNull())
+    if status is None:
+        return known
+    done = status.where(F.col("success")).select(F.col("cik").cast("bigint").alias("cik")).distinct()
+    return known.join(done, "cik", "left_semi")
+
+
+def broken_documents(documents: DataFrame) -> DataFrame:
+    """(file, value, error): documents that do not parse, or parse without a company."""
+    doc = F.try_parse_json("value")
+    error = F.when(doc.isNull(), F.lit("unreadable company facts")).when(
+        F.try_variant_get(doc, "$.cik", "bigint").isNull(), F.lit("no company")
+    )
+    return documents.select("file", "value", error.alias("error")).where(F.col("error").isNotNull())
+
+
 def download_worklist(resolution: DataFrame, status: DataFrame) -> DataFrame:
     """Distinct resolved companies that have no successful download yet."""
     wanted = resolution.where(F.col("cik").isNotNull()).select(F.col("cik").cast("bigint").alias("cik"))
@@ -95,6 +127,12 @@ def _part(line: Column, pattern: str, group: int) -> Column:
 
 def parse_name_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """(name, normalized, cik) from ``NAME:CIK:`` lines, split from the right; distinct."""
+    return named_lines(lines, column).where("corrupt IS NULL").drop("corrupt").distinct()
+
+
+def named_lines(lines: DataFrame, column: str = "value") -> DataFrame:
+    """(name, normalized, cik, corrupt): every line that is not blank; one without a name or number has
+    itself as ``corrupt`` and nothing else."""
     line = F.trim(F.col(column))
     pattern = r"^(.*):([^:]*):[^:]*$"
     one_colon = r"^([^:]*):([^:]*)$"
@@ -105,27 +143,33 @@ def parse_name_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     cik = F.when(two, _part(F.col("_line"), pattern, 2)).otherwise(
         _part(F.col("_line"), one_colon, 2)
     )
+    number = F.when(F.col("_cik").rlike("^[0-9]+$"), F.col("_cik").try_cast("bigint"))
+    whole = F.col("_number").isNotNull() & (F.col("normalized") != "")
     return (
         lines.select(line.alias("_line"))
-        .select(name.alias("name"), cik.alias("_cik"))
-        .where(F.col("_cik").rlike("^[0-9]+$"))
+        .where(F.col("_line") != "")
+        .select("_line", name.alias("name"), cik.alias("_cik"))
+        .select("_line", "name", normalize_company_name("name").alias("normalized"), number.alias("_number"))
         .select(
-            "name",
-            normalize_company_name("name").alias("normalized"),
-            F.col("_cik").cast("bigint").alias("cik"),
+            F.when(whole, F.col("name")).alias("name"),
+            F.when(whole, F.col("normalized")).alias("normalized"),
+            F.when(whole, F.col("_number")).alias("cik"),
+            F.when(~whole, F.col("_line")).alias("corrupt"),
         )
-        .where(F.col("normalized") != "")
-        .distinct()
     )
 
 
-def read_name_lines(spark: SparkSession, path: str) -> DataFrame:
-    """The identifier list in Latin-1, one entry per line."""
-    lines = (
-        spark.read.option("encoding", "ISO-8859-1")
+def read_lines(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") -> DataFrame:
+    """``value``: the lines of text files in a declared encoding."""
+    return (
+        spark.read.option("encoding", encoding)
         .option("sep", "\u0001")
         .option("quote", "")
         .schema("value string")
         .csv(path)
     )
-    return parse_name_lines(lines)
+
+
+def read_name_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The identifier list in Latin-1, one entry per line."""
+    return parse_name_lines(read_lines(spark, path))

@@ -243,6 +243,35 @@ def test_sweep_and_joins_give_the_same_timelines(spark, monkeypatch):
         assert found[0] == found[1] == found[2] and len(found[0]) > 20
 
 
+def test_a_filing_from_the_month_stops_the_job(spark):
+    rows = [("A", 24001, dt.date(2000, 1, 31)), ("B", 24001, None)]
+    attached = spark.createDataFrame(rows, "ticker string, period_idx int, filed date")
+    assert A.require_point_in_time(attached).count() == 2
+    planted = attached.unionByName(
+        spark.createDataFrame([("C", 24001, dt.date(2000, 2, 1))], attached.schema)
+    )
+    with pytest.raises(Exception, match="not known at the start of month 24001"):
+        A.require_point_in_time(planted).select("ticker").collect()
+
+
+def test_scanned_facts_of_odd_documents(spark, tmp_path):
+    good = {"start": None, "end": "2000-01-01", "val": "12", "filed": "2000-02-02", "form": "10-K"}
+    documents = [
+        {"cik": 1, "entityName": "One", "facts": {"us-gaap": {"Assets": {"units": {"USD": [good, {}], "EUR": []}}}}},
+        {"cik": 2, "facts": {"us-gaap": {"Assets": {"units": {"USD": "text"}}, "Other": {"units": {"USD": [good]}}}}},
+        {"cik": 3, "facts": {"dei": {"Assets": {"units": {"USD": [good]}}}}}, {"cik": 4}, {"cik": "five"}, {"x": 1}, [1],
+    ]
+    (tmp_path / "a.json").write_text("\n".join(json.dumps(d) for d in documents) + "\n{broken\n")
+    read = SF.read_documents(spark, str(tmp_path), whole_files=False)
+    got = FA.scan_fact_rows(SF.parsed_documents(read)).collect()
+    assert [(r.cik, r.entity, r.concept, r.end, r.val, r.accn) for r in got if r.end] == [
+        (1, "One", "Assets", "2000-01-01", 12.0, None)
+    ]
+    assert sorted(r.error for r in SF.broken_documents(read).collect()) == [
+        "no company", "no company", "no company", "unreadable company facts"
+    ]
+
+
 def test_name_lines_file(spark, tmp_path):
     (tmp_path / "names.txt").write_bytes("CAFÉ \"X\", INC:0000000003:\n\nFOO:BAR:4:\n".encode("latin-1"))
     got = SF.read_name_lines(spark, str(tmp_path / "names.txt")).collect()
