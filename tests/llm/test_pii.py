@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 
@@ -38,9 +39,11 @@ def test_documents(spark):
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     for r in pii.with_digest(docs).collect():
         found = plain(texts[r["doc_id"]])
-        assert r["n_email"] == sum(k == "email" for k, *_ in found)
+        for kind in pii.BASE_KINDS:
+            assert r[f"n_{kind}"] == sum(k == kind for k, *_ in found)
         joined = ",".join(f"{k}:{a}:{b}" for k, a, b in found)
-        assert r["spans"].startswith(joined)
+        assert r["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
+        assert set(joined.split(",")) - {""} <= set(r["spans"].split(","))
 
 
 def test_checksums_and_context():
