@@ -422,3 +422,53 @@ def name_line_files(spark, sf):
     writer = lines.write.option("encoding", "ISO-8859-1").option("sep", "\u0001").option("quote", "")
     writer.option("escapeQuotes", False).csv(path)
     return SF.named_lines(SF.read_lines(spark, path))
+
+
+# Result files: predictions and timelines are written, read with a declared schema, and evaluated.
+def prediction_file(spark, sf):
+    rows = MQ.predictions(spark, sf)
+    path = fresh(spark, "predictions")
+    SP.write_csv(rows.drop("period"), path)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("period").schema)
+    return SP.read_csv(spark, path, kinds)
+
+
+@query("prediction_files", f"{MQ.ID} n_train:i prediction:d rank:i percentile:d", MQ.PREDS, "SELECT * FROM preds")
+def prediction_files(spark, sf):
+    return prediction_file(spark, sf)
+
+
+@query("recheck_prediction_files", MQ.RECHECK_SPEC, MQ.RECHECK, MQ.RECHECK_SQL)
+def recheck_prediction_files(spark, sf):
+    return MQ.EV.recheck_model(materialize(prediction_file(spark, sf), "predictions"), 50)
+
+
+@query(
+    "timeline_files",
+    "cik:i entity:s filed:t quarter_end:t prior_end:t " + " ".join(f"{f}:d" for f in FA.QUARTERLY_FEATURES),
+    FQ.QUARTER_TL,
+    "SELECT * FROM quarter_tl",
+)
+def timeline_files(spark, sf):
+    """Timelines stored by filing year."""
+    path = fresh(spark, "timelines")
+    rows = FA.quarterly_timeline(FQ.fact_rows(spark, sf)).withColumn("filed_year", F.year("filed"))
+    SP.write_table(rows, path, ("filed_year",))
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+@query(
+    "resolution_files",
+    FQ.RESOLVE_SPEC,
+    FQ.RESOLVE,
+    FQ.EXACT_SQL,
+)
+def resolution_files(spark, sf):
+    path = fresh(spark, "resolution")
+    found = FQ.RS.resolve_identifiers(
+        FQ.named_tickers(spark, sf), FQ.ticker_map(spark, sf), FQ.listed_names(spark, sf), fuzzy=False
+    )
+    SP.write_csv(found, path)
+    return SP.read_csv(
+        spark, path, "ticker string, cik long, resolution string, input_name string, matched_name string, score double"
+    )

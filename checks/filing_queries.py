@@ -822,19 +822,17 @@ asked AS (SELECT *, concat('C-', c_custkey) AS ticker, c_custkey % 4 AS kind,
 ids AS (SELECT normalized, count(DISTINCT cik) AS n FROM listed GROUP BY 1)"""
 
 
-@query(
-    "resolve_exact",
-    RESOLVE_SPEC,
-    RESOLVE,
-    """SELECT ticker, CASE WHEN r <> 'unresolved' AND r <> 'ambiguous_exact' THEN c_custkey END AS cik, r AS resolution,
+EXACT_SQL = """SELECT ticker, CASE WHEN r <> 'unresolved' AND r <> 'ambiguous_exact' THEN c_custkey END AS cik, r AS resolution,
   CASE WHEN kind = 1 THEN CASE WHEN r = 'ticker' THEN 'Zzz Unknown' ELSE concat('Zzz Unknown | ', nm) END ELSE nm END
     AS input_name, CASE WHEN r = 'ticker' THEN concat(word, ' LISTED')
     WHEN r = 'name_exact' THEN concat(word, ' HOLDINGS OF ', nation, ' INC') END AS matched_name,
   CASE WHEN r IN ('ticker', 'name_exact') THEN 1.0 END AS score FROM (
   SELECT a.*, CASE WHEN c_custkey % 5 = 0 THEN 'ticker' WHEN kind > 1 THEN 'unresolved'
     WHEN i.n = 1 THEN 'name_exact' ELSE 'ambiguous_exact' END AS r
-  FROM asked a JOIN ids i ON i.normalized = concat(a.word, ' HOLDINGS OF ', replace(a.nation, '_', ' ')))""",
-)
+  FROM asked a JOIN ids i ON i.normalized = concat(a.word, ' HOLDINGS OF ', replace(a.nation, '_', ' ')))"""
+
+
+@query("resolve_exact", RESOLVE_SPEC, RESOLVE, EXACT_SQL)
 def resolve_exact(spark, sf):
     return RS.resolve_identifiers(
         named_tickers(spark, sf), ticker_map(spark, sf), listed_names(spark, sf), fuzzy=False

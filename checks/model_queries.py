@@ -531,19 +531,18 @@ def top_portfolio_summary(spark, sf):
 RECHECK = PREDS + ",\n" + neutral_sql("preds", "rc", "ret", "true_neutral", None, 50)
 
 
-@query(
-    "recheck_models",
-    """period_idx:i ic:d stored_target_ic:d prediction_beta_corr:d top_neutral:d bottom_neutral:d
-  long_short_neutral:d""",
-    RECHECK,
-    f"""SELECT *, top_neutral - bottom_neutral AS long_short_neutral
+RECHECK_SPEC = """period_idx:i ic:d stored_target_ic:d prediction_beta_corr:d top_neutral:d bottom_neutral:d
+  long_short_neutral:d"""
+RECHECK_SQL = f"""SELECT *, top_neutral - bottom_neutral AS long_short_neutral
   FROM ({spearman_sql('prediction', 'true_neutral', 'rc')})
   JOIN ({spearman_sql('prediction', 'beta_neutral_target', 'rc', 'stored_target_ic')}) USING (period_idx)
   JOIN ({spearman_sql('prediction', 'beta_24m', 'rc', 'prediction_beta_corr')}) USING (period_idx)
   JOIN (SELECT period_idx, avg(true_neutral) FILTER (WHERE decile = 10) AS top_neutral,
     avg(true_neutral) FILTER (WHERE decile = 1) AS bottom_neutral
-    FROM ({decile_sql('rc', 'prediction', 50)}) GROUP BY 1) USING (period_idx)""",
-)
+    FROM ({decile_sql('rc', 'prediction', 50)}) GROUP BY 1) USING (period_idx)"""
+
+
+@query("recheck_models", RECHECK_SPEC, RECHECK, RECHECK_SQL)
 def recheck_models(spark, sf):
     return EV.recheck_model(predictions(spark, sf), 50)
 

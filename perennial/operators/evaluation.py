@@ -185,37 +185,54 @@ def decile_summary(deciles: DataFrame, measure: str, averages: dict[str, str]) -
     return plain.join(hac_t(deciles, ["decile"], PERIOD, [measure]), "decile")
 
 
+def _halves(months: DataFrame, last_early_year: int) -> DataFrame:
+    year = F.floor(F.col(PERIOD) / 12)
+    half = F.when(year <= last_early_year, F.lit(f"to {last_early_year}")).otherwise(
+        F.lit(f"from {last_early_year + 1}")
+    )
+    return months.withColumns({"_half": half, "_year": F.concat(F.lit("year "), year.cast("string"))})
+
+
 def subperiods(monthly: DataFrame, last_early_year: int = 2020) -> DataFrame:
     """Repeat every month for its half, its year and the whole, labelled ``span``."""
-    year = F.floor(F.col(PERIOD) / 12)
-    half = F.when(
-        year <= last_early_year, F.lit(f"to {last_early_year}")
-    ).otherwise(F.lit(f"from {last_early_year + 1}"))
-    spans = F.array(F.lit("all"), half, F.concat(F.lit("year "), year.cast("string")))
-    return monthly.select("*", F.explode(spans).alias("span"))
+    rows = _halves(monthly, last_early_year)
+    return rows.select(monthly["*"], F.explode(F.array(F.lit("all"), "_half", "_year")).alias("span"))
+
+
+def span_means(
+    monthly: DataFrame, keys: Sequence[str], means: Sequence[Column], last_early_year: int = 2020
+) -> DataFrame:
+    """Aggregates per half, per year and overall, labelled ``span``, by grouping sets of one aggregate."""
+    sets = [[*keys, "_half"], [*keys, "_year"], [*keys]]
+    span = F.when(F.grouping("_half") == 0, F.col("_half")).when(F.grouping("_year") == 0, F.col("_year"))
+    grouped = _halves(monthly, last_early_year).groupingSets(sets, *keys, "_half", "_year")
+    found = grouped.agg(F.coalesce(span, F.lit("all")).alias("span"), *means)
+    return found.drop("_half", "_year")
 
 
 def decile_subperiods(
     deciles: DataFrame, averages: dict[str, str], last_early_year: int = 2020
 ) -> DataFrame:
     """Mean measures per decile for each half, each year and overall."""
-    rows = subperiods(deciles, last_early_year)
-    return rows.groupBy("span", "decile").agg(
-        F.count(F.lit(1)).alias("months"), *[F.avg(c).alias(n) for c, n in averages.items()]
-    )
+    means = [F.count(F.lit(1)).alias("months"), *[F.avg(c).alias(n) for c, n in averages.items()]]
+    return span_means(deciles, ["decile"], means, last_early_year)
 
 
 def subperiod_robustness(monthly: DataFrame, last_early_year: int = 2020) -> DataFrame:
-    """Rank correlation and long-short statistics per half, per year and overall."""
-    rows = subperiods(monthly, last_early_year)
-    plain = rows.groupBy("span").agg(
+    """Rank correlation and long-short statistics per half, per year and overall.
+
+    Only the robust t, which needs the months of a span in order, takes a copy of each month per span.
+    """
+    means = [
         F.count(F.lit(1)).alias("months"),
         F.avg("ic").alias("average_ic"),
         _positive_rate("ic", False).alias("positive_ic_rate"),
         F.avg("long_short_residual").alias("average_long_short"),
         _positive_rate("long_short_residual", False).alias("positive_long_short_rate"),
         F.avg("prediction_beta_corr").alias("average_beta_corr"),
-    )
+    ]
+    plain = span_means(monthly, [], means, last_early_year)
+    rows = subperiods(monthly, last_early_year)
     return plain.join(hac_t(rows, ["span"], PERIOD, ["ic", "long_short_residual"]), "span")
 
 

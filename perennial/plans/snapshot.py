@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from perennial.functions.storage import materialize
 from perennial.operators.monthly import cross_section, evaluate_selected, select_candidates
 
 
@@ -83,6 +84,7 @@ def bootstrap_mean(
         .withColumn("_i", F.row_number().over(Window.partitionBy("_group").orderBy(*order)) - 1)
         .select("_i", F.col(value).alias("_v"))
     )
+    numbered = materialize(numbered, "trades")
     n = numbered.agg(F.count(F.lit(1)).cast("int").alias("_n")).where("_n > 0")
     text = F.concat_ws("-", F.lit(str(seed)), "sim", "draw")
     pick = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % F.col("_n")
