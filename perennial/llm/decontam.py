@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from perennial.functions.storage import materialize
-from perennial.llm.textops import ALNUM, pieces, split_words, unused, utf8
+from perennial.llm.textops import ALNUM, pieces, split_words, thrifty, unused, utf8
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
@@ -215,6 +215,7 @@ def _confirmed(text: str, items: Items, suffixes, firsts, sizes):
 
 def _matcher(block, window: int):
     @F.arrow_udf(_FIELDS)
+    @thrifty
     def match(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         items = Items(block.value, window)
         for texts in batches:

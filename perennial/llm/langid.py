@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from perennial.functions.storage import materialize
-from perennial.llm.textops import mix64, pieces, utf8, with_result
+from perennial.llm.textops import mix64, pieces, thrifty, utf8, with_result
 
 TRIGRAM_BITS = 16
 FIT_TEXTS = 12_000
@@ -250,6 +250,7 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray
     return path
 
 
+@thrifty
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Trigram and script counts of the task's texts by language."""
     cells: dict[str, np.ndarray] = {}
@@ -334,6 +335,7 @@ def predictor(sent) -> Column:
     """Arrow function from texts to language and score; ``sent`` is a broadcast model."""
 
     @F.arrow_udf(RESULT)
+    @thrifty
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model: Model = sent.value
         for texts in batches:

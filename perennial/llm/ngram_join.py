@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from perennial.functions.storage import materialize
-from perennial.llm.textops import SPACED, mix64, pieces, split_words, unused, utf8
+from perennial.llm.textops import SPACED, mix64, pieces, split_words, thrifty, unused, utf8
 
 MOST_RANKED = 1 << 17
 BITMAP_BITS = 1 << 26
@@ -128,6 +128,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 def _count_ranges(texts: DataFrame, like: Likeness, bits: int) -> DataFrame:
     """Per range of hashes: shingles met at least 4 times with counts, and the bitmaps' parts."""
 
+    @thrifty
     def gather(batches):
         held, size = [], 0
 
@@ -258,6 +259,7 @@ def _fingerprint(s: np.ndarray, salt: int) -> tuple[int, int]:
 
 
 def _sketch(rows: DataFrame, like: Likeness, sent, salt: int) -> DataFrame:
+    @thrifty
     def sketch(batches):
         order: Order = sent.value
         for batch in batches:
@@ -319,6 +321,7 @@ def _verify(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, like: Likeness,
     sent = F.broadcast(wanted) if wanted.count() <= MOST_SENT // 4 else wanted
     texts = rows.join(sent, rows["k"] == wanted["rep"]).select("node", "blocks", "text")
 
+    @thrifty
     def read(batches):
         for batch in batches:
             names, sets, where = [], [], []

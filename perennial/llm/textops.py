@@ -7,8 +7,10 @@ number of rows of a batch.  Null texts count as empty.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -125,6 +127,25 @@ def shared_copy(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Return freed memory to the system, where its allocator can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def thrifty(function: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """An Arrow function whose worker, kept for later stages, gives its memory back after each task."""
+
+    @wraps(function)
+    def run(batches):
+        yield from function(batches)
+        give_back()
+
+    return run
+
+
 def with_result(df: DataFrame, result: Column, fields: dict[str, str]) -> DataFrame:
     """Add fields of one struct column; a column of ``df`` with the name of a field is replaced."""
     spare = unused(df, "_result")
