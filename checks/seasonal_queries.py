@@ -344,9 +344,9 @@ def analyze(spark, sf):
     KEY_SPEC + " error:s",
     OBS15,
     f"""SELECT t.ticker, d.entry_month, d.entry_day, h.holding_days,
-  CASE WHEN count(o.ret) = 0 THEN 'No valid seasonal observations'
-    WHEN count(o.ret) <= {MIN_TRAINING} THEN 'Not enough observations for walk-forward validation'
-    ELSE 'Not enough years for train/test validation' END AS error
+  CASE WHEN count(o.ret) = 0 THEN 'no year with a complete window'
+    WHEN count(o.ret) <= {MIN_TRAINING} THEN 'too few seasons to test any of them on earlier ones'
+    ELSE 'too few years to split into training and test' END AS error
   FROM (SELECT DISTINCT ticker FROM px) t CROSS JOIN days d CROSS JOIN holds h
   LEFT JOIN cmp o ON o.ticker = t.ticker AND o.entry_month = d.entry_month
     AND o.entry_day = d.entry_day AND o.holding_days = h.holding_days

@@ -68,7 +68,7 @@ def seasonal_observations(
     ``entries`` holds at most 366 calendar days, so the grid is a constant of the plan.
     """
     if any(h <= 0 for h in holdings):
-        raise ValueError("holding_days must be greater than zero")
+        raise ValueError(f"holdings of no day: {sorted(holdings)}")
     w = Window.partitionBy("ticker").orderBy("date")
     first_target = F.greatest(
         F.coalesce(F.date_add(F.lag("date").over(w), 1), F.trunc("date", "year")),
@@ -127,7 +127,7 @@ def keep_recent(
 ) -> DataFrame:
     """The most recent ``lookback_years`` valid observations of every window."""
     if lookback_years <= 0:
-        raise ValueError("lookback_years must be greater than zero")
+        raise ValueError(f"lookback_years is {lookback_years}, below 1")
     w = Window.partitionBy(*key).orderBy(F.desc("year"))
     return (
         observations.withColumn("_recent", F.row_number().over(w))

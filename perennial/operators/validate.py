@@ -171,8 +171,8 @@ def analyze(
         F.bool_and("enough_years").alias("_enough"),
     )
     error = F.when(
-        F.col("wf_folds") == 0, F.lit("Not enough observations for walk-forward validation")
-    ).when(~F.col("_enough"), F.lit("Not enough years for train/test validation"))
+        F.col("wf_folds") == 0, F.lit("too few seasons to test any of them on earlier ones")
+    ).when(~F.col("_enough"), F.lit("too few years to split into training and test"))
     return agg.select(
         *key,
         *_flat("all", "", ABSOLUTE_COLUMNS + RELATIVE_COLUMNS),

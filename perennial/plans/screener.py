@@ -60,14 +60,14 @@ NESTED_DEFAULTS = Thresholds(0.65, 8, 0.0, 0.55, 0.0)
 def upcoming_dates(start: dt.date, days_ahead: int = 30) -> list[dt.date]:
     """``start`` and the following ``days_ahead`` days."""
     if days_ahead < 0:
-        raise ValueError("days_ahead cannot be negative")
+        raise ValueError(f"days_ahead is {days_ahead}, below 0")
     return [start + dt.timedelta(days=i) for i in range(days_ahead + 1)]
 
 
 def date_grid(spark, start: dt.date, days_ahead: int, holdings: Sequence[int]) -> DataFrame:
     """The (date, holding) grid as rows."""
     if days_ahead < 0:
-        raise ValueError("days_ahead cannot be negative")
+        raise ValueError(f"days_ahead is {days_ahead}, below 0")
     first = F.lit(start.isoformat()).cast("date")
     days = F.explode(F.sequence(first, F.date_add(first, days_ahead)))
     grid = spark.range(1).select(days.alias("entry_date"))
@@ -124,7 +124,7 @@ def scan_errors(
     )
     asked = prices.select("ticker").distinct().select("ticker", F.inline(windows))
     none = asked.join(found.select(*WINDOW_KEY), list(WINDOW_KEY), "left_anti").withColumn(
-        "error", F.lit("No valid seasonal observations")
+        "error", F.lit("no year with a complete window")
     )
     failed = found.where(F.col("error").isNotNull()).select(*WINDOW_KEY, "error")
     return failed.unionByName(none)
