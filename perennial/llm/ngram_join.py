@@ -16,9 +16,11 @@ common shingles last, so prefixes are rare and lists short.  The steps:
 4. *First links.*  In each list up to ``PIVOTS`` groups serve as pivots and every group is paired with
    them, if size and place allow the similarity; members are paired with their group's first node.
    Pairs are verified on whole sets, and the links' components found.
-5. *Remaining pairs.*  Lists are reduced to components with their extremes; only pairs of nodes from
-   different components that pass the filters, share enough of their prefixes and were not yet
-   verified are expanded and verified, which makes the components exact.  No pair inside a component is ever made.
+5. *Remaining pairs.*  In lists of up to ``CROWD`` nodes the groups are held against each other; pairs of
+   groups that pass the filters and share enough of their prefixes are expanded to members, and those of
+   different components not yet verified are verified.  Longer lists that several components share go
+   to cells (``_cells``), where a second prefix join on what tells nodes from the cell's centre, most
+   often a few shingles, finds the pairs (``_crowd_pairs``).  Both make the components exact.
 
 Sets are read from the texts only for nodes in candidate pairs and travel to blocks of pairs, each
 set once per block.  Nothing but counts, the bitmaps and the ranked shingles (all of fixed size)
@@ -51,6 +53,11 @@ MOST_RANKED = 1 << 17
 BITMAP_BITS = 1 << 26
 MOST_SENT = 2_000_000
 PIVOTS = 8
+#: Nodes in a list up to which its groups are held against each other; beyond, by what differs from a centre.
+CROWD = 32
+#: Members of a cell that its centre is made of, and rows of a cell that meet one copy of the centre.
+CENTRE = 16
+CELL_ROWS = 1024
 #: Bytes of sets in one block of pairs.
 BLOCK_BYTES = 8 << 20
 #: Shingles that a task gathers before it sends their counts on.
@@ -301,22 +308,8 @@ def _sketch(rows: DataFrame, like: Likeness, sent, salt: int) -> DataFrame:
 # --- links ----------------------------------------------------------------------------------
 
 
-def _verify(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, like: Likeness, salt: int):
-    """The pairs (a, b, na, nb) whose whole sets are similar."""
-    spark = pairs.sparkSession
-    weight = pairs.agg(F.sum((F.col("na") + F.col("nb")) * 8)).first()[0] or 0
-    side = max(1, math.ceil(math.sqrt(weight / BLOCK_BYTES)))
-
-    def block(c):
-        return F.pmod(F.xxhash64(c), F.lit(side))
-
-    blocked = pairs.select("a", "b", (block("a") * side + block("b")).alias("block"))
-    needed = (
-        blocked.select(F.col("a").alias("node"), "block")
-        .union(blocked.select("b", "block"))
-        .groupBy("node")
-        .agg(F.collect_set("block").alias("blocks"))
-    )
+def _sets_in(needed: DataFrame, nodes: DataFrame, rows: DataFrame, like: Likeness, salt: int):
+    """The set of every needed node (node, blocks), once per block: (node, set, block)."""
     wanted = materialize(nodes.select("node", "rep").join(needed, "node"), "wanted")
     sent = F.broadcast(wanted) if wanted.count() <= MOST_SENT // 4 else wanted
     texts = rows.join(sent, rows["k"] == wanted["rep"]).select("node", "blocks", "text")
@@ -337,10 +330,29 @@ def _verify(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, like: Likeness,
                 names=["node", "blocks", "set"],
             )
 
-    sets = texts.mapInArrow(read, "node long, blocks array<long>, set binary").select(
+    return texts.mapInArrow(read, "node long, blocks array<long>, set binary").select(
         "node", "set", F.explode("blocks").alias("block")
     )
 
+
+def _verify(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, like: Likeness, salt: int):
+    """The pairs (a, b, na, nb) whose whole sets are similar."""
+    spark = pairs.sparkSession
+    weight = pairs.agg(F.sum((F.col("na") + F.col("nb")) * 8)).first()[0] or 0
+    side = max(1, math.ceil(math.sqrt(weight / BLOCK_BYTES)))
+
+    def block(c):
+        return F.pmod(F.xxhash64(c), F.lit(side))
+
+    blocked = pairs.select("a", "b", (block("a") * side + block("b")).alias("block"))
+    needed = (
+        blocked.select(F.col("a").alias("node"), "block")
+        .union(blocked.select("b", "block"))
+        .groupBy("node")
+        .agg(F.collect_set("block").alias("blocks"))
+    )
+    sets = _sets_in(needed, nodes, rows, like, salt)
+
     def check(left: pa.Table, right: pa.Table) -> pa.Table:
         have = {
             n: np.frombuffer(s, np.uint64)
@@ -373,6 +385,181 @@ def _verify(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, like: Likeness,
     )
 
 
+# --- crowds ---------------------------------------------------------------------------------
+
+
+def _cells(crowd: DataFrame, like: Likeness) -> DataFrame:
+    """Cells of the crowded lists (token, node, comp, n): (cell, node, comp, n, home, held).
+
+    A list goes to the cell of that holder which stands in most crowded lists, so that the lists of
+    one crowd share a cell; a cell is cut into bands of sizes.  A node is at home in its band and a
+    visitor of the next, so similar nodes of a list, whose bands differ by one at most, meet.
+    """
+    kept = crowd.groupBy("node").agg(F.count(F.lit(1)).alias("lists"))
+    leaders = (
+        crowd.join(kept, "node")
+        .groupBy("token")
+        .agg(F.max(F.struct("lists", "node"))["node"].alias("leader"))
+    )
+    step = math.log(like.base / like.top) * (1 + 1e-9) if like.top < like.base else 1.0
+    band = F.floor(F.log("n") / F.lit(step))
+    spots = (
+        crowd.join(leaders, "token")
+        .select("leader", "node", "comp", "n")
+        .distinct()
+        .select("leader", "node", "comp", "n", band.alias("band"), F.explode(F.array(F.lit(0), F.lit(1))).alias("up"))
+        .select(
+            F.xxhash64("leader", F.col("band") + F.col("up")).alias("cell"),
+            "node", "comp", "n", (F.col("up") == 0).alias("home"),
+        )
+    )
+    useful = (
+        spots.groupBy("cell")
+        .agg(
+            F.count(F.lit(1)).alias("held"),
+            F.min("comp").alias("c1"),
+            F.max("comp").alias("c2"),
+            F.max("home").alias("lived"),
+        )
+        .where("c1 != c2 AND lived")
+        .select("cell", "held")
+    )
+    return spots.join(useful, "cell")
+
+
+def _deltas(spots: DataFrame, nodes: DataFrame, rows: DataFrame, like: Likeness, salt: int):
+    """For every spot the shingles that tell its node from the cell's centre.
+
+    The centre is what most of ``CENTRE`` members hold.  Any centre gives right results, since
+    the shingles in which two nodes differ follow from what tells either from the same centre; a
+    typical one gives short lists.
+    """
+    needed = spots.groupBy("node").agg(F.collect_set("cell").alias("blocks"))
+    sets = materialize(
+        _sets_in(needed, nodes, rows, like, salt).withColumnRenamed("block", "cell"), "crowd-sets"
+    )
+    first = Window.partitionBy("cell").orderBy(F.xxhash64("node"), "node")
+    chosen = (
+        spots.select("cell", "node", F.row_number().over(first).alias("turn"))
+        .where(F.col("turn") <= CENTRE)
+        .select("cell", "node")
+    )
+
+    def centre(table: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
+        tokens, counts = np.unique(np.concatenate(parts), return_counts=True)
+        held = tokens[2 * counts > len(parts)].tobytes()
+        return pa.table({"cell": table.column("cell").slice(0, 1), "centre": pa.array([held], pa.binary())})
+
+    centres = (
+        sets.join(chosen, ["cell", "node"])
+        .select("cell", "set")
+        .groupBy("cell")
+        .applyInArrow(centre, "cell long, centre binary")
+    )
+    parts = F.ceil(F.col("held") / F.lit(CELL_ROWS))
+    spread = (
+        spots.select("cell", parts.alias("parts"))
+        .distinct()
+        .join(centres, "cell")
+        .select("cell", "centre", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    )
+
+    @thrifty
+    def differ(batches):
+        for batch in batches:
+            at = {name: i for i, name in enumerate(batch.schema.names)}
+            held, sizes = [], []
+            for x, z in zip(batch.column(at["set"]), batch.column(at["centre"])):
+                own = np.frombuffer(x.as_buffer(), np.uint64)
+                held.append(np.setxor1d(own, np.frombuffer(z.as_buffer(), np.uint64), True))
+                sizes.append(len(held[-1]))
+            ends = np.concatenate([[0], np.cumsum(np.array(sizes, np.int64))]).astype(np.int32)
+            flat = np.concatenate(held) if held else np.zeros(0, _U)
+            kept = ["cell", "node", "comp", "n", "home"]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *[batch.column(at[c]) for c in kept],
+                    pa.array(sizes, pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(ends), _signed(flat)),
+                ],
+                names=[*kept, "size", "tokens"],
+            )
+
+    return (
+        spots.withColumn("part", F.pmod(F.xxhash64("node"), parts))
+        .join(sets, ["cell", "node"])
+        .join(spread, ["cell", "part"])
+        .select("cell", "node", "comp", "n", "home", "set", "centre")
+        .mapInArrow(
+            differ,
+            "cell long, node long, comp long, n long, home boolean, size long, tokens array<long>",
+        )
+    )
+
+
+def _crowd_pairs(spots: DataFrame, nodes: DataFrame, rows: DataFrame, like: Likeness, salt: int):
+    """Links (a, b) that follow without a look at the pair, and the pairs (a, b, na, nb) left to verify.
+
+    Let d be what tells a node from the centre and f = (base + top) |d| - (base - top) n.  Two nodes are
+    similar just when f + f' <= 2 (base + top) |d and d'|.  If f + f' <= 0, both are linked with the
+    node of smallest f.  All other similar pairs share shingles of d, at least one and at least what
+    f and the smallest f ask for: a prefix join on d, in the order of counts in the cell.
+    """
+    whole, gap = like.base + like.top, like.base - like.top
+    deltas = materialize(_deltas(spots, nodes, rows, like, salt), "deltas")
+    f = (whole * F.col("size") - gap * F.col("n")).alias("f")
+    told = deltas.select("cell", "node", F.explode("tokens").alias("token"))
+    often = told.groupBy("cell", "token").agg(F.count(F.lit(1)).alias("count")).where("count > 1")
+    ranked = Window.partitionBy("cell", "node").orderBy("count", "token")
+    shared = materialize(
+        told.join(often, ["cell", "token"]).select(
+            "cell",
+            "node",
+            "token",
+            (F.row_number().over(ranked) - 1).cast("long").alias("before"),
+            F.count(F.lit(1)).over(Window.partitionBy("cell", "node")).alias("common"),
+        ),
+        "crowd-shared",
+    )
+    common = shared.where("before = 0").select("cell", "node", "common")
+    found = deltas.select("cell", "node", "comp", "n", "home", "size", f).join(
+        common, ["cell", "node"], "left"
+    )
+    found = materialize(found.fillna(0, ["common"]), "crowd")
+    edges = found.groupBy("cell").agg(
+        F.min(F.struct("f", "node", "comp")).alias("mid"),
+        F.min(F.col("f") - 2 * whole * F.col("common")).alias("room"),
+    )
+    placed = found.join(edges, "cell")
+    sure = placed.where("f + mid.f <= 0 AND comp != mid.comp").select(
+        F.col("node").alias("a"), F.col("mid.node").alias("b")
+    )
+    least = F.greatest(F.lit(1), F.ceil((F.col("f") + F.col("mid.f")) / F.lit(2 * whole)))
+    usable = placed.where((F.col("f") + F.col("room") <= 0) & (least <= F.col("common"))).select(
+        "cell", "node", "comp", "n", "home", "f", (F.col("common") - least).alias("last")
+    )
+    entries = shared.join(usable, ["cell", "node"]).where("before <= last").select(
+        "cell", "token", "node", "comp", "n", "home", "f", "before",
+        (F.col("common") - F.col("before") - 1).alias("after"),
+    )
+    entries = materialize(entries, "crowd-entries")
+    other = entries.select("cell", "token", *[F.col(c).alias(f"{c}2") for c in entries.columns[2:]])
+    after = F.least("after", "after2")
+    most = F.least("before", "before2") + 1 + after
+    pairs = (
+        entries.join(other, ["cell", "token"])
+        .where((F.col("node") < F.col("node2")) & (F.col("comp") != F.col("comp2")))
+        .where(F.col("home") | F.col("home2"))
+        .where(F.col("f") + F.col("f2") <= 2 * whole * most)
+        .groupBy("cell", "node", "node2", "n", "n2", (F.col("f") + F.col("f2")).alias("f"))
+        .agg((F.count(F.lit(1)) + F.min(after)).alias("most"))
+        .where(F.col("f") <= 2 * whole * F.col("most"))
+        .select(*_ordered(F.col("node"), F.col("node2"), F.col("n"), F.col("n2")))
+    )
+    return sure, pairs
+
+
 def _ordered(x: Column, y: Column, nx: Column, ny: Column) -> list[Column]:
     swap = x > y
     return [
@@ -513,56 +700,64 @@ def ngram_jaccard_join(
     linked = materialize(_verify(tested, nodes, rows, like, _salt), "links")
     comps = components(linked)
 
-    labelled = materialize(
-        members.join(comps, "node", "left")
-        .select("node", "gid", F.coalesce("comp", "node").alias("comp"))
-        .join(lists, "gid")
-        .select("token", "comp", "node", "n", "before", "after"),
-        "labelled",
-    )
-    by_comp = labelled.groupBy("token", "comp").agg(
-        F.min("n").alias("least"),
-        F.max("n").alias("most"),
-        F.max("before").alias("before"),
-        F.max("after").alias("after"),
-    )
-    extremes = ["least", "most", "before", "after"]
-    several = by_comp.groupBy("token").count().where("count > 1").select("token")
-    by_comp = materialize(by_comp.join(several, "token"), "by-component")
-    other = by_comp.select(
-        "token", F.col("comp").alias("comp2"), *[F.col(c).alias(f"{c}2") for c in extremes]
-    )
-    meeting = by_comp.join(other, "token").where(
-        (F.col("comp") < F.col("comp2"))
-        & like.possible([F.col(c) for c in extremes], [F.col(f"{c}2") for c in extremes])
-    )
-    own = [F.col(c) for c in ("n", "n", "before", "after")]
-    right = labelled.toDF("token", "comp2", "node2", "n2", "before2", "after2")
-    pairs = (
-        meeting.drop(*extremes)
-        .join(labelled, ["token", "comp"])
-        .where(like.possible(own, [F.col(f"{c}2") for c in extremes]))
-        .drop(*[f"{c}2" for c in extremes])
-        .join(right, ["token", "comp2"])
-        .where(like.possible(own, [F.col(c) for c in ("n2", "n2", "before2", "after2")]))
+    placed = materialize(
+        members.join(comps, "node", "left").select(
+            "node", "gid", "n", F.coalesce("comp", "node").alias("comp")
+        ),
+        "placed",
     )
+    spans = placed.groupBy("gid").agg(
+        F.count(F.lit(1)).alias("held"), F.min("comp").alias("lo"), F.max("comp").alias("hi")
+    )
+    open_lists = materialize(lists.join(spans, "gid"), "open-lists")
+    several = (
+        open_lists.groupBy("token")
+        .agg(F.sum("held").alias("holders"), F.min("lo").alias("first"), F.max("hi").alias("last"))
+        .where("first != last")
+        .select("token", "holders")
+    )
+    several = materialize(several, "several")
+    crowded = several.where(F.col("holders") > CROWD).select("token")
+    sure, pairs = None, None
+    if not crowded.isEmpty():
+        crowd = materialize(
+            open_lists.select("token", "gid")
+            .join(crowded, "token")
+            .join(placed, "gid")
+            .select("token", "node", "comp", "n"),
+            "crowded",
+        )
+        spots = materialize(_cells(crowd, like), "cells")
+        sure, pairs = _crowd_pairs(spots, nodes, rows, like, _salt)
+    own = open_lists.join(several.where(F.col("holders") <= CROWD).select("token"), "token").drop("held")
+    right = own.select("token", *[F.col(c).alias(f"{c}2") for c in own.columns if c != "token"])
+    sizes = [F.col(c) for c in ("n", "n", "before", "after")]
     # A pair's rows are the shingles that both prefixes have (one that fails a filter rules the pair
     # out, so counting fewer does no harm): with what follows the last of them, no more is common.
+    # Pairs that also share a crowded shingle are found in its cell.
+    meeting = (
+        own.join(right, "token")
+        .where("gid <= gid2 AND least(lo, lo2) != greatest(hi, hi2)")
+        .where(like.possible(sizes, [F.col(c) for c in ("n2", "n2", "before2", "after2")]))
+        .groupBy("gid", "gid2", "n", "n2")
+        .agg((F.count(F.lit(1)) + F.min(F.least("after", "after2"))).alias("most"))
+        .where(F.col("most") * (like.base + like.top) >= (F.col("n") + F.col("n2")) * like.top)
+        .select("gid", "gid2")
+    )
+    left = placed.toDF("node", "gid", "n", "comp")
     rest = (
-        pairs.select(
-            *_ordered(F.col("node"), F.col("node2"), F.col("n"), F.col("n2")),
-            F.least("after", "after2").alias("after"),
-        )
-        .groupBy("a", "b", "na", "nb")
-        .agg((F.count(F.lit(1)) + F.min("after")).alias("most"))
-        .where(F.col("most") * (like.base + like.top) >= (F.col("na") + F.col("nb")) * like.top)
-        .drop("most")
-        .join(tested, ["a", "b", "na", "nb"], "left_anti")
+        meeting.join(left, "gid")
+        .join(placed.toDF("node2", "gid2", "n2", "comp2"), "gid2")
+        .where("comp != comp2 AND (gid != gid2 OR node < node2)")
+        .select(*_ordered(F.col("node"), F.col("node2"), F.col("n"), F.col("n2")))
     )
+    if pairs is not None:
+        rest = rest.union(pairs)
+    rest = rest.distinct().join(tested, ["a", "b", "na", "nb"], "left_anti")
     rest = materialize(rest, "rest")
     more = materialize(_verify(rest, nodes, rows, like, _salt), "more-links")
     inner = comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).where("a != b")
-    comps = components(inner.union(more))
+    comps = components(inner.union(more if sure is None else more.union(sure)))
 
     classes = nodes.select("node", "rep", "doc").join(comps, "node", "left").select(
         "node", "rep", "doc", F.coalesce("comp", "node").alias("comp")

@@ -42,6 +42,23 @@ def test_one_crowded_family(spark, monkeypatch):
     check(spark, near_copies(3, 1, 1, 120) * 3 + near_copies(4, 2, 60, 100), 5, 80)
 
 
+def test_crowds(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "PIVOTS", 1)
+    monkeypatch.setattr(ngram_join, "CROWD", 3)
+    monkeypatch.setattr(ngram_join, "CENTRE", 3)
+    monkeypatch.setattr(ngram_join, "CELL_ROWS", 5)
+    one = near_copies(8, 1, 1, 150)[0].split()
+    draw, texts = random.Random(9), []
+    for _ in range(60):  # around one text, cut to several lengths and changed in few or many places
+        copy = one[: len(one) - draw.choice([0, 0, 0, 3, 8, 20, 30])]
+        for _ in range(draw.choice([0, 1, 1, 2, 2, 3, 4, 9])):
+            copy[draw.randrange(len(copy))] = f"x{draw.randrange(30)}"
+        texts.append(" ".join(copy))
+    check(spark, [*texts, *near_copies(10, 12, 5, 40), "a b", "a b", "a b c d", ""], 3, 90)
+    check(spark, texts, 3, 100)
+    check(spark, texts, 5, 60)
+
+
 def test_ranked_shingles(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "MOST_RANKED", 5)
     monkeypatch.setattr(ngram_join, "GATHERED", 50)
