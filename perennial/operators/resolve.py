@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
 from functools import cached_property
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perennial.functions.columns import normalize_company_name, normalize_ticker
@@ -50,8 +50,12 @@ def name_index(sec_names: DataFrame) -> DataFrame:
 
 #: Names of one block on either side that meet in one task.
 CELL_NAMES = 1024
-#: Length of the pieces of a name by which the first candidate is found.
+#: Length of the pieces of a name by which the first candidate of a cell is found.
 GRAM = 3
+#: Length of the pieces by which names are looked up without meeting their whole block, and the most
+#: listed names that such a piece may stand for.
+PIECE = 5
+PIECE_NAMES = 256
 _CODES = np.full(128, 37, np.int64)
 _CODES[[*range(48, 58), *range(65, 91), 32]] = np.arange(37)
 
@@ -143,17 +147,102 @@ def _dealt(rows: DataFrame, name: str, own: str, other: str, sizes: DataFrame) -
     )
 
 
+def _pieces(name: str) -> Column:
+    """Every run of ``PIECE`` characters, repeats included."""
+    last = F.length(name) - (PIECE - 1)
+    runs = F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(name, i, F.lit(PIECE)))
+    return F.when(last >= 1, runs).otherwise(F.array().cast("array<string>"))
+
+
+def _scored(pairs: DataFrame) -> DataFrame:
+    """(wanted, candidate, score) of the pairs (wanted, candidate, least) that reach ``least``; pairs
+    whose common characters cannot are not scored."""
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            left, right = batch["wanted"].tolist(), batch["candidate"].tolist()
+            shared = np.minimum(_letter_counts(left), _letter_counts(right)).sum(axis=1)
+            sizes = np.array([len(a) + len(b) for a, b in zip(left, right)])
+            least = batch["least"].to_numpy()
+            out = []
+            for i in np.flatnonzero(2.0 * shared >= least * sizes - 1e-9):
+                found = SequenceMatcher(None, left[i], right[i]).ratio()
+                if found >= least[i]:
+                    out.append((left[i], right[i], found))
+            yield pd.DataFrame(out, columns=["wanted", "candidate", "score"])
+
+    return pairs.select("wanted", "candidate", "least").mapInPandas(
+        score, "wanted string, candidate string, score double"
+    )
+
+
+def _best(scored: DataFrame) -> DataFrame:
+    return scored.groupBy("wanted").agg(F.max(F.struct("score", "candidate")).alias("best"))
+
+
+def _by_pieces(asked: DataFrame, listed: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """(wanted, best) found by rare pieces, and the rows of ``asked`` that they do not settle.
+
+    The name that shares most of an input's rarest pieces gives a score to reach.  A name that reaches
+    score ``s`` differs from an input of ``n`` characters by at most ``d = 2n(1 - s) / s`` inserted or
+    deleted ones, each of which breaks at most ``PIECE`` pieces.  So it holds one of any
+    ``PIECE * d + 1`` pieces of the input, and the rarest of them find every name that can win.  Inputs
+    that have too few pieces for this, or too few rare ones, are left to the cells.
+    """
+    held = listed.select("block", "candidate", F.explode(F.array_distinct(_pieces("candidate"))).alias("piece"))
+    counts = materialize(held.groupBy("block", "piece").agg(F.count(F.lit(1)).alias("n")), "pieces")
+    common = counts.where(F.col("n") > PIECE_NAMES).select("block", "piece")
+    rare = materialize(held.join(common, ["block", "piece"], "left_anti"), "rare_pieces")
+    own = asked.select("wanted", "block", F.posexplode(_pieces("wanted")).alias("place", "piece"))
+    ranked = materialize(
+        own.join(counts, ["block", "piece"], "left")
+        .groupBy("wanted", "block")
+        .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "place", "piece"))).alias("own")),
+        "ranked",
+    )
+
+    def pairs(rows: DataFrame, own: Column) -> DataFrame:
+        asks = rows.select("wanted", "block", "least", F.explode(F.array_distinct(own)).alias("piece"))
+        met = asks.join(rare, ["block", "piece"])
+        return met.groupBy("wanted", "candidate").agg(F.count(F.lit(1)).alias("n"), F.max("least").alias("least"))
+
+    usable = F.filter("own", lambda p: p["n"].between(1, PIECE_NAMES))
+    met = pairs(ranked.withColumn("least", F.lit(least)), F.slice(usable["piece"], 1, 2 * PIECE))
+    likeness = F.col("n") / (F.length("wanted") + F.length("candidate"))
+    nearest = met.groupBy("wanted", "least").agg(
+        F.max_by("candidate", F.struct(likeness, "candidate")).alias("candidate")
+    )
+    first = materialize(_best(_scored(nearest)), "nearest")
+    score = F.col("best.score")
+    edits = F.try_divide(2 * F.length("wanted") * (1 - score), score)
+    need = (PIECE * F.floor(edits + 1e-9) + 1).cast("int")
+    enough = need <= F.size("own")
+    settled = F.when(enough, F.try_element_at("own", need)["n"] <= PIECE_NAMES)
+    told = materialize(
+        ranked.join(first, "wanted").withColumns({"least": score, "need": need, "settled": settled})
+        .where("settled").select("wanted", "block", "least", "need", "own"),
+        "settled",
+    )
+    wins = _best(_scored(pairs(told, F.slice(F.col("own")["piece"], F.lit(1), F.col("need")))))
+    return (
+        materialize(first.unionByName(wins), "by_pieces"),
+        asked.join(told.select("wanted"), "wanted", "left_anti"),
+    )
+
+
 def similar_names(
     inputs: DataFrame, sec_names: DataFrame, min_reported_score: float = 0.0
 ) -> DataFrame:
     """The most similar listed name of every distinct ``normalized`` input.
 
-    Compared are names that begin with the input's first word or contain it as a word.  The names of
-    a word are counted on both sides and split into cells of about ``CELL_NAMES`` names by
-    ``CELL_NAMES`` inputs, so that a word that many names share is spread over as many tasks as its
-    pairs need, and a rare word is copied nowhere.  A first pass over the cells scores one name per
-    input and cell, found by shared pieces; the best of them is the score that any other must reach, so
-    that the second pass scores few pairs (see ``NameCell``).  Pairs that cannot reach
+    Compared are names that begin with the input's first word or contain it as a word.  Inputs close to
+    a listed name are settled by the names that share one of their rare pieces (see ``_by_pieces``).
+
+    For the others the names of a word are counted on both sides and split into cells of about
+    ``CELL_NAMES`` names by ``CELL_NAMES`` inputs, so that a word that many names share is spread over as
+    many tasks as its pairs need, and a rare word is copied nowhere.  A first pass over the cells scores
+    one name per input and cell, found by shared pieces; the best of them is the score that any other
+    must reach, so that the second pass scores few pairs (see ``NameCell``).  Pairs that cannot reach
     ``min_reported_score`` are not scored.
     """
     asked = materialize(
@@ -174,8 +263,22 @@ def similar_names(
     every = sec_names.select(F.col("normalized").alias("candidate")).distinct().select(
         "candidate", F.explode(F.array_distinct(F.concat(words, beginnings))).alias("block")
     )
+    listed = materialize(every.join(asked.select("block").distinct(), "block", "left_semi"), "listed")
+    close, others = _by_pieces(asked, listed, float(min_reported_score))
+    others = materialize(others, "others")
+    found = close
+    if not others.isEmpty():
+        found = found.unionByName(_by_cells(others, listed, close, float(min_reported_score)))
+    found = found.groupBy("wanted").agg(F.max("best").alias("best"))
+    return found.select(F.col("wanted").alias("normalized"), "best.candidate", "best.score")
+
+
+def _by_cells(asked: DataFrame, listed: DataFrame, known: DataFrame, least: float) -> DataFrame:
+    """(wanted, best) by comparing every input with the whole block of its first word, cell by cell.
+
+    ``known`` (wanted, best) are scores that another name must reach.
+    """
     blocks = asked.groupBy("block").agg(F.count(F.lit(1)).alias("n_asked"))
-    listed = materialize(every.join(blocks.select("block"), "block", "left_semi"), "listed")
 
     def parts(n: str, name: str):
         return F.ceil(F.col(n) / CELL_NAMES).cast("int").alias(name)
@@ -191,16 +294,16 @@ def similar_names(
         found = left.groupBy(cell).cogroup(right.groupBy(cell)).applyInPandas(
             _of_cell(method), "wanted string, candidate string, score double"
         )
-        return found.groupBy("wanted").agg(F.max(F.struct("score", "candidate")).alias("best"))
+        return _best(found)
 
-    least = F.lit(float(min_reported_score))
-    first = materialize(best(asked.withColumn("least", least), "first"), "first")
-    so_far = first.select("wanted", F.col("best.score").alias("score"))
-    rest = asked.join(so_far, "wanted", "left").select(
-        "wanted", "block", F.coalesce("score", least).alias("least")
-    )
-    found = first.unionByName(best(rest, "best")).groupBy("wanted").agg(F.max("best").alias("best"))
-    return found.select(F.col("wanted").alias("normalized"), "best.candidate", "best.score")
+    def reached(by: DataFrame) -> DataFrame:
+        scores = by.groupBy("wanted").agg(F.max("best.score").alias("score"))
+        return asked.join(scores, "wanted", "left").select(
+            "wanted", "block", F.coalesce("score", F.lit(least)).alias("least")
+        )
+
+    first = materialize(best(reached(known), "first"), "first")
+    return first.unionByName(best(reached(known.unionByName(first)), "best"))
 
 
 def resolve_identifiers(

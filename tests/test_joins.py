@@ -319,3 +319,42 @@ def test_materialized_table_reads_back(spark):
     df = spark.range(10).withColumn("x", F.col("id") * 2)
     back = materialize(df, "unit")
     assert back.count() == 10 and "Parquet" in back._jdf.queryExecution().toString()
+
+
+def test_close_names_meet_few_listed_ones(spark, monkeypatch):
+    """Of one frequent first word, inputs with a close listed name never reach the cells."""
+    rnd = random.Random(3)
+    tokens = ["".join(rnd.choices("0123456789ABCDEF", k=10)) for _ in range(400)]
+    listed = [f"UNITED {t} HOLDINGS OF {rnd.choice(['PERU', 'CHINA'])}" for t in tokens]
+    near = [rnd.choice([n.replace("HOLDINGS", "HOLDING"), n[:9] + n[10:], n + "X"]) for n in listed[:60]]
+    twins = [listed[0] + "Y", listed[0] + "Z"]
+    far = ["UNITED QXQX", "UNITED", "UN"]
+    sec = spark.createDataFrame([(n, n, i) for i, n in enumerate(listed + twins)], "name string, normalized string, cik long")
+    asked = [*near, listed[0] + "W", *far]
+    met = []
+    by_cells = RS._by_cells
+    monkeypatch.setattr(RS, "_by_cells", lambda rows, *a: (met.append({r.wanted for r in rows.collect()}), by_cells(rows, *a))[1])
+    got = RS.similar_names(spark.createDataFrame([(a,) for a in asked], "normalized string"), sec).collect()
+    want = {
+        a: max((SequenceMatcher(None, a, c).ratio(), c) for c in listed + twins if c.startswith(a.split()[0]))
+        for a in asked
+    }
+    assert {r.normalized: (r.score, r.candidate) for r in got} == want
+    assert met == [set(far)]
+
+
+@pytest.mark.parametrize("piece_names", [1, 5, 256])
+def test_pieces_and_cells_agree(spark, monkeypatch, piece_names):
+    monkeypatch.setattr(RS, "PIECE_NAMES", piece_names)
+    rnd = random.Random(piece_names)
+    listed = sorted({"A" + "".join(rnd.choices("AB ", k=rnd.randint(3, 24))).strip() for _ in range(300)})
+    asked = sorted({n[:i] + rnd.choice(["", "B", "AB"]) + n[i + 1 :] for n in listed[:120] for i in [rnd.randint(1, len(n))]})
+    sec = spark.createDataFrame([(n, n, i) for i, n in enumerate(listed)], "name string, normalized string, cik long")
+    got = RS.similar_names(spark.createDataFrame([(a,) for a in asked], "normalized string"), sec).collect()
+    want = {}
+    for a in asked:
+        token = a.split(" ")[0]
+        block = [c for c in listed if c.startswith(token) or token in c.split(" ")]
+        if block:
+            want[a] = max((SequenceMatcher(None, a, c).ratio(), c) for c in block)
+    assert {r.normalized: (r.score, r.candidate) for r in got} == want
