@@ -84,3 +84,14 @@ def test_percentiles_of_two_columns(df, frame):
         want = frame.assign(p=frame.groupby("g")[c].rank(pct=True))
         m = got.merge(want, on="id")
         np.testing.assert_allclose(m["p" + c], m.p)
+
+
+def test_number_of_ranges_is_bounded(spark, monkeypatch):
+    from perennial.functions import order
+
+    monkeypatch.setattr(order, "RANGES", 8)
+    rows = spark.range(3000).withColumn("v", F.col("id") % 700)
+    ranged = order._ranges(rows.withColumn("_all", F.lit(0)), ["_all"], ["v", "id"], 2)
+    assert ranged.select("_range").distinct().count() <= 8
+    got = with_positions(rows, [], [F.col("v"), F.col("id")], rows_per_range=2).orderBy("v", "id").collect()
+    assert [r.position for r in got] == list(range(1, 3001))
