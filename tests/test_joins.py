@@ -358,3 +358,51 @@ def test_pieces_and_cells_agree(spark, monkeypatch, piece_names):
         if block:
             want[a] = max((SequenceMatcher(None, a, c).ratio(), c) for c in block)
     assert {r.normalized: (r.score, r.candidate) for r in got} == want
+
+
+def test_value_as_of_asks_for_every_known_end(spark, tmp_path):
+    """A filing that reports nothing for an older end is asked for it all the same."""
+    from checks import filing_queries as FQ
+
+    rows = [(1, 1, 0, 9, dt.date(1996, 5, 1), 10.0), (1, 4, 0, 9, dt.date(1997, 5, 1), 20.0)]
+    items = spark.createDataFrame(
+        [(o, n, p, s, 5, v, "N", d) for o, n, p, s, d, v in rows],
+        "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_quantity int, "
+        "l_extendedprice double, l_returnflag string, l_shipdate date",
+    )
+    items.write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {(r.as_of.year, r.end.year, r.value) for r in FQ.value_as_of(spark, str(tmp_path)).collect()}
+    assert got == {(1996, 1995, 10.0), (1997, 1995, 10.0), (1997, 1996, 20.0)}
+
+
+def test_asof_neither_aggregates_nor_joins_the_left_side(spark):
+    left = spark.createDataFrame([(1, DAY, 1), (1, DAY, 2), (None, DAY, 3), (2, None, 4)], "k int, t date, id int")
+    right = spark.createDataFrame([(1, DAY, 5.0), (None, DAY, 6.0)], "k int, f date, v double")
+    out = A.asof_backward(left, right, ["k"], "t", "f", ["v"])
+    assert {(r.k, r.id, r.f, r.v) for r in out.collect()} == {
+        (1, 1, DAY, 5.0), (1, 2, DAY, 5.0), (None, 3, None, None), (2, 4, None, None),
+    }
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_timelines_pass_no_company_through_pandas(spark):
+    facts = spark.createDataFrame(
+        [(1, "C", "Assets", 0, "Assets", "USD", None, "2019-12-31", 1.0, "2020-01-05", "10-K", None)],
+        "cik long, entity string, concept string, priority int, tag string, unit string, start string, "
+        "`end` string, val double, filed string, form string, accn string",
+    )
+    for timeline in (FA.annual_timeline, FA.quarterly_timeline):
+        out = timeline(facts)
+        assert out.collect() == []
+        assert "InPandas" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_dates_of_usual_shape_read_as_by_pattern(spark):
+    texts = ["2020-01-31", "2020-02-30", "2020-1-31", " 2020-01-31", "2020-01-31 ", "2020-01-31T00", "0999-01-01",
+             "0000-01-01", "20200131", "2020-13-01", "2020-01-31\n", "+2020-01-01", "12020-01-01", "", "x", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    from perennial.functions.columns import parse_date
+
+    got = df.select(parse_date("t").alias("a"), F.try_to_date("t", "yyyy-MM-dd").alias("b"))
+    assert got.where(~F.col("a").eqNullSafe(F.col("b"))).count() == 0
+    assert "CAST" in df.select(parse_date("t"))._jdf.queryExecution().analyzed().toString().upper()
