@@ -124,8 +124,10 @@ def source(spark, sf, version: str):
     ids = table(spark, sf, "supplier").select(
         F.col("s_suppkey").cast("string").alias("ticker"), F.col("s_suppkey").alias("cik")
     )
+    # what the models and their targets read besides the fundamentals
+    months = MQ.panel(spark, sf).select("ticker", "period_idx", "ret", "beta_24m")
     return A.attach_point_in_time(
-        MQ.panel(spark, sf), ids, materialize(timeline, "timeline"),
+        months, ids, materialize(timeline, "timeline"),
         FA.ANNUAL_FEATURES if annual else FA.QUARTERLY_FEATURES,
     )
 
@@ -143,7 +145,7 @@ def _register(version: str) -> None:
     )
     def run(spark, sf):
         rows = materialize(source(spark, sf, version), "source")
-        return WF.run_walk_forward(rows, version, *MQ.span(rows), training_months=MQ.TRAIN_MONTHS)
+        return WF.run_walk_forward(rows, version, *MQ.span(rows), training_months=MQ.TRAIN_MONTHS, keep=())
 
 
 for _version in WF.MODELS:
@@ -213,7 +215,7 @@ def _register_members(version: str) -> None:
         membership = members(spark, sf)
         first, last = MQ.span(rows.join(membership, ["period_idx", "ticker"], "left_semi"))
         return WF.run_walk_forward(
-            rows, version, first, last, membership=membership, training_months=MQ.TRAIN_MONTHS
+            rows, version, first, last, membership=membership, training_months=MQ.TRAIN_MONTHS, keep=()
         )
 
 
