@@ -33,3 +33,15 @@ def test_a_panel_of_months_is_not_broadcast(spark):
     }
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan, plan
+
+
+def test_rows_without_a_ticker_do_not_meet_in_one_task(spark):
+    data = spark.range(0, 400, 1, 8).select(
+        F.when(F.col("id") % 10 == 0, F.lit("s.0")).alias("ticker"), F.col("id").alias("row")
+    )
+    ids = spark.createDataFrame([("S-0", 5), (None, 6)], "ticker string, cik long")
+    out = A.map_identifiers(data, ids)
+    rows = out.withColumn("task", F.spark_partition_id()).collect()
+    assert out.columns == ["ticker", "row", "cik"] and sorted(r.row for r in rows) == [*range(400)]
+    assert {(r.ticker, r.cik) for r in rows} == {("S-0", 5), (None, None)}
+    assert len({r.task for r in rows if r.ticker is None}) == 8
